@@ -17,10 +17,11 @@ don't skew shards; hot sources or copies don't skew blocks.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators: the six ASCII white-space bytes.
@@ -76,13 +77,22 @@ def exchange(blocks: DataFrame, ask: Callable, serve: Callable, finish: Callable
     return blocks.groupBy("_block").cogroup(replied.groupBy("block")).applyInArrow(finishes, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine's only where that is unset and Spark runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc = spark.sparkContext._jsc.sc()  # noqa: SLF001
+    if sc.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallystream-"))
+    return sc.getCheckpointDir().get()
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder in spark.checkpoint.dir, which must be set (tests and runs without a cluster set their own)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
-        import tempfile
-
-        if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallystream-"))
+    """Written to the shared folder; lineage ends there."""
+    shared = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
+        df.sparkSession.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()

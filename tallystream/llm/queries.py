@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, mixing, secret_scan
+from . import audio_media, chat_format, decontaminate, mixing, secret_scan, simhash
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,12 +36,23 @@ def op8_media_columns(spark: SparkSession, d: str) -> DataFrame:
     return audio_media.describe(audio_media.store(_read(spark, d, "documents").select("doc_id", "text")))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash.components(_read(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_chat_formatting": op3_chat_formatting,
         "op5_mixing": op5_mixing,
         "op7_secret_scans": op7_secret_scans,
         "op8_media_columns": op8_media_columns,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
