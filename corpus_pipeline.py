@@ -10,10 +10,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystream.llm import decontaminate, mixing, secret_scan, simhash
+from tallystream.llm import decontaminate, mixing, secret_scan, simhash, toxicity
 from tallystream.llm.common import shared_folder
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
@@ -30,7 +34,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scans", secrets), ("mixing", mixture)]
+STAGES = [("toxicity", without_toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scans", secrets), ("mixing", mixture)]
 #: No SQL can express the stages.
 ORACLE_SQL = None
 

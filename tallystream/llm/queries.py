@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, mixing, secret_scan, simhash
+from . import audio_media, chat_format, decontaminate, lm_scoring, mixing, secret_scan, simhash, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, d, "documents").select("doc_id", "text"))
+
+
 def op3_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     turns = _read(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat_format.probe(spark))
     return chat_format.digest(chat_format.format_chats(turns))
@@ -23,6 +27,12 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _read(spark, d, "labels")))
+    return scored.select("doc_id", (toxicity.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.ENOUGH).cast("int").alias("predicted"))
+
+
 def op7_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     found = secret_scan.scan(_read(spark, d, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
@@ -47,8 +57,10 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op3_chat_formatting": op3_chat_formatting,
         "op5_mixing": op5_mixing,
+        "op6_toxicity": op6_toxicity,
         "op7_secret_scans": op7_secret_scans,
         "op8_media_columns": op8_media_columns,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
