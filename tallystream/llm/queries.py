@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, lm_scoring, mixing, secret_scan, simhash, toxicity
+from . import audio_media, chat_format, decontaminate, lm_scoring, mixing, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.dedup(_read(spark, d, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_mixing": op5_mixing,
         "op6_toxicity": op6_toxicity,
         "op7_secret_scans": op7_secret_scans,
