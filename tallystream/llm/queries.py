@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, lm_scoring, mixing, secret_scan, simhash, suffix_dedup, toxicity
+from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     return lm_scoring.score(_read(spark, d, "documents").select("doc_id", "text"))
 
 
+def op2_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    found = html_extract.extract(_read(spark, d, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     turns = _read(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat_format.probe(spark))
     return chat_format.digest(chat_format.format_chats(turns))
@@ -62,6 +67,7 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_html_extraction": op2_html_extraction,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_mixing": op5_mixing,
