@@ -43,8 +43,8 @@ from .common import ASK, REPLY, blocks_for, into_blocks, plain, text_bytes
 
 LENGTH, GRAM = 100, 40
 SPREAD = LENGTH - GRAM + 1  # grams in a string
-PIECE = 1 << 20
-BLOCK, SHARD = 12 << 20, 12 << 20
+PIECE = 1 << 18
+BLOCK, SHARD = 8 << 20, 6 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 17) for i in range(256)], np.uint64)
 _M = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 23) | 1) for i in range(7)]
@@ -55,10 +55,9 @@ _M = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 23) | 1) for i in range(7)]
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than their successor; t ends with a unique smallest value."""
-    n = len(t)
     change = np.flatnonzero(t[:-1] != t[1:])
-    at = change[np.searchsorted(change, np.arange(n - 1))]
-    return np.r_[t[at] < t[at + 1], True]
+    run = np.diff(change, prepend=-1)  # all of a run of one value is classed by its end
+    return np.append(np.repeat(t[change] < t[change + 1], run), True)
 
 
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
@@ -67,7 +66,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.n
     counts = np.bincount(t, minlength=size)
     end = np.cumsum(counts)
     start = end - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     placed = np.bincount(t[lms], minlength=size)
     order = np.argsort(t[lms], kind="stable")
     sorted_lms = lms[order]
@@ -81,7 +80,8 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.n
         c = t[found]
         order = np.argsort(c, kind="stable")
         found, c = found[order], c[order]
-        values, at, k = np.unique(c, return_index=True, return_counts=True)
+        at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        values, k = c[at], np.diff(at, append=len(c))
         rank = np.arange(len(c)) - np.repeat(at, k)
         if low:
             sa[head[c] + rank] = found
@@ -136,7 +136,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array of bytes, without the end marker."""
-    t = np.r_[data.astype(np.int64) + 1, 0]
+    t = np.append(data.astype(np.int16) + 1, np.int16(0)).astype(np.int16)  # 16 bits sort by radix
     if len(t) < 3:
         return np.arange(len(data))
     small = classify(t)
@@ -145,7 +145,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     is_lms = np.zeros(len(t), bool)
     is_lms[at] = True
     order = sa[is_lms[sa]]
-    length = np.zeros(len(t), np.int64)
+    length = np.zeros(len(t), np.int32)
     length[at] = np.diff(np.r_[at, len(t) - 1]) + 1
     length[at[-1]] = 1
     a, b = order[:-1], order[1:]
@@ -158,7 +158,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         same[live[~ok]] = False
         live = live[ok]
         off += 1
-    name = np.empty(len(t), np.int64)
+    name = np.empty(len(t), np.int32)
     names = np.cumsum(np.r_[0, ~same])
     name[order] = names
     if names[-1] < len(at) - 1:
@@ -173,11 +173,11 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     at the place before in the text.
     """
     n = len(data)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[0]] = -1
     phi[sa[1:]] = sa[:-1]
     before = np.r_[0, data]  # before[i] is the byte ahead of i
-    irreducible = (phi < 0) | (np.arange(n) == 0) | (phi == 0) | (before[np.arange(n)] != before[np.maximum(phi, 0)])
+    irreducible = (phi <= 0) | (np.arange(n) == 0) | (before[:n] != before[np.maximum(phi, 0)])
     plcp = np.zeros(n, np.int64)
     live = np.flatnonzero(irreducible & (phi >= 0))
     padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
@@ -185,7 +185,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     for k in range(8):
         word |= padded[k : n + 1 + k] << np.uint64(8 * k)
     length = np.zeros(len(live), np.int64)
-    a, b, who = live.copy(), phi[live], np.arange(len(live))
+    a, b, who = live.copy(), phi[live].astype(np.int64), np.arange(len(live))
     while len(who):
         room = np.minimum(n - a, n - b)
         x = word[np.minimum(a, n)] ^ word[np.minimum(b, n)]
