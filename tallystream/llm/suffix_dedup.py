@@ -242,7 +242,8 @@ def anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     last = np.r_[first[1:] - 1, len(owner) - 1]
     own = place[owner[first]]
-    return own, g[own], strings[first], strings[last]
+    key = g[own] * _M[0]  # smallest hashes are small, so they are spread again over the shards' ranges
+    return own, key ^ key >> np.uint64(32), strings[first], strings[last]
 
 
 class _Texts:
