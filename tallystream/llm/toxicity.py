@@ -116,14 +116,17 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, label) rows."""
     rows = distinct(rows)
-    by_label = {y: [words(t) for t, label in rows if label == y] for y in (0, 1)}
-    if not by_label[0] or not by_label[1]:
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+    if not n0 or not n1:
         return Model(b" ", b" ", [])
-    counts = {y: Counter(w for d in docs for w in set(d)) for y, docs in by_label.items()}
-    n1, n0 = len(by_label[1]), len(by_label[0])
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for t, y in rows:
+        counts[y].update(set(words(t)))
     marked = {w for w, c in counts[1].items() if c >= max(3, 0.006 * n1) and c / n1 > 10 * (counts[0][w] + 0.5) / n0}
-    toxic = [s for s in (b" ".join(w for w in d if w in marked) for d in by_label[1]) if s]
-    ordinary = [b" ".join(d[:300]) for d in by_label[0]]  # samples of the dictionary; scores read whole texts
+    del counts
+    toxic = [s for s in (b" ".join(w for w in words(t) if w in marked) for t, y in rows if y) if s]
+    ordinary = [b" ".join(words(t)[:300]) for t, y in rows if not y]  # samples of the dictionary; scores read whole texts
     model = Model(_dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), [])
     x = np.array([model.features(t) for t, _ in rows])
     y = np.array([label for _, label in rows], float)
