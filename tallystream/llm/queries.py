@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, secret_scan, simhash, suffix_dedup, toxicity
+from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

@@ -1,4 +1,8 @@
+import pytest
+from oracle import compare
+
 import corpus_pipeline
+from tallystream.llm import queries as llm
 from tallystream.llm import decontaminate, mixing, secret_scan, simhash, toxicity
 
 D = "/root/testdata/sf0.001"
@@ -22,3 +26,8 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, D)
     assert {tuple(r) for r in got.collect()} == mixed and len(mixed) == len(want) > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secret_scans", "mixing"]
+
+
+@pytest.mark.parametrize("name", list(llm.oracle_sql()))
+def test_oracle(spark, name):
+    compare(spark, name, llm.queries()[name], llm.oracle_sql()[name], "/root/testdata/sf0.01")
