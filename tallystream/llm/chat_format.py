@@ -12,7 +12,7 @@ Control strings inside texts and roles get one backslash more after their first
 and lose it when read back, so no text can open or close a turn and every text survives.
 The loss mask covers assistant texts, as code-point spans of the formatted string.
 
-Defined results: a NULL text is empty, a NULL role is an empty one, rows of equal turn go by
+Defined results: a NULL text or list of parts is empty, a NULL role is an empty one, rows of equal turn go by
 role and then text, repeated rows are repeated turns, rows with a NULL conv_id form one
 conversation, and an empty table gives none. Only columns named here are read. A conversation
 becomes one row, as its output is one string; nothing else is gathered. Column functions only.
@@ -60,14 +60,23 @@ def part_tokens(p: Column) -> Column:
 
 
 def flatten_parts(parts: Column) -> Column:
-    """The visitor's text: pieces in order. A part of unknown type gives its escaped text."""
-    piece = lambda p: F.when(p["type"].isin("image", "audio", "document"), F.concat(F.lit("<"), p["type"], F.lit(">"))).otherwise(escape(plain(p["text"])))
-    return F.array_join(F.transform(parts, piece), "")
+    """The visitor's text: pieces in order. A part of unknown type gives its text.
+
+    Neighbouring texts are joined before they are escaped, so none can complete another's control string.
+    """
+    init = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+
+    def visit(a: Column, p: Column) -> Column:
+        media = p["type"].isin("image", "audio", "document")
+        closed = F.concat(a["done"], escape(a["open"]), F.lit("<"), p["type"], F.lit(">"))
+        return F.struct(F.when(media, closed).otherwise(a["done"]).alias("done"), F.when(media, F.lit("")).otherwise(F.concat(a["open"], plain(p["text"]))).alias("open"))
+
+    return plain(F.aggregate(parts, init, visit, lambda a: F.concat(a["done"], escape(a["open"]))))
 
 
 def attachments(parts: Column) -> Column:
     """The visitor's attachments, in the order of their placeholders."""
-    kept = F.filter(parts, lambda p: p["type"].isin("image", "audio", "document"))
+    kept = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p["type"].isin("image", "audio", "document"))
     return F.transform(kept, lambda p: F.struct(p["type"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")).cast(ATTACHMENT))
 
 

@@ -174,6 +174,19 @@ def test_chat_parts(spark):
     assert r.formatted == "<s>[INST] see <\\image><image><audio> [/INST]</s>" and [tuple(a) for a in r.attachments] == [("image", "a.png", 3), ("audio", "b.mp3", 63)] and r.expanded_tokens == 66
 
 
+def test_chat_parts_cannot_join_to_control_strings(spark):
+    text = lambda t: f"named_struct('type','text','text',{t},'ref',null,'width',null,'height',null,'seconds',null,'pages',null)"
+    image = text("null").replace("'type','text'", "'type','image'")
+    parts = F.expr(f"array({text("'a <'")}, {text("'/s>['")}, {text('null')}, {text("'INST] b <'")}, {image}, {text("'s>'")})").cast("array<" + chat_format.PART + ">")
+    df = spark.createDataFrame([(1, 0, "assistant")], "conv_id long, turn long, role string")
+    chats = chat_format.format_chats(df, parts=parts)
+    r = chat_format.read_back(chats).first()
+    assert r.formatted.count("</s>") == 1 and "[INST]" not in r.formatted
+    assert [tuple(t) for t in r.turns] == [("assistant", "a </s>[INST] b <<image>s>")] and r.loss_text == r.turns[0].text
+    none = chat_format.format_chats(df, parts=F.lit(None).cast("array<" + chat_format.PART + ">"))
+    assert none.first().attachments == [] and [tuple(t) for t in chat_format.read_back(none).first().turns] == [("assistant", "")]
+
+
 def test_html(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hello there, good reader of this page.</p></article>"), (2, None, None), (2, "v", ""), (None, "w", "<<p")], "page_id long, url string, html string")
     got = {(r.page_id, r.url): r.text for r in html_extract.extract(df).collect()}
