@@ -2,8 +2,9 @@
 
 A tolerant scanner turns a page into leaf blocks: stretches of text between block-level tags,
 with the open block-level elements around them. Features are the ancestors' tags, the words of
-their class, id and role attributes, the nearest of them that names a kind of content, and
-what the text is like (length, links, punctuation). The field has two labels, content and
+their class, id, role, itemprop and aria-label attributes, the nearest element whose tag or
+words name a kind of content (and whether that kind is the article's or another), and what the
+text is like (length, links, punctuation). The field has two labels, content and
 other; it is trained by penalised likelihood on labelled pages, which labelled_pages makes
 from a grammar of page layouts (a page's own labels can be given instead), and pages are
 decoded by Viterbi.
@@ -42,43 +43,69 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opti
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>?", re.S)
 _HIDDEN_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_WORD = re.compile(r"[a-z]+")
+_OFF = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # camel case is cut
 
 # Words that name a kind of content, for the nearest-ancestor feature and for layouts.
 CONTENT_NAMES = "article content post entry story main body text maincontent".split()
 OTHER_NAMES = (
-    "nav menu navigation navbar breadcrumb header masthead banner logo footer foot copyright legal sidebar side aside widget related recommended popular trending more ad ads advert advertisement sponsor sponsored promo "
-    "promotion cookie cookies consent notice alert warning gdpr popup modal newsletter subscribe signup form login search comment comments reply replies respond discussion disqus share social follow tags meta byline author pagination pager toolbar"
+    "nav menu navigation navbar topbar toolbar breadcrumb header masthead banner logo footer foot copyright contentinfo legal sidebar side aside complementary widget related recommended popular trending more ad advert advertisement sponsor "
+    "sponsored promo promotion promoted cookie consent privacy notice alert warning gdpr popup modal dialog overlay newsletter subscribe subscription signup form login search comment reply replie respond response discussion discus disqus feedback "
+    "share social follow tag meta byline author pagination pager unseen"
 ).split()
-_NAMED = frozenset(CONTENT_NAMES) | frozenset(OTHER_NAMES) | {"article", "main", "nav", "header", "footer", "aside", "form", "section", "figure", "figcaption", "table", "ul", "ol", "button", "select", "fieldset"}
+OTHER_TAGS = frozenset("nav header footer aside form dialog button select fieldset menu search".split())
+CONTENT_TAGS = frozenset("article main".split())
+_OTHER, _CONTENT = frozenset(OTHER_NAMES), frozenset(CONTENT_NAMES)
+_INSIDE = sorted((w for w in OTHER_NAMES if len(w) > 4), key=len, reverse=True)
 LABELS = ("other", "content")
-PAGES, SEED, ROUNDS = 500, 31, 110
+PAGES, SEED, ROUNDS = 700, 31, 110
 
 
 class _Node:
-    """An open element: its tag and the features of it and its ancestors."""
+    """An open element: its tag, the features of it and its ancestors, and the nearest names of a kind of content."""
 
-    __slots__ = ("tag", "above", "names", "cache")
+    __slots__ = ("tag", "above", "near", "cache")
 
-    def __init__(self, tag: str, above: frozenset, own: set, nearest: str | None):
-        self.tag, self.names = tag, nearest
-        self.above = above | own
+    def __init__(self, tag: str, above: frozenset, near: tuple[str, ...]):
+        self.tag, self.above, self.near = tag, above, near
         self.cache = None
 
 
+@lru_cache(maxsize=1 << 16)
+def _names(value: str) -> tuple[str, ...]:
+    """The words of an attribute, without plural s; a word that holds the name of a kind of content is that name too."""
+    out = set()
+    for w in _WORD.findall(value):
+        w = w.lower()
+        w = w[:-1] if len(w) > 2 and w[-1] == "s" and w[-2] != "s" else w
+        out.add(w)
+        if w not in _OTHER:
+            out.update([x for x in _INSIDE if x in w][:1])
+    return tuple(sorted(out))
+
+
 def _enter(parent: _Node, tag: str, attrs: str, known: frozenset | None) -> _Node:
-    words = {w for _, v in _ATTR.findall(attrs) for w in _WORD.findall(v.lower())} if attrs else set()
+    words = {w for _, v in _ATTR.findall(attrs) for w in (_names if len(v) < 256 else _names.__wrapped__)(v)} if attrs else set()
+    if attrs and _OFF.search(attrs):
+        words.add("unseen")
+    other, content = sorted(words & _OTHER), sorted(words & _CONTENT)
     own = {f"in:{tag}"} | {f"name:{w}" for w in words}
-    named = [w for w in sorted(words) if w in _NAMED]
-    nearest = "+".join(named) if named else tag if tag in _NAMED else parent.names
+    if other or tag in OTHER_TAGS:
+        near = ("kind:other", *(f"near:{w}" for w in other), *(f"beside:{w}" for w in content), *([f"near:{tag}"] if tag in OTHER_TAGS else []))
+    elif content or tag in CONTENT_TAGS:
+        near = ("kind:content", *(f"near:{w}" for w in content), *([f"near:{tag}"] if tag in CONTENT_TAGS else []))
+    else:
+        near = parent.near
+    if "kind:other" in near:
+        own.add("under:other")
     if known is not None:
         own = {f for f in own if f in known}
-    return _Node(tag, parent.above, own, nearest)
+    return _Node(tag, parent.above | own, near)
 
 
 def leaf_blocks(page: str, known: frozenset | None = None) -> list[tuple[str, _Node, int, float]]:
     """(text, innermost element, characters inside links, place in the page from 0 to 1) of each leaf block, in page order."""
-    root = _Node("", frozenset(), set(), None)
+    root = _Node("", frozenset(), ("kind:none",))
     stack, opened = [root], Counter()
     out: list[tuple[str, _Node, int, float]] = []
     parts: list[str] = []
@@ -161,7 +188,7 @@ def text_features(text: str, node: _Node, linked: int, place: float) -> list[str
     """Features of a block besides those of its ancestors."""
     n, words = len(text), text.count(" ") + 1
     share = linked / n if n else 0
-    f = ["bias", f"tag:{node.tag}", f"near:{node.names}", f"size:{min(6, n.bit_length() // 2)}", f"words:{min(7, words.bit_length())}", f"link:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
+    f = ["bias", *node.near, f"{node.near[0]}:tag:{node.tag}", f"tag:{node.tag}", f"size:{min(6, n.bit_length() // 2)}", f"words:{min(7, words.bit_length())}", f"link:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
     if text[-1] in ".!?…\"”":
         f.append("stop")
     if "©" in text or "™" in text:
@@ -290,9 +317,23 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def attrs(words: list[str]) -> str:
         w = rng.choice(words)
-        w = w if rng.random() < 0.6 else f"{w}-{rng.choice(['box', 'wrap', 'area', 'block', 'list', 'section', 'item', w])}"
+        if rng.random() < 0.5:
+            more = rng.choice(["box", "wrap", "area", "block", "list", "section", "item", "content", "body", "text", "post", "article", "site", "page", "main", "right", "inline", w])
+            pair = (w, more) if rng.random() < 0.6 else (more, w)
+            w = rng.choice(["-", "-", "_", "__"]).join(pair) if rng.random() < 0.7 else pair[0] + pair[1].capitalize()
         return f' {rng.choice(["class", "class", "class", "id"])}="{w}"' if rng.random() < 0.8 else f' class="{rng.choice(["row", "col", "inner", "c12"])} {w}"'
 
+    def role(name: str) -> str:
+        return f' role="{name}"' if rng.random() < 0.2 else ""
+
+    def holder() -> str:
+        """Attributes of the element around the article."""
+        w = rng.choice(CONTENT_NAMES)
+        if rng.random() < 0.5:
+            more = rng.choice([*CONTENT_NAMES, "inner", "wrap", "container", "area", str(rng.randint(1, 999))])
+            w = f"{w}-{more}" if rng.random() < 0.7 else w + more.capitalize()
+        return f' {rng.choice(["class", "id"])}="{w}"'
+
     def long_text() -> str:
         return "".join(f"<p>{say(3, 70)}</p>" for _ in range(rng.randint(1, 4))) if rng.random() < 0.5 else say(3, 60, rng.random() < 0.7)
 
@@ -303,36 +344,47 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     def noise(kind: str) -> str:
         if kind == "nav":
             body = links(rng.randint(2, 9))
-            return f"<nav>{body}</nav>" if rng.random() < 0.5 else f"<div{attrs(['nav', 'menu', 'navigation', 'navbar', 'breadcrumb'])}>{body}</div>"
+            return f"<nav>{body}</nav>" if rng.random() < 0.4 else f"<div{role('navigation') or attrs(['nav', 'menu', 'navigation', 'navbar', 'topbar', 'breadcrumb', 'breadcrumbs'])}>{body}</div>"
         if kind == "header":
             body = f"<h1>{say(1, 4, False)}</h1>" * (rng.random() < 0.3) + f"<div>{say(1, 8, False)}</div>" + links(3) * (rng.random() < 0.5)
-            return f"<header>{body}</header>" if rng.random() < 0.6 else f"<div{attrs(['header', 'masthead', 'banner', 'logo'])}>{body}</div>"
+            return f"<header>{body}</header>" if rng.random() < 0.6 else f"<div{role('banner') or attrs(['header', 'masthead', 'banner', 'logo'])}>{body}</div>"
         if kind == "footer":
             body = rng.choice([f"&copy; {say(1, 9)}", long_text(), links(4), f"<p>&copy; {say(2, 9)} &middot; {say(1, 5)}</p>"])
-            return f"<footer>{body}</footer>" if rng.random() < 0.6 else f"<div{attrs(['footer', 'foot', 'copyright', 'legal'])}>{body}</div>"
+            return f"<footer>{body}</footer>" if rng.random() < 0.6 else f"<div{role('contentinfo') or attrs(['footer', 'foot', 'copyright', 'legal'])}>{body}</div>"
         if kind == "ad":
-            return f"<{(d := rng.choice(['div', 'div', 'aside', 'section']))}{attrs(['ad', 'ads', 'advert', 'advertisement', 'sponsor', 'sponsored', 'promo', 'promotion'])}>{long_text()}</{d}>"
+            return f"<{(d := rng.choice(['div', 'div', 'aside', 'section']))}{attrs(['ad', 'ads', 'advert', 'advertisement', 'sponsor', 'sponsored', 'promo', 'promotion', 'promoted'])}>{long_text()}</{d}>"
+        if kind == "hidden":
+            off = rng.choice(["hidden", 'style="display:none"', "aria-hidden=true", 'style="visibility: hidden"'])
+            return f"<{(d := rng.choice(['div', 'section']))} {off}>{long_text()}</{d}>"
         if kind == "side":
             body = f"<h3>{say(1, 4, False)}</h3>" + rng.choice([links(4), long_text()])
-            return f"<aside>{body}</aside>" if rng.random() < 0.4 else f"<{(d := rng.choice(['div', 'section', 'aside']))}{attrs(['sidebar', 'side', 'widget', 'related', 'recommended', 'popular', 'trending', 'aside'])}>{body}</{d}>"
+            return f"<aside>{body}</aside>" if rng.random() < 0.4 else f"<{(d := rng.choice(['div', 'section', 'aside']))}{role('complementary') or attrs(['sidebar', 'side', 'widget', 'related', 'recommended', 'popular', 'trending', 'aside'])}>{body}</{d}>"
         if kind == "notice":
-            role = ' role="alert"' if rng.random() < 0.2 else attrs(["cookie", "cookies", "consent", "notice", "alert", "warning", "gdpr", "popup", "modal"])
-            return f"<div{role}>{long_text()}{'<button>' + say(1, 2, False) + '</button>' if rng.random() < 0.5 else ''}</div>"
+            how = role("alert") or attrs(["cookie", "cookies", "consent", "notice", "alert", "warning", "gdpr", "popup", "modal", "overlay", "privacy"])
+            tag = rng.choice(["div", "div", "div", "section", "dialog", "p"])
+            if tag == "p":
+                return f"<p{how}>{say(3, 60)}</p>"
+            return f"<{tag}{how if tag != 'dialog' else ' open'}>{long_text()}{'<button>' + say(1, 2, False) + '</button>' if rng.random() < 0.5 else ''}</{tag}>"
         if kind == "form":
             body = f"<label>{say(1, 4, False)}</label><input name=q><button>{say(1, 2, False)}</button>"
             body = f"<p>{say(3, 20)}</p>" * (rng.random() < 0.4) + body
             return f"<form>{body}</form>" if rng.random() < 0.7 else f"<div{attrs(['newsletter', 'subscribe', 'signup', 'form', 'login', 'search'])}>{body}</div>"
         if kind == "share":
             return f"<div{attrs(['share', 'social', 'follow', 'tags', 'meta', 'byline', 'pagination', 'pager', 'toolbar'])}>{rng.choice([links(3), say(1, 10, False)])}</div>"
-        one = lambda: f"<{(d := rng.choice(['div', 'li', 'article', 'p']))}{attrs(['comment', 'reply', 'comments'])}>{rng.choice(['<b>' + say(1, 2, False) + '</b> ', ''])}{long_text() if d != 'p' else say(3, 60)}</{d}>"
+        one = lambda: f"<{(d := rng.choice(['div', 'li', 'article', 'p']))}{attrs(['comment', 'reply', 'comments', 'response']) if rng.random() < 0.7 else ''}>{rng.choice(['<b>' + say(1, 2, False) + '</b> ', ''])}{long_text() if d != 'p' else say(3, 60)}</{d}>"
         body = f"<h2>{say(1, 3, False)}</h2>" * (rng.random() < 0.7) + "".join(one() for _ in range(rng.randint(1, 5)))
-        return f"<{(d := rng.choice(['section', 'div', 'ol', 'aside']))}{attrs(['comments', 'comment', 'replies', 'respond', 'discussion', 'disqus'])}>{body}</{d}>"
+        return f"<{(d := rng.choice(['section', 'div', 'ol', 'aside']))}{attrs(['comments', 'comment', 'replies', 'respond', 'responses', 'discussion', 'feedback'])}>{body}</{d}>"
 
     def article() -> str:
         out = []
+        if rng.random() < 0.08:  # bare text
+            t = [say(8, 60) for _ in range(rng.randint(1, 4))]
+            content.append(" ".join(t))
+            return rng.choice(["<br>", "<br><br>", " <br/> "]).join(t)
         if rng.random() < 0.85:
             h = heading(1)
-            out.append(f"<header>{h}</header>" if rng.random() < 0.12 else h)
+            r = rng.random()
+            out.append(f"<header>{h}</header>" if r < 0.12 else f'<div class="{rng.choice(["post", "entry", "article"])}-header">{h}</div>' if r < 0.18 else h)
         for _ in range(rng.randint(1, 12)):
             out.append(p(1, 90) if rng.random() < 0.25 else p())
             r = rng.random()
@@ -348,31 +400,35 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             elif r < 0.22:
                 content.append(say(5, 40))
                 out.append(f"<pre>{content[-1]}</pre>" if rng.random() < 0.3 else f"<div>{content[-1]}</div>")
-            elif r < 0.36:
-                out.append(noise(rng.choice(["ad", "ad", "share", "form", "side", "notice"])))
+            elif r < 0.25:
+                content.append(say(2, 15))
+                out.append(f"<figure><img src=x><figcaption>{content[-1]}</figcaption></figure>")
+            elif r < 0.42:
+                out.append(noise(rng.choice(["ad", "ad", "share", "form", "side", "notice", "hidden", "nav", "footer"])))
         if rng.random() < 0.2:
             out.append(noise("comments"))
         elif rng.random() < 0.1:
             out.append(noise("share"))
         return "".join(out)
 
-    kinds = [[k for k in ("nav", "header", "notice", "ad", "form", "side", "share", "nav") if rng.random() < 0.4], [k for k in ("comments", "side", "ad", "form", "footer", "share", "notice", "nav", "footer") if rng.random() < 0.4]]
+    kinds = [[k for k in ("nav", "header", "notice", "ad", "form", "side", "share", "nav", "hidden") if rng.random() < 0.4], [k for k in ("comments", "side", "ad", "form", "footer", "share", "notice", "nav", "footer") if rng.random() < 0.4]]
     rng.shuffle(kinds[0])
     top = "".join(map(noise, kinds[0]))
     body = article()
     style = rng.random()
     if style < 0.45:
-        body = f"<article{attrs(CONTENT_NAMES) if rng.random() < 0.2 else ''}>{body}</article>"
+        body = f"<article{holder() if rng.random() < 0.3 else ''}>{body}</article>"
         body = f"<main>{body}</main>" if rng.random() < 0.3 else body
     elif style < 0.6:
         body = f"<main>{body}</main>"
     elif style < 0.92:
-        body = f"<{(d := rng.choice(['div', 'div', 'section']))}{attrs(CONTENT_NAMES)}>{body}</{d}>"
+        body = f"<{(d := rng.choice(['div', 'div', 'section']))}{holder()}>{body}</{d}>"
     else:
         body = f"<div>{body}</div>"
     page = f"<!DOCTYPE html><html><head><title>{say(1, 6)}</title><style>p{{}}</style></head><body>{top}<script>var a='<p>'</script>{body}{''.join(map(noise, kinds[1]))}</body></html>"
-    if rng.random() < 0.2:
-        page = page.replace("<body>", '<body><div id="page" class="wrapper container">').replace("</body>", "</div></body>")
+    if rng.random() < 0.3:
+        own = rng.choice(["wrapper container", "site has-sidebar", "header-fixed", "page with-nav", "layout", "row col"])
+        page = page.replace("<body>", f'<body><div id="page" class="{own}">').replace("</body>", "</div></body>")
     return page, content
 
 

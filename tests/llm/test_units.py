@@ -81,6 +81,29 @@ def test_html_blocks_and_field():
     assert field.main_text("") == "" and field.main_text("<nav><a href=/>x</a></nav>") == ""
 
 
+def test_html_layouts_that_training_does_not_make():
+    long = "Sorel mitadu kanofe, rilota benu damisa poretu lakine sofira. Temo ladi pasoru nemika, tolade firune basemo."
+    noise = [
+        f"<div class='cookieBanner'><p>{long}</p><button>OK</button></div>", f"<div id='gdpr-bar'>{long}</div>", f"<dialog open><p>{long}</p></dialog>", f"<div class='ad-slot'>{long}</div>",
+        f"<div class='sponsored-content'><p>{long}</p></div>", f"<div id='sidebarRight'><h3>More</h3><p>{long}</p></div>", f"<aside><p>{long}</p></aside>",
+        f"<ol class='comment-list'><li><article><p>{long}</p></article></li></ol>", f"<section class='userComments'><p>{long}</p></section>",
+        "<section class='related-posts'><h2>Read also</h2><ul><li><a href=x>One more story</a></li><li><a href=x>Two more</a></li></ul></section>",
+        "<form action=x><p>Join our letter and get all the news each week in your box.</p><input><button>Go</button></form>", "<div class='breadcrumbs'><a href=/>Home</a> / <a href=/x>News</a> / Item</div>",
+        "<div role='navigation'><ul><li><a href=/>Home</a></li><li><a href=/>About</a></li></ul></div>", f"<div role='complementary'><p>{long}</p></div>", f"<footer class='site-footer'><p>{long}</p></footer>",
+        f"<noscript>{long}</noscript>", f"<div hidden><p>{long}</p></div>", f"<div style='display:none'><p>{long}</p></div>", f"<p class='notice'>{long}</p>", "<ul class='share-buttons'><li>Send this</li><li>Print this</li></ul>",
+    ]
+    inner = f"<h1>The title</h1><p>{long}</p><p>Short one.</p>%s<p>{long} {long}</p>"
+    want = "\n\n".join(["The title", long, "Short one.", f"{long} {long}"])
+    field, good, all_ = html_extract.default_field(), 0, 0
+    for body in (f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class='entry-content'>{inner}</div>", f"<div id=post-12>{inner}</div>", f"<div class=postBody>{inner}</div>", f"<div>{inner}</div>"):
+        for n in noise:
+            for page in (body % n, n + body % "", body % "" + n):
+                page = f"<html><head><title>T</title></head><body><header><a href=/>Logo</a></header>{page}<footer>&copy; 2020 Us</footer></body></html>"
+                good, all_ = good + (field.main_text(page) == want), all_ + 1
+    assert good >= 0.97 * all_, (good, all_)
+    assert field.main_text(f"<article>{long}<br><br>{long}</article>") == f"{long} {long}"
+
+
 def test_template_words():
     c = decontaminate.canonical
     assert c("(1,200)")[0] == "<num>" and c("km.")[0] == "<unit>" and c("5km")[0] == "<num><unit>" and c("Anna's")[:2] == ("<name>", "anna's") and c("--")[0] == "--" and c("...") == ("", "", "")
