@@ -6,8 +6,8 @@ words that toxic documents hold and ordinary ones hardly do are the toxic sample
 ordinary documents the others; one dictionary is trained on each. A window (a word without
 punctuation, followed by a fixed anchor that both dictionaries end with, so that a few bytes
 are compressible at all) is compressed with both; the ordinary length less the toxic one is
-its margin in bytes. A document has its counts of windows at each margin threshold, and a
-logistic fit on the sample calibrates them to a probability.
+its margin in bytes. A document has its counts of windows at each margin threshold, as
+logarithms and as rates that RATE_WORDS more words dampen in short texts, and a logistic fit on the sample calibrates them to a probability.
 
 Scoring keeps no state between documents but a bounded cache of margins by word.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import plain
 
 SAMPLE, TOXIC_BYTES, ORDINARY_BYTES = 12_000, 4096, 32_768
-MARGINS, ENOUGH = range(1, 8), 0.7
+MARGINS, RATE_WORDS, ENOUGH = range(1, 8), 50, 0.7
 CACHE = 200_000
 #: A run of distinct bytes: one match for the compressor.
 ANCHOR = b"|0123456789~abcdefghijklmnopqrstuvwxyz#ZYXWVUTSRQPONMLKJIHGFEDCBA^<>{}[]<>{}[]|"
@@ -42,7 +42,7 @@ _EDGE = b".,;:!?()[]{}\"'*$%#&"
 
 def words(text: str) -> list[bytes]:
     """Lower-case words without punctuation at their edges."""
-    return [w for w in (x.strip(_EDGE) for x in text.encode().lower().split()) if w]
+    return [w for w in (x.strip(_EDGE) for x in text.lower().encode().split()) if w]
 
 
 @dataclass
@@ -81,7 +81,8 @@ class Model:
 
     def features(self, text: str) -> np.ndarray:
         m = np.fromiter(map(self.margin, words(text)), np.int32)
-        return np.array([np.log1p((m >= k).sum()) for k in MARGINS] + [np.log1p(len(m)), 1.0])
+        counts, n = np.array([(m >= k).sum() for k in MARGINS]), len(m)
+        return np.r_[np.log1p(counts), counts[1:] * RATE_WORDS / (n + RATE_WORDS), np.log1p(n), 1.0]
 
     def score(self, text: str) -> float:
         if not self.weights:
