@@ -10,8 +10,14 @@ values are compared: a value of the item must always stand for the same value in
 document (CONSISTENT of the slots in matched windows), which verbatim copies and
 re-parameterised ones do and chance matches don't.
 
+Consistency is that of the whole document or of one occurrence in it, so several variants of an
+item on one page don't hide each other. Occurrences are the matched windows at one aligned
+start (document position less item position), and those met in order of the text until the item
+begins anew (copies with words put in or left out).
+
 A pair is reported if at least ENOUGH distinct windows of the item match, or all of a shorter
-item's.
+item's, consistently in the whole document or in one occurrence. Its figures are the whole
+document's if these are consistent, otherwise those of its most consistent (then longest) occurrence.
 
 Defined results: NULL or short texts match nothing; repeated documents add to one pair; items
 with the same text each make a pair; pairs with a NULL doc_id are reported under NULL; empty
@@ -27,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plain
@@ -96,7 +102,7 @@ def _slots_of(slots: list[str], ids: np.ndarray, at: np.ndarray, size: int) -> l
 
 
 def _rows(df: DataFrame, key: str, text: str, bitmap: np.ndarray | None, size: int) -> DataFrame:
-    """(h, key, pos, slots) of windows; only those in the bitmap, if there is one."""
+    """(h, key, pos, slots, src) of windows; only those in the bitmap, if there is one. src tells texts under one key apart."""
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(bitmap) if bitmap is not None else None
 
@@ -106,6 +112,7 @@ def _rows(df: DataFrame, key: str, text: str, bitmap: np.ndarray | None, size: i
             rows = max(1, int(b.num_rows * SLICE_BYTES / max(1, b.nbytes)))
             for i in range(0, b.num_rows, rows):
                 part = b.slice(i, rows)
+                src = np.array([xxhash.xxh64_intdigest(t.as_buffer()) for t in part.column("_t")], np.uint64).view(np.int64)
                 for _, h, doc, pos, slots, ids, at in windows(part.column("_t"), size):
                     if bits is not None:
                         low = h & np.uint64(BITMAP_BITS - 1)
@@ -113,11 +120,11 @@ def _rows(df: DataFrame, key: str, text: str, bitmap: np.ndarray | None, size: i
                     else:
                         on = np.arange(len(h))
                     keys = part.column(key).take(pa.array(doc[on]))
-                    arrays = [pa.array(h[on].view(np.int64)), keys, pa.array(pos[on].astype(np.int32)), pa.array(_slots_of(slots, ids, at[on], size), pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["h", key, "pos", "slots"])
+                    arrays = [pa.array(h[on].view(np.int64)), keys, pa.array(pos[on].astype(np.int32)), pa.array(_slots_of(slots, ids, at[on], size), pa.list_(pa.string())), pa.array(src[doc[on]])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["h", key, "pos", "slots", "src"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, plain(text).alias("_t")).mapInArrow(run, f"h long, `{key}` {kind}, pos int, slots array<string>")
+    return df.select(key, plain(text).alias("_t")).mapInArrow(run, f"h long, `{key}` {kind}, pos int, slots array<string>, src long")
 
 
 def bitmap_of(item_windows: DataFrame) -> np.ndarray:
@@ -133,29 +140,36 @@ def bitmap_of(item_windows: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
     """(key, item, n_windows, item_windows, coverage, consistency, verbatim) of each reported pair."""
     theirs = _rows(benchmark, item, item_text, None, size).select("h", F.col(item).alias("_item"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots")).distinct()
-    ours = _rows(docs, key, text, bitmap_of(theirs), size).select("h", F.col(key).alias("_key"), F.col("slots").alias("_seen"))
+    ours = _rows(docs, key, text, bitmap_of(theirs), size).select("h", F.col(key).alias("_key"), F.col("src").alias("_src"), F.col("pos").alias("_at"), F.col("slots").alias("_seen"))
     met = ours.join(theirs.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
-    # Counts of each slot pair at each window of the item: repeats inside a document meet here.
-    spots = met.groupBy("_key", "_item", "_pos", "_slots", "_seen").agg(F.count(F.lit(1)).alias("n"))
+    # Counts of each slot pair at each window of the item: both forms and repeated rows meet here.
+    spots = met.groupBy("_key", "_src", "_item", "_at", "_pos", "_slots", "_seen").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("_key", "_src", "_item").orderBy("_at", "_pos")
+    before, at_before = F.lag("_pos").over(run), F.lag("_at").over(run)
+    spots = spots.withColumn("_new", ((F.col("_pos") < before) | (F.col("_pos") == before) & (F.col("_at") > at_before)).cast("int"))
+    spots = spots.withColumn("_run", F.coalesce(F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    occurrence = lambda kind, src, where: F.struct(F.lit(kind).alias("kind"), src.cast("long").alias("src"), where.cast("long").alias("where"))
+    all_ = F.array(occurrence(0, F.lit(0), F.lit(0)), occurrence(1, F.col("_src"), F.col("_at") - F.col("_pos")), occurrence(2, F.col("_src"), F.col("_run")))
+    spots = spots.withColumn("_o", F.explode(all_)).groupBy("_key", "_item", "_o", "_pos", "_slots", "_seen").agg(F.sum("n").alias("n"))
     pairs = F.filter(F.arrays_zip(F.col("_slots").alias("a"), F.col("_seen").alias("b")), lambda x: x["a"] != "")
-    votes = spots.select("_key", "_item", "_pos", F.explode_outer(pairs).alias("p"), "n")
-    votes = votes.groupBy("_key", "_item", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"), F.collect_set("_pos").alias("at"))
-    by_value = votes.groupBy("_key", "_item", "a").agg(
+    votes = spots.select("_key", "_item", "_o", "_pos", F.explode_outer(pairs).alias("p"), "n")
+    votes = votes.groupBy("_key", "_item", "_o", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"), F.collect_set("_pos").alias("at"))
+    by_value = votes.groupBy("_key", "_item", "_o", "a").agg(
         F.sum(F.when(F.col("a").isNotNull(), F.col("n")).otherwise(0)).alias("all"),
         F.max(F.when(F.col("a").isNotNull(), F.col("n")).otherwise(0)).alias("best"),
         F.sum(F.when(F.col("a") != F.col("b"), F.col("n")).otherwise(0)).alias("changed"),
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
     )
-    per_pair = by_value.groupBy("_key", "_item").agg(
+    per_part = by_value.groupBy("_key", "_item", "_o").agg(
         F.sum("all").alias("all"), F.sum("best").alias("best"), F.sum("changed").alias("changed"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows")
     )
+    per_part = per_part.withColumn("consistency", F.when(F.col("all") > 0, F.col("best") / F.col("all")).otherwise(F.lit(1.0))).filter(F.col("consistency") >= CONSISTENT)
     lengths = theirs.groupBy(F.col("_item").alias("_i")).agg(F.countDistinct("_pos").alias("item_windows"))
-    consistency = F.when(F.col("all") > 0, F.col("best") / F.col("all")).otherwise(F.lit(1.0))
-    out = per_pair.join(lengths, F.col("_item").eqNullSafe(F.col("_i"))).select(
-        F.col("_key").alias(key), F.col("_item").alias(item), "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"),
-        consistency.alias("consistency"), (F.col("changed") == 0).alias("verbatim"),
+    found = per_part.join(lengths, F.col("_item").eqNullSafe(F.col("_i"))).filter(F.col("n_windows") >= F.least(F.lit(enough), F.col("item_windows")))
+    shown = F.struct((F.col("_o.kind") == 0).alias("whole"), "consistency", "n_windows", (F.col("changed") == 0).alias("verbatim"), "item_windows")
+    return found.groupBy("_key", "_item").agg(F.max(shown).alias("m")).select(
+        F.col("_key").alias(key), F.col("_item").alias(item), "m.n_windows", "m.item_windows", (F.col("m.n_windows") / F.col("m.item_windows")).alias("coverage"), "m.consistency", "m.verbatim",
     )
-    return out.filter((F.col("n_windows") >= F.least(F.lit(enough), F.col("item_windows"))) & (F.col("consistency") >= CONSISTENT))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

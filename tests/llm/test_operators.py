@@ -200,3 +200,17 @@ def test_toxicity(spark, docs, empty):
     assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.without_toxic(docs, labels.limit(0)).columns == docs.columns and toxicity.without_toxic(docs, labels.limit(0)).count() == len(TEXTS)
     assert toxicity.score(empty, m).count() == 0 and zlib.crc32(b"") == 0
+
+
+def test_decontaminate_several_variants(spark):
+    item = "Anna has 12 red apples and buys 7 more at the small market, how many apples does she hold after 3 days"
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    other = item.replace("Anna", "Boris").replace("12", "40").replace("7", "9").replace("3 days", "5 weeks")
+    third = item.replace("Anna", "Carla").replace("12", "55").replace("7", "2").replace("3 days", "8 hours")
+    grown = item.replace("and buys", "and then gladly buys").replace("how many", "say how many")
+    mixed = item.replace("12", "13").replace("Anna has", "Boris has").replace("7", "12").replace("3 days", "12 weeks")
+    texts = [(1, item + " . " + other), (2, other + " then " + third), (3, other + " " + item + " " + third), (4, other + " " + third + " " + grown), (5, mixed.replace("apples", "pears")), (6, other), (6, third), (None, item), (None, other)]
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 4, 6, None}
+    assert got[1].verbatim and got[3].verbatim and got[1].consistency == 1.0 and got[1].coverage == 1.0 and got[None].verbatim
+    assert not got[2].verbatim and got[2].consistency == 1.0 and not got[6].verbatim
