@@ -1,7 +1,8 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
 Training takes at most SAMPLE labelled documents of the training folds (the smallest by a
-hash of their id). Near copies among them count once, by a bottom sketch of their words. The
+hash of their id). Near copies of one label among them count once (Jaccard similarity of runs of
+SHINGLE words of SIMILAR or more, compared exactly). The
 words that toxic documents hold and ordinary ones hardly do are the toxic samples, the
 ordinary documents the others; one dictionary is trained on each. A window (a word without
 punctuation, followed by a fixed anchor that both dictionaries end with, so that a few bytes
@@ -19,19 +20,23 @@ input of a score. Whole texts are read.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain
 
+SHINGLE, SIMILAR = 5, 0.8
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, TOXIC_BYTES, ORDINARY_BYTES = 12_000, 4096, 32_768
 MARGINS, RATE_WORDS, ENOUGH = range(1, 8), 50, 0.7
 CACHE = 200_000
@@ -90,19 +95,55 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ np.array(self.weights), -500, 500))))
 
 
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the runs of SHINGLE words, or of all the words if there are fewer."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words(text)), np.uint64)
+    size = min(SHINGLE, len(h))
+    out = np.zeros(max(0, len(h) - size + 1) if size else 0, np.uint64)
+    for k in range(size):
+        out = out * _MULT + h[k : k + len(out)]
+    return np.unique(out)
+
+
 def distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Without near copies: those that share half of a sketch of eight word hashes with an earlier row."""
-    seen: dict[int, list[int]] = defaultdict(list)
+    """Without near copies: those whose shingles have a Jaccard similarity of SIMILAR or more to an earlier kept row of the same label.
+
+    Two such rows share one of their rarest shingles, as many as may be missing and one more,
+    so only rows that meet in these are compared, and none of them is left out.
+    """
+    sets = [shingles(t) for t, _ in rows]
+    flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    cut = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[cut, len(flat)])
+    often, n = flat[cut][n > 1], n[n > 1]
+    del flat, cut
+    met: dict[tuple[int, int], list[int]] = {}
+    blank: set[int] = set()
     out = []
-    for text, y in rows:
-        sketch = sorted({zlib.crc32(w) for w in words(text)})[:8]
-        shared = Counter(j for h in sketch for j in seen[h])
-        if shared and max(shared.values()) * 2 >= len(sketch):
+    for i, (text, y) in enumerate(rows):
+        s = sets[i]
+        if not len(s):
+            if y not in blank:
+                blank.add(y)
+                out.append((text, y))
             continue
-        for h in sketch:
-            if len(seen[h]) < 64:
-                seen[h].append(len(out))
-        out.append((text, y))
+        at = np.searchsorted(often, s)
+        known = at < len(often)
+        known[known] = often[at[known]] == s[known]
+        spare = len(s) - math.ceil(SIMILAR * len(s) - 1e-9) + 1 - int((~known).sum())  # shingles of one row only come first
+        rare = []
+        if spare > 0:
+            at, s_known = at[known], s[known]
+            rare = s_known[np.lexsort((s_known, n[at]))[:spare]].tolist()
+        near = {j for h in rare for j in met.get((h, y), ()) if SIMILAR * len(s) <= len(sets[j]) * (1 + 1e-9) and SIMILAR * len(sets[j]) <= len(s) * (1 + 1e-9)}
+        for j in near:
+            both = len(np.intersect1d(s, sets[j], assume_unique=True))
+            if both >= SIMILAR * (len(s) + len(sets[j]) - both) - 1e-9:
+                break
+        else:
+            for h in rare:
+                met.setdefault((h, y), []).append(i)
+            out.append((text, y))
     return out
 
 

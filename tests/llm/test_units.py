@@ -123,3 +123,23 @@ def test_toxicity_model():
     hits = [(m.score(t) >= 0.7) == bool(y) for t, y in rows[300:]]
     assert sum(hits) >= 95 and 0 <= m.score("") <= 1
     assert toxicity.fit([]).score("x") == 0.0 and toxicity.fit(rows[1:4]).score("x") == 0.0
+
+
+def test_toxicity_drops_only_near_copies_of_one_label():
+    rng = random.Random(5)
+    many = [(f"a b c d e f g h {' '.join(f'z{rng.randrange(9000)}' for _ in range(40))}", i % 2) for i in range(150)]
+    assert toxicity.distinct(many) == many  # common words are no copies
+    base = " ".join(f"w{i}" for i in range(100))
+    near, other = base.replace("w50 ", "x "), base.replace("w20 ", "x ").replace("w50 ", "x ").replace("w80 ", "x ")
+    rows = [(base, 0), *many, (base, 0), (near, 0), (near, 1), (other, 0), ("", 0), ("", 0), ("", 1), ("one two", 1), ("one two", 1)]
+    assert toxicity.distinct(rows) == [(base, 0), *many, (near, 1), (other, 0), ("", 0), ("", 1), ("one two", 1)]
+    for _ in range(20):  # against every pair
+        rows = [(" ".join(rng.choice("abc") for _ in range(rng.randrange(3, 14))), rng.randrange(2)) for _ in range(60)]
+        want, sets = [], []
+        for t, y in rows:
+            w = t.split()
+            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+            if not any(y == z and len(s & o) * 5 >= len(s | o) * 4 for o, z in sets):
+                want.append((t, y))
+                sets.append((s, y))
+        assert toxicity.distinct(rows) == want
