@@ -4,7 +4,7 @@ Training takes at most SAMPLE labelled documents of the training folds (the smal
 hash of their id). Near copies of one label among them count once (Jaccard similarity of runs of
 SHINGLE words of SIMILAR or more, compared exactly). The
 words that toxic documents hold and ordinary ones hardly do are the toxic samples, the
-ordinary documents the others; one dictionary is trained on each. A window (a word without
+ordinary documents, whole but cut into samples of PIECE words, the others; one dictionary is trained on each. A window (a word without
 punctuation, followed by a fixed anchor that both dictionaries end with, so that a few bytes
 are compressible at all) is compressed with both; the ordinary length less the toxic one is
 its margin in bytes. A document has its counts of windows at each margin threshold, as
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import plain
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, SIMILAR, PIECE = 5, 0.8, 300
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, TOXIC_BYTES, ORDINARY_BYTES = 12_000, 4096, 32_768
 MARGINS, RATE_WORDS, ENOUGH = range(1, 8), 50, 0.7
@@ -168,7 +168,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     marked = {w for w, c in counts[1].items() if c >= max(3, 0.006 * n1) and c / n1 > 10 * (counts[0][w] + 0.5) / n0}
     del counts
     toxic = [s for s in (b" ".join(w for w in words(t) if w in marked) for t, y in rows if y) if s]
-    ordinary = [b" ".join(words(t)[:300]) for t, y in rows if not y]  # samples of the dictionary; scores read whole texts
+    ordinary = [b" ".join(w[k : k + PIECE]) for w in (words(t) for t, y in rows if not y) for k in range(0, len(w), PIECE)]
     model = Model(_dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), [])
     x = np.array([model.features(t) for t, _ in rows])
     y = np.array([label for _, label in rows], float)

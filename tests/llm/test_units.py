@@ -143,3 +143,11 @@ def test_toxicity_drops_only_near_copies_of_one_label():
                 want.append((t, y))
                 sets.append((s, y))
         assert toxicity.distinct(rows) == want
+
+
+def test_toxicity_ordinary_dictionary_learns_from_whole_texts(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: seen.append(samples) or b"x")
+    texts = [" ".join(f"d{i}w{k}" for k in range(750)) for i in range(4)]
+    toxicity.fit([*[(t, 0) for t in texts], *[(f"blorkish t{i}", 1) for i in range(4)]])
+    assert sorted(w for s in seen[1] for w in s.split()) == sorted(w.encode() for t in texts for w in t.split()) and max(len(s.split()) for s in seen[1]) <= 300
