@@ -34,6 +34,14 @@ def plain(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df is called so (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one pass over one column, one number to the driver."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

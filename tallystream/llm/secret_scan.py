@@ -12,17 +12,21 @@ Positions are code points, end exclusive. Matches of a kind are leftmost and don
 a match that fails its length still uses up its characters.
 
 Defined results: NULL texts are empty and give no spans; equal rows give equal rows; an
-empty table gives none. Texts are scanned whole. Column functions only.
+empty table gives none. Columns of any other name are carried; scan replaces base_spans and
+secret_spans, redact keeps a user's columns of these names. Texts are scanned whole, in time
+linear in their length and their number of candidates. Column functions only.
 """
 
 from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import fresh, plain
 
 KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,43 +44,77 @@ ALLOWED = [
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
     r"^(sha(1|256|384|512)-|sha(1|256|384|512)=)",  # published checksums
 ]
-SPAN = "struct<start:int,kind:int,end:int>"
+SPAN, FOUND = "struct<start:int,kind:int,end:int>", "struct<start:int,kind:int,end:int,value:string>"
+OPEN = 3  # the kind of candidates
+
+
+#: Items of a fold whose outputs are appended one by one; whole chunks are appended after that.
+CHUNK = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _walk(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The outputs of a fold in order, without NULLs. step(state, item) gives the next state and an output.
+
+    Outputs are gathered in chunks, since each append copies what it appends to.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(a: Column, x: Column) -> Column:
+        after, out = step(a["s"], x)
+        return F.struct(after.alias("s"), F.array_append(a["out"], out).alias("out"))
+
+    def several(a: Column, c: Column) -> Column:
+        done = F.aggregate(c, F.struct(a["s"].alias("s"), none.alias("out")), one)
+        return _let(done, lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    chunks = _let(items, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK))))
+    chunks = F.when(F.size(items) > 0, chunks)
+    begin = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.coalesce(F.filter(F.flatten(F.aggregate(chunks, begin, several, lambda a: a["out"])), lambda x: x.isNotNull()), none)
 
 
 def _spans(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0) -> Column:
-    """Spans of a pattern's matches whose group value has at least so many characters."""
+    """Spans of a pattern's matches whose group value has at least so many characters; each with its match as value."""
     found, values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)), F.split(text, pattern, -1)
-    each = F.transform(F.arrays_zip(between.alias("b"), found.alias("m"), values.alias("v")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    each = F.filter(F.arrays_zip(between.alias("b"), found.alias("m"), values.alias("v")), lambda x: x["m"].isNotNull())
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["b"]
-        end = begin + x["m"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["v"] >= least, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["b"])
+        end = begin + F.length(x["m"])
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (x["m"] if kind == OPEN else F.lit(None).cast("string")).alias("value"))
+        return end, F.when(F.length(x["v"]) >= least, span)
 
-    walked = F.aggregate(F.filter(each, lambda x: x["m"].isNotNull()), start, step, lambda a: a["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.rlike(text, F.lit(pattern)), _walk(each, F.lit(0), step, FOUND)).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
 def window_entropy(s: Column, width: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, over windows of a string of ALPHABET characters; of the whole string if it is shorter."""
+    """The largest Shannon entropy, in bits, over windows of a string of ALPHABET characters; of the whole string if it is shorter.
+
+    One fold over the characters carries the counts, the window's characters and the sum of count * log2(count).
+    """
     term = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(width + 2)])
-    at = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    n = F.size(at)
-    init = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    init = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.array_repeat(F.lit(-1), width).alias("ring"), F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
 
-    def step(a: Column, i: Column) -> Column:
-        new, old = F.get(at, i), F.when(i >= width, F.get(at, F.greatest(i - width, F.lit(0)))).otherwise(F.lit(-1))
+    def step(a: Column, new: Column) -> Column:
+        slot = a["i"] % width
+        old = F.get(a["ring"], slot)
         cn, co = F.get(a["n"], new), F.get(a["n"], F.greatest(old, F.lit(0)))
         gone = F.when(old >= 0, F.get(term, F.greatest(co - 1, F.lit(0))) - F.get(term, co)).otherwise(F.lit(0.0))
         total = F.when(new == old, a["sum"]).otherwise(a["sum"] + F.get(term, cn + 1) - F.get(term, cn) + gone)
         counts = F.when(new == old, a["n"]).otherwise(F.transform(a["n"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int")))
-        filled = F.least(i + 1, F.lit(width)).cast("double")
-        whole = (i + 1 >= width) | (i + 1 == n)
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when(whole, F.greatest(a["best"], F.log2(filled) - total / filled)).otherwise(a["best"]).alias("best"))
+        best = F.when(a["i"] + 1 >= width, F.greatest(a["best"], F.lit(math.log2(width)) - total / width)).otherwise(a["best"])
+        return F.struct(counts.alias("n"), F.transform(a["ring"], lambda c, k: F.when(k == slot, new).otherwise(c)).alias("ring"), (a["i"] + 1).alias("i"), total.alias("sum"), best.alias("best"))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), init, step, lambda a: a["best"])).otherwise(F.lit(0.0))
+    def done(a: Column) -> Column:
+        return F.when(a["i"] == 0, F.lit(0.0)).when(a["i"] < width, F.log2(a["i"].cast("double")) - a["sum"] / a["i"]).otherwise(a["best"])
+
+    return F.when(F.length(s) > 0, F.aggregate(codes, init, step, done)).otherwise(F.lit(0.0))
 
 
 def is_secret_like(s: Column) -> Column:
@@ -91,18 +129,23 @@ def is_secret_like(s: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds base_spans and secret_spans (base ones and those by entropy), arrays of (start, kind, end) ordered by start, then kind.
 
-    Columns of docs with these names are replaced.
+    Columns of docs with these names are replaced, the text among them only after it is read; no other name is used up.
     """
     rest = [c for c in docs.columns if c not in ("base_spans", "secret_spans")]
-    t = plain(text)
-    base = F.concat(_spans(t, ASSIGN, 0, 2, 8), _spans(t, ACCESS, 1), _spans(t, HEX, 2))
-    staged = docs.select(*[F.col(f"`{c}`") for c in rest], F.array_sort(base).alias("base_spans"), _spans(t, CANDIDATE, 3).alias("_open"))
-    def added(x: Column) -> Column:
-        inside = F.exists(F.col("base_spans"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
-        return F.when(inside, F.lit(False)).otherwise(is_secret_like(F.substring(t, x["start"] + 1, x["end"] - x["start"])))
+    own, more = fresh(docs, "base_spans_"), fresh(docs, "open_")
+    t = plain(f"`{text}`")
+    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, 2, 8), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
+    staged = docs.select(*[F.col(f"`{c}`") for c in rest], base.alias(own), _spans(t, CANDIDATE, OPEN).alias(more))
+    span = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        """reach is the largest end of base spans so far: a candidate that ends by then is inside one."""
+        shown = F.when(x["kind"] < OPEN, F.lit(True)).when(x["end"] <= reach, F.lit(False)).otherwise(is_secret_like(x["value"]))
+        return F.when(x["kind"] < OPEN, F.greatest(reach, x["end"])).otherwise(reach), F.when(shown, span(x))
 
-    more = F.when(F.size("_open") > 0, F.filter("_open", added)).otherwise(F.col("_open"))
-    return staged.select(*[F.col(f"`{c}`") for c in rest], "base_spans", F.array_sort(F.concat("base_spans", more)).alias("secret_spans"))
+    bare = F.transform(F.col(own), span)
+    every = F.when(F.size(more) > 0, _walk(F.array_sort(F.concat(own, more)), F.lit(-1), step, SPAN)).otherwise(bare)
+    return staged.select(*[F.col(f"`{c}`") for c in rest], bare.alias("base_spans"), every.alias("secret_spans"))
 
 
 def spelled(spans: Column) -> Column:
@@ -112,17 +155,37 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same columns, with each stretch covered by spans replaced by mark. A NULL text stays NULL."""
+    """The same columns, with each stretch covered by spans replaced by mark. A NULL text stays NULL.
+
+    Overlapping spans, and those that touch an earlier one's inside, share a mark. The text is cut once for each CHUNK
+    spans, then each cut by its own, so many spans in a long text don't each read it whole.
+    """
     names = docs.columns
-    found = scan(docs.withColumn("_text", F.col(f"`{text}`")), "_text")
-    t = plain("_text")
-    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(t, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        fresh = F.concat(a["out"], gap, F.lit(mark))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when((x["start"] >= a["at"]) , fresh).otherwise(a["out"]).alias("out"))
-
-    tail = F.aggregate("secret_spans", init, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    new = F.when(F.size("secret_spans") > 0, tail).otherwise(F.col("_text"))
-    return found.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in names])
+    spans = fresh(docs, "spans_")
+    pair = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(raw := fresh(docs, "raw_")))
+    found = scan(pair.select(raw, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), raw).select(raw, "row", F.col("secret_spans").alias(spans))
+    t = plain(f"`{raw}`")
+    kind = "struct<start:int,end:int>"
+
+    def merge(a: Column, x: Column) -> tuple[Column, Column]:
+        """A span that begins inside what is covered gives only what it adds, without another mark."""
+        return F.greatest(a, x["end"]), F.when(x["end"] > a, F.struct(F.when(x["start"] < a, a).otherwise(x["start"]).alias("start"), F.when(x["start"] < a, -x["end"]).otherwise(x["end"]).alias("end")))
+
+    def cut(a: Column, x: Column) -> Column:
+        end = F.abs(x["end"])
+        gap = F.substring(a["text"], a["at"] - a["base"] + 1, x["start"] - a["at"])
+        return F.struct(end.alias("at"), a["base"].alias("base"), a["text"].alias("text"), F.concat(a["out"], gap, F.when(x["end"] < 0, F.lit("")).otherwise(F.lit(mark))).alias("out"))
+
+    def piece(whole: Column, c: Column, begin: Column) -> Column:
+        last = F.abs(F.element_at(c, -1)["end"])
+        return F.aggregate(c, F.struct(begin.alias("at"), begin.alias("base"), F.substring(whole, begin + 1, last - begin).alias("text"), F.lit("").alias("out")), cut, lambda a: a["out"])
+
+    def pieces(whole: Column, all_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.abs(F.get(all_, F.greatest(k * CHUNK - 1, F.lit(0)))["end"]))
+        cuts = F.transform(starts, lambda k: piece(whole, F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)), begin(k)))
+        return F.concat(F.array_join(cuts, ""), F.substring(whole, F.abs(F.element_at(all_, -1)["end"]) + 1, F.length(whole)))
+
+    new = _let(_walk(F.col(spans), F.lit(0), merge, kind), lambda all_: _let(t, lambda whole: pieces(whole, all_)))
+    new = F.when(F.size(spans) > 0, new).otherwise(F.col(raw))
+    return found.select(*[new.alias(text) if c == text else F.col(f"row.`{c}`") for c in names])
