@@ -1,19 +1,23 @@
 """JSON in and out, with ECMAScript's coercion of a message to a string.
 
 Scalars are coerced by Spark's VARIANT functions. Arrays need recursion and use a pandas
-UDF, only if nested_arrays is set; else they give NULL. Doubles in exponent notation keep
-Spark's spelling (1.0E21), which differs from ECMAScript's.
+UDF, which is given NULL for any other message; nested_arrays=False leaves it out, and arrays
+give NULL. Numbers are spelled as ECMAScript spells doubles. Of repeated names in an object
+the last one counts, once allow_repeated_keys was called on the session.
 """
 
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import bound
+
 # Body limits in bytes.
 RULE_SERVER_LIMIT, RELAY_LIMIT = 1024 * 1024, 100 * 1024
 
@@ -27,7 +31,42 @@ def message_field(body: Column) -> Column:
     return F.from_json(body, "message string")["message"]
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """JSON objects may repeat a name; the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def js_number(x: Column) -> Column:
+    """A double as ECMAScript spells it: plain from 1e-6 up to 1e21, else with an exponent."""
+
+    def parts(java: Column) -> Column:
+        """The digits without a point, how many are ahead of the point, and the power of ten."""
+        digits = F.split_part(java, F.lit("E"), F.lit(1))
+        power = F.coalesce(F.nullif(F.split_part(java, F.lit("E"), F.lit(2)), F.lit("")).cast("int"), F.lit(0))
+        return F.struct(F.replace(digits, F.lit("."), F.lit("")).alias("bare"), F.length(F.split_part(digits, F.lit("."), F.lit(1))).alias("whole"), power.alias("power"))
+
+    def scaled(p: Column) -> Column:
+        """Significant digits, and the power of ten that 0.digits is multiplied by."""
+        ahead = F.ltrim(p["bare"], F.lit("0"))
+        return F.struct(F.rtrim(ahead, F.lit("0")).alias("sig"), (p["whole"] + p["power"] - F.length(p["bare"]) + F.length(ahead)).alias("point"))
+
+    def spelled(v: Column) -> Column:
+        sig, point = v["sig"], v["point"]
+        k = F.length(sig)
+        tail = F.when(k > 1, F.concat(F.lit("."), F.substring(sig, F.lit(2), k))).otherwise(F.lit(""))
+        return (
+            F.when((point >= k) & (point <= 21), F.rpad(sig, point, "0"))
+            .when((point > 0) & (point <= 21), F.concat(F.substring(sig, F.lit(1), point), F.lit("."), F.substring(sig, point + 1, k)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), sig))
+            .otherwise(F.concat(F.substring(sig, F.lit(1), F.lit(1)), tail, F.lit("e"), F.when(point > 0, F.lit("+")).otherwise(F.lit("-")), F.abs(point - 1).cast("string")))
+        )
+
+    plain = bound(bound(bound(F.abs(x).cast("string"), parts), scaled), spelled)
+    return F.when(x == 0, F.lit("0")).when(x < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
+
+
 def _js(value: object) -> str:
+    """An element of an array; a ValueError for an object that can't become a string."""
     if value is None:
         return ""
     if isinstance(value, bool):
@@ -35,29 +74,44 @@ def _js(value: object) -> str:
     if isinstance(value, list):
         return ",".join(map(_js, value))
     if isinstance(value, dict):
+        if "toString" in value:
+            raise ValueError
         return "[object Object]"
-    if isinstance(value, float) and value == int(value) and abs(value) < 1e21:
-        return str(int(value))
+    if isinstance(value, int | float):
+        value = float(value)
+        text = "0" if value == 0 else format(Decimal(repr(value)), "f") if 1e-6 <= abs(value) < 1e21 else repr(value)
+        if "e" in text:
+            digits, power = text.split("e")
+            return f"{digits.removesuffix('.0')}e{int(power):+d}"
+        return text.rstrip("0").rstrip(".") if "." in text else text
     return str(value)
 
 
 @F.pandas_udf(T.StringType())
 def _join_arrays(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: _js(json.loads(x)) if isinstance(x, str) else None)
+    def one(x: object) -> str | None:
+        try:
+            return _js(json.loads(x)) if isinstance(x, str) else None
+        except (ValueError, RecursionError, OverflowError):
+            return None
 
+    return s.map(one)
 
-def decode_message(body: Column, nested_arrays: bool = False) -> Column:
-    """Falsy values give '', other scalars their string form, objects a constant; NULL if the body is malformed."""
+
+def decode_message(body: Column, nested_arrays: bool = True) -> Column:
+    """Falsy values give '', others their string form; NULL if the body is malformed or the message can't become a string."""
     v = F.try_parse_json(body)
     m = F.try_variant_get(v, "$.message", "variant")
     kind = F.schema_of_variant(m)
     text = F.try_variant_get(v, "$.message", "string")
     number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    array = _join_arrays(F.to_json(m)) if nested_arrays else F.lit(None).cast("string")
+    value = F.try_variant_get(v, "$.message", "double")
+    array = _join_arrays(F.when(kind.startswith("ARRAY"), F.to_json(m))) if nested_arrays else F.lit(None).cast("string")
     return (
         F.when(v.isNull(), F.lit(None).cast("string"))
         .when(m.isNull() | (kind == "VOID"), F.lit(""))
-        .when(number & (F.try_variant_get(v, "$.message", "double") == 0), F.lit(""))
+        .when(number & (value == 0), F.lit(""))
+        .when(number, bound(value, js_number))
         .when((kind == "BOOLEAN") & (text == "false"), F.lit(""))
         .when(kind.startswith("ARRAY"), array)
         .when(kind.startswith("OBJECT"), F.lit("[object Object]"))
@@ -65,6 +119,12 @@ def decode_message(body: Column, nested_arrays: bool = False) -> Column:
     )
 
 
+def malformed(body: Column) -> Column:
+    """True for a body that isn't a JSON object or array."""
+    kind = F.schema_of_variant(F.try_parse_json(body))
+    return ~F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+
+
 def uncoercible(body: Column) -> Column:
     """True if the message is an object whose toString isn't callable."""
     return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.message.toString", "variant")).isNotNull(), F.lit(False))

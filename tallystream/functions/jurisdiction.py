@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import normalize_text, or_empty
+from .text import bound, normalize_text, or_empty
 
 # The three jurisdictions, in tie-break order.
 JURISDICTIONS = [
@@ -45,10 +45,8 @@ def keywords(spark: SparkSession) -> DataFrame:
 def jurisdiction_struct(code: Column) -> Column:
     """The dimension row of a code as a struct, NULL for an unknown code."""
     names = JURISDICTION_TYPE.fieldNames()
-    out = F.lit(None).cast(JURISDICTION_TYPE)
-    for row in reversed(JURISDICTIONS):
-        out = F.when(code == row[0], F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)])).otherwise(out)
-    return out
+    rows = F.create_map(*[x for row in JURISDICTIONS for x in (F.lit(row[0]), F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]))])
+    return F.try_element_at(rows, code)
 
 
 def score(normalized: Column, code: str) -> Column:
@@ -87,18 +85,30 @@ def with_detection(df: DataFrame, query: str, requested: str | None = None) -> D
     )
 
 
+def with_detection_struct(df: DataFrame, query: str, requested: str | None = None, name: str = "detection") -> DataFrame:
+    """Adds the detection as one struct column: jurisdiction, confidence, source."""
+    found = with_detection(df, query, requested)
+    return found.select(*df.columns, F.struct(jurisdiction_struct(F.col("code")).alias("jurisdiction"), "confidence", "source").alias(name))
+
+
 def detect_jurisdiction(query: Column, requested: Column | None = None) -> Column:
-    """The detection as one struct column: jurisdiction, confidence, source."""
+    """The same struct as one column expression. Text, scores and the rest are each bound once, so nothing is computed twice."""
     wanted = explicit_code(requested) if requested is not None else F.lit(None).cast("string")
-    n = normalize_text(query)
-    s = [score(n, c) for c in CODES]
-    top = F.greatest(*s)
-    second = F.get(F.sort_array(F.array(*s), asc=False), F.lit(1))
-    best = F.when(s[0] == top, CODES[0]).when(s[1] == top, CODES[1]).otherwise(CODES[2])
-    none = wanted.isNull() & (top == 0)
-    return F.struct(
-        jurisdiction_struct(F.when(none, F.lit(None).cast("string")).otherwise(F.coalesce(wanted, best))).alias("jurisdiction"),
-        F.when(wanted.isNotNull(), F.lit(EXPLICIT_CONFIDENCE)).when(none, F.lit(0.0)).when(top == second, F.lit(TIE_CONFIDENCE))
-        .otherwise(F.least(F.lit(CEILING), F.lit(BASE) + top.cast("double") * F.lit(STEP))).alias("confidence"),
-        F.when(wanted.isNotNull(), "explicit").when(none, "undetermined").otherwise("keyword").alias("source"),
-    )
+
+    def from_scores(x: Column) -> Column:
+        s, want = x["s"], x["want"]
+        top, second = F.array_max(s), F.get(F.sort_array(s, asc=False), F.lit(1))
+        return F.struct(s.alias("s"), want.alias("want"), top.alias("top"), second.alias("second"), (want.isNull() & (top == 0)).alias("none"))
+
+    def shown(x: Column) -> Column:
+        best = F.element_at(F.array(*map(F.lit, CODES)), F.array_position(x["s"], x["top"]).cast("int"))
+        has = x["want"].isNotNull()
+        confidence = F.when(x["top"] == x["second"], F.lit(TIE_CONFIDENCE)).otherwise(F.least(F.lit(CEILING), F.lit(BASE) + x["top"].cast("double") * F.lit(STEP)))
+        return F.struct(
+            jurisdiction_struct(F.when(~x["none"], F.coalesce(x["want"], best))).alias("jurisdiction"),
+            F.when(has, F.lit(EXPLICIT_CONFIDENCE)).when(x["none"], F.lit(0.0)).otherwise(confidence).alias("confidence"),
+            F.when(has, "explicit").when(x["none"], "undetermined").otherwise("keyword").alias("source"),
+        )
+
+    scores = bound(normalize_text(query), lambda n: F.array(*[score(n, c) for c in CODES]))
+    return bound(bound(F.struct(scores.alias("s"), wanted.alias("want")), from_scores), shown)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ FOLD_FROM = "يىك"
 FOLD_TO = "ییک"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def or_empty(c: Column) -> Column:
     """NULL becomes the empty string."""
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -7,13 +7,17 @@ closure or environment and never enter a DataFrame.
 
 from __future__ import annotations
 
+import logging
 import os
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger("tallystream")
 # Model name and replies.
 MODEL = "openai/gpt-4o-mini"
 MISSING_KEY = (500, "API KEY تنظیم نشده روی سرور")
@@ -39,22 +43,56 @@ def missing_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"status": F.lit(MISSING_KEY[0]), "reply": F.lit(MISSING_KEY[1])})
 
 
-def complete(df: DataFrame, key: str, message: str, completer: Completer, retries: int = 0, credential: str | None = None) -> DataFrame:
-    """(key, status, reply). credential names an environment variable that must be set on the driver, checked first."""
+def _answers(completer: Completer, asks: list[dict], timeout: float | None) -> list[tuple[bool, str | None]]:
+    """The completer's answers; an error if they aren't one for each question or take longer than timeout seconds."""
+    if timeout is None:
+        got = completer(asks)
+    else:
+        done: queue.Queue = queue.Queue()
+
+        def run() -> None:
+            try:
+                done.put((completer(asks), None))
+            except Exception as e:  # noqa: BLE001
+                done.put((None, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            got, failed = done.get(timeout=timeout)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {timeout} s") from None
+        if failed is not None:
+            raise failed
+    got = [(bool(ok), response) for ok, response in got]
+    if len(got) != len(asks):
+        raise ValueError(f"{len(got)} answers to {len(asks)} questions")
+    return got
+
+
+def complete(df: DataFrame, key: str, message: str, completer: Completer, retries: int = 0, credential: str | None = None, timeout: float | None = None) -> DataFrame:
+    """(key, status, reply). credential names an environment variable that must be set on the driver, checked first.
+
+    A call that raises, takes longer than timeout seconds or gives another number of answers is logged and tried again;
+    after the retries each message is asked by itself, so only the rows that fail get the fallback.
+    """
     if credential is not None and not os.environ.get(credential):
         return missing_key(df.select(key))
 
+    def tried(asks: list[dict]) -> list[tuple[bool, str | None]] | None:
+        for _ in range(retries + 1):
+            try:
+                return _answers(completer, asks, timeout)
+            except Exception as e:  # noqa: BLE001  a provider may raise anything; the row gets the fallback
+                LOG.warning("%s: %s", type(e).__name__, e)
+        return None
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             asks = [{"model": MODEL, "messages": [{"role": "user", "content": m}]} for m in batch[message]]
-            answers: list[tuple[bool, str | None]] = [(False, None)] * len(asks)
-            for _ in range(retries + 1):
-                try:
-                    answers = completer(asks)
-                    break
-                except Exception:  # noqa: BLE001  a provider may raise anything; the row gets the fallback
-                    continue
-            yield pd.DataFrame({key: batch[key], "ok": [bool(a[0]) for a in answers], "response": [a[1] for a in answers]})
+            answers = tried(asks)
+            if answers is None:
+                answers = [(tried([a]) or [(False, None)])[0] for a in asks] if len(asks) > 1 else [(False, None)] * len(asks)
+            yield pd.DataFrame({key: batch[key], "ok": [a[0] for a in answers], "response": [a[1] for a in answers]})
 
     kind = df.schema[key].dataType.simpleString()
     called = df.select(key, message).mapInPandas(call, f"`{key}` {kind}, ok boolean, response string")

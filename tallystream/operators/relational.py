@@ -1,38 +1,81 @@
-"""The classifier as relational operators: a broadcast theta join, a count and a ranking.
+"""The classifier as relational operators: keyword matches, dense scores and a ranking.
 
-It gives the same results as functions.jurisdiction and takes keywords as data. The
-keyword side is broadcast only if its row count is at most MAX_RULES; above that Spark
-chooses the join by itself.
+It gives the same results as functions.jurisdiction and takes keywords as data. Up to
+MAX_RULES keywords (their number is checked first) are literals of a projection, so scores
+and ranks are made row by row, without a join or an exchange, and rows with a NULL or
+repeated key keep their own. More keywords meet the texts in an equi-join on a keyword's
+first letters, never in a nested loop. Keywords are normalised like texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jurisdiction import CODES
 from ..functions.text import normalize_text
 
-MAX_RULES = 10_000
+MAX_RULES, LEAD = 10_000, 8
+
+
+def _few(rules: DataFrame) -> list[tuple[str | None, str | None, str]] | None:
+    """(code, word, normalised word) of each rule, if there are at most MAX_RULES."""
+    rows = rules.select("code", "word", normalize_text(F.col("word")).alias("n")).filter("word IS NOT NULL").limit(MAX_RULES + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= MAX_RULES else None
+
+
+def _many(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of texts (with _n) beside each rule's (code, word) that _n contains, by an equi-join on the first letters of rules."""
+    r = rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")).withColumn("_g", F.substring("_w", 1, LEAD))
+    sizes = sorted(x[0] for x in r.select(F.length("_g")).distinct().collect())  # 0 to LEAD: at most LEAD + 1 numbers
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.length("_n") - k + 1), lambda i: F.substring(F.col("_n"), i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    lists = [F.when(F.length("_n") >= k, grams(k)).otherwise(none) if k else F.array(F.lit("")) for k in sizes]
+    texts = texts.withColumn("_t", F.explode(F.array_distinct(F.concat(none, *lists))))
+    return texts.join(r, (F.col("_t") == F.col("_g")) & F.contains(F.col("_n"), F.col("_w"))).drop("_t", "_g", "_w")
 
 
 def keyword_matches(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
     """(key, code, word) for each keyword that a text contains."""
-    small = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
-    right = F.broadcast(rules) if small else rules
     left = df.select(key, normalize_text(F.col(text)).alias("_n"))
-    return left.join(right, F.contains(F.col("_n"), F.col("word"))).select(key, "code", "word")
+    if _few(rules) is None:
+        return _many(left, rules).select(key, "code", "word")
+    # at most MAX_RULES rows are broadcast
+    right = F.broadcast(rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")))
+    return left.join(right, F.contains(F.col("_n"), F.col("_w"))).select(key, "code", "word")
+
+
+def _scored(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _s): an array with a score for each code."""
+    left = df.select(key, normalize_text(F.col(text)).alias("_n"))
+    few = _few(rules)
+    if few is not None:
+        hit = lambda w: F.contains(F.col("_n"), F.lit(w)).cast("int")
+        return left.select(key, F.array(*[sum((hit(n) for c, _, n in few if c == code), F.lit(0)) for code in CODES]).alias("_s"))
+    # The score hangs on the text alone, so texts are what is counted and joined back.
+    hits = _many(left.select("_n").distinct(), rules).groupBy("_n").agg(*[F.count(F.when(F.col("code") == c, F.lit(1))).cast("int").alias(f"_s_{c}") for c in CODES])
+    hits = hits.withColumnRenamed("_n", "_h")
+    return left.join(hits, F.col("_n") == F.col("_h"), "left").select(key, F.array(*[F.coalesce(f"_s_{c}", F.lit(0)) for c in CODES]).alias("_s"))
+
+
+def _rows() -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("code"), F.get("_s", F.lit(i)).alias("score")) for i, c in enumerate(CODES)])
 
 
 def keyword_scores(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, code, score): dense, zero where no keyword matched."""
-    hits = keyword_matches(df, rules, key, text).groupBy(key, "code").agg(F.count("word").cast("int").alias("_hits"))
-    dense = df.select(key, F.explode(F.array(*map(F.lit, CODES))).alias("code"))
-    return dense.join(hits, [key, "code"], "left").select(key, "code", F.coalesce("_hits", F.lit(0)).alias("score"))
+    """(key, code, score): dense, zero where no keyword matched; as many rows for each row of df as there are codes."""
+    return _scored(df, rules, key, text).select(key, F.inline(_rows()))
+
+
+def ranked_scores(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, code, score, rank): the rank goes by descending score, then by the order of CODES, within each row of df."""
+    better = lambda i: sum(((F.get("_s", F.lit(j)) > F.get("_s", F.lit(i))) | (F.lit(j < i) & (F.get("_s", F.lit(j)) == F.get("_s", F.lit(i))))).cast("int") for j in range(len(CODES)) if j != i)
+    rows = F.array(*[F.struct(F.lit(c).alias("code"), F.get("_s", F.lit(i)).alias("score"), (better(i) + 1).alias("rank")) for i, c in enumerate(CODES)])
+    return _scored(df, rules, key, text).select(key, F.inline(rows))
 
 
 def jurisdiction_rank(scores: DataFrame, key: str) -> DataFrame:
-    """Adds the rank by descending score; ties in the order of CODES."""
+    """Adds the rank by descending score to scores with one row for each key and code; ties in the order of CODES."""
     order = F.array_position(F.array(*map(F.lit, CODES)), F.col("code"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), order)))
 

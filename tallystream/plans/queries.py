@@ -6,18 +6,18 @@ chosen by its key; Spark and DuckDB share the list.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, responder
-from ..functions.jurisdiction import CODES, JURISDICTIONS, KEYWORDS, jurisdiction_struct, jurisdictions, keywords, with_detection, with_scores
+from ..functions.jurisdiction import CODES, JURISDICTIONS, KEYWORDS, jurisdiction_struct, jurisdictions, keywords, with_detection, with_detection_struct, with_scores
 from ..functions.legal import ASSISTANT, PROMPT_HEAD, PROMPT_TAIL, UNKNOWN, create_legal_request, legal_system_prompt
 from ..functions.text import FOLD_FROM, FOLD_TO, JS_WS, normalize_text
-from ..operators import completion, relational, transcript
-from ..sources.tables import setting, table
+from ..operators import chat, completion, relational, transcript
+from ..sources.shared import shared_folder
+from ..sources.tables import table
 from ..streaming import stream
 
 PHRASES = [
@@ -74,13 +74,16 @@ SQL_PROMPT = "concat_ws(chr(10), {}, {}, 'Target jurisdiction: ' || coalesce(j.n
 
 
 def chat_rows(spark: SparkSession, d: str) -> DataFrame:
-    """User rows of the conversations, each led by a phrase of CHAT; every third row is the phrase alone."""
+    """User rows of the conversations, each led by a phrase of CHAT, and the phrases alone as turns of conversation -1."""
     c = table(spark, d, "conversations").filter("role = 'user'")
-    k = F.col("conv_id") + F.col("turn")
-    return c.select("conv_id", "turn", F.concat(pick(CHAT, k), F.when(k % 3 == 0, F.lit("")).otherwise(F.col("text"))).alias("m"))
+    led = c.select("conv_id", "turn", F.concat(pick(CHAT, F.col("conv_id") + F.col("turn")), F.col("text")).alias("m"))
+    return led.union(spark.createDataFrame([(-1, i, p) for i, p in enumerate(CHAT)], "conv_id long, turn long, m string"))
 
 
-SQL_C = f"c AS (SELECT conv_id, turn, {q_pick(CHAT, '(conv_id + turn)')} || CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE text END AS m FROM conversations WHERE role = 'user')"
+SQL_C = (
+    f"c AS (SELECT conv_id, turn, {q_pick(CHAT, '(conv_id + turn)')} || text AS m FROM conversations WHERE role = 'user' "
+    "UNION ALL SELECT * FROM (VALUES " + ", ".join(f"((-1)::BIGINT, {i}::BIGINT, {q(p)})" for i, p in enumerate(CHAT)) + ") v)"
+)
 SQL_RULES = f"CASE WHEN trim(m, {q(JS_WS)}) = '' THEN {q(responder.BLANK_REPLY)} " + " ".join(f"WHEN contains(m, {q(w)}) THEN {q(r)}" for w, r in responder.RULES) + f" ELSE {q(responder.ECHO)} || m END"
 
 
@@ -88,10 +91,39 @@ def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "id long, body string")
 
 
+#: Bodies for the whole path, and what each gets: (body, status, reply). The last body is repeated to exceed the limit.
+PATHS = [
+    ("{bad", 400, None), ('"x"', 400, None), ("7", 400, None), ("[1]", 200, responder.BLANK_REPLY), ('{"message":"a","message":"سلام"}', 200, responder.RULES[0][1]),
+    ('{"message":[1,"a",null,[2,3]]}', 200, responder.ECHO + "1,a,,2,3"), ('{"message":[]}', 200, responder.BLANK_REPLY), ('{"message":[{"toString":1}]}', 500, responder.SERVER_ERROR), ('{"message":{"toString":1}}', 500, responder.SERVER_ERROR),
+    ('{"message":1e21}', 200, responder.ECHO + "1e+21"), ('{"message":1.50}', 200, responder.ECHO + "1.5"), ('{"message":0.000001}', 200, responder.ECHO + "0.000001"), ('{"message":-1.25e-9}', 200, responder.ECHO + "-1.25e-9"),
+    ('{"message":123456789012345678901}', 200, responder.ECHO + "123456789012345680000"), ('{"message":[1e21,0.5,true]}', 200, responder.ECHO + "1e+21,0.5,true"), ("{}", 200, responder.BLANK_REPLY), ("x", 413, None),
+]
+
+
+def chat_path(spark: SparkSession, d: str) -> DataFrame:
+    """Each chat row as a request body, and PATHS as turns of conversation -2."""
+    codec.allow_repeated_keys(spark)
+    bodies = chat_rows(spark, d).select("conv_id", "turn", codec.encode_request(F.col("m")).alias("body"))
+    more = spark.createDataFrame([(-2, i, b, s == 413) for i, (b, s, _) in enumerate(PATHS)], "conv_id long, turn long, body string, big boolean")
+    more = more.select("conv_id", "turn", F.when(F.col("big"), F.repeat("body", F.lit(codec.RULE_SERVER_LIMIT + 1))).otherwise(F.col("body")).alias("body"))
+    return chat.answer(bodies.union(more), "body", ("conv_id", "turn"))
+
+
+def transcript_of(style: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: transcript.render(table(s, d, "conversations"), style=style)
+
+
+def stream_bubbles(spark: SparkSession, d: str) -> DataFrame:
+    """Bubbles of the conversations as a file stream, into the shared folder."""
+    name = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
+    source = stream.file_stream(spark, d, table(spark, d, "conversations"), "conversations.parquet")
+    stream.run_available(stream.bubble_stream(source, "bare").select("conv_id", "turn", "bubble"), f"{name}/out", f"{name}/state").awaitTermination()
+    return spark.read.schema("conv_id long, turn long, bubble string").parquet(f"{name}/out")
+
+
 def stream_detect(spark: SparkSession, d: str) -> DataFrame:
-    """Runs to completion over the table as a file stream, into the shared folder if there is one."""
-    shared = setting(spark, "spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallystream-")
-    name = f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
+    """Runs to completion over the table as a file stream, into the shared folder."""
+    name = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
     source = stream.file_stream(spark, d, table(spark, d, "documents"), "documents.parquet")
     p = source.select("doc_id", F.concat(pick(PHRASES, F.col("doc_id")), F.lit(" "), F.col("text")).alias("m"))
     stream.run_available(stream.detect_stream(p, "m").drop("m"), f"{name}/out", f"{name}/state").awaitTermination()
@@ -119,7 +151,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keyword_matches": lambda s, d: relational.keyword_matches(phrased(s, d), keywords(s), "doc_id", "m"),
         "keyword_scores": lambda s, d: relational.keyword_scores(phrased(s, d), keywords(s), "doc_id", "m"),
         "keyword_scores_wide": lambda s, d: with_scores(phrased(s, d), "m", "score_").drop("m"),
-        "jurisdiction_rank": lambda s, d: relational.jurisdiction_rank(relational.keyword_scores(phrased(s, d), keywords(s), "doc_id", "m"), "doc_id"),
+        "jurisdiction_rank": lambda s, d: relational.ranked_scores(phrased(s, d), keywords(s), "doc_id", "m"),
+        "detect_struct": lambda s, d: with_detection_struct(phrased(s, d).withColumn("r", pick(REQUESTED, col("doc_id"))), "m", "r").select(
+            "doc_id", *[col(f"detection.jurisdiction.{n}").alias(n) for n in ("code", "name_fa", "name_en", "language", "status")], "detection.confidence", "detection.source"
+        ),
         "jurisdiction_dim": lambda s, d: jurisdictions(s),
         "keyword_dim": lambda s, d: keywords(s).select("code", "word"),
         "legal_system_prompt": lambda s, d: s.createDataFrame([(c,) for c in [*CODES, None]], "code string").select("code", legal_system_prompt(jurisdiction_struct(col("code"))).alias("prompt")),
@@ -140,14 +175,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "completion_call": completion_call,
         "missing_key_reply": lambda s, d: completion.missing_key(phrased(s, d).select("doc_id")),
         "transcript_render": lambda s, d: transcript.render(table(s, d, "conversations")),
+        "transcript_plain": transcript_of("plain"),
+        "transcript_bare": transcript_of("bare"),
+        "chat_path": chat_path,
         "stream_detect": stream_detect,
+        "stream_bubbles": stream_bubbles,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     reply = f"SELECT conv_id, turn, {SQL_RULES} AS reply FROM c"
     code = "CASE upper(coalesce(r, '')) WHEN 'IR' THEN 'IR' WHEN 'DE' THEN 'DE' WHEN 'US' THEN 'US' END"
-    user, ai = transcript.BUBBLES["classes"]
+    turns = lambda style: f"CASE role WHEN 'user' THEN {q(transcript.BUBBLES[style][0])} ELSE {q(transcript.BUBBLES[style][1])} END || text || '</div>'"
+    rendered = lambda style: f"SELECT conv_id, string_agg({turns(style)}, '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"
     detect = f"{SQL_ALL} SELECT * FROM d"
     values = lambda rows: "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(rows)) + ") v(id, body)"
     return {
@@ -175,5 +215,12 @@ def oracle_sql() -> dict[str, str]:
         "completion_extract": f"SELECT id::BIGINT AS id, CASE WHEN json_type(body, '$.choices[0].message') IS NULL THEN {q(completion.RELAY_ERROR[1])} ELSE body->>'$.choices[0].message.content' END AS reply FROM {values(RESPONSES)}",
         "completion_call": f"WITH {SQL_P} SELECT doc_id, 200::INT AS status, CASE WHEN length(m) % 7 = 0 THEN {q(completion.RELAY_ERROR[1])} ELSE 'len ' || length(m) END AS reply FROM p",
         "missing_key_reply": f"SELECT doc_id, {completion.MISSING_KEY[0]}::INT AS status, {q(completion.MISSING_KEY[1])} AS reply FROM documents",
-        "transcript_render": f"SELECT conv_id, string_agg(CASE role WHEN 'user' THEN {q(user)} ELSE {q(ai)} END || text || '</div>', '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id",
+        "transcript_render": rendered("classes"),
+        "transcript_plain": rendered("plain"),
+        "transcript_bare": rendered("bare"),
+        "stream_bubbles": f"SELECT conv_id, turn, {turns('bare')} AS bubble FROM conversations WHERE role IN ('user', 'assistant')",
+        "chat_path": f"WITH {SQL_C} SELECT conv_id, turn, 200::INT AS status, {SQL_RULES} AS reply FROM c UNION ALL SELECT * FROM (VALUES " + ", ".join(f"((-2)::BIGINT, {i}::BIGINT, {st}::INT, {q(r)})" for i, (_, st, r) in enumerate(PATHS)) + ") v",
+        "detect_struct": f"{SQL_ALL}, e AS (SELECT doc_id, {q_pick(REQUESTED, 'doc_id')} AS r FROM documents), f AS (SELECT doc_id, {code} AS x FROM e), "
+        "g AS (SELECT d.doc_id, coalesce(x, code) AS code, CASE WHEN x IS NULL THEN confidence ELSE 1::DOUBLE END AS confidence, CASE WHEN x IS NULL THEN source ELSE 'explicit' END AS source FROM d JOIN f USING (doc_id)) "
+        f"SELECT g.doc_id, g.code, j.name_fa, j.name_en, j.language, j.status, g.confidence, g.source FROM g LEFT JOIN {SQL_DIM} ON j.code = g.code",
     }

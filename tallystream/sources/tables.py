@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import logging
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import RULE_SERVER_LIMIT, encode_reply, within_limit
-
-LOG = logging.getLogger("tallystream")
+from ..functions.codec import allow_repeated_keys, encode_reply
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_requests(spark: SparkSession, path: str, limit: int = RULE_SERVER_LIMIT) -> DataFrame:
-    """One JSON body a line, as the column body; bodies over the limit are left out."""
-    return spark.read.text(path).select(F.col("value").alias("body")).filter(within_limit(F.col("body"), limit))
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON body a line, as the column body. Bodies over a limit stay: operators.chat answers them."""
+    allow_repeated_keys(spark)
+    return spark.read.text(path).select(F.col("value").alias("body"))
 
 
-def stream_requests(spark: SparkSession, path: str, limit: int = RULE_SERVER_LIMIT) -> DataFrame:
-    return spark.readStream.text(path).select(F.col("value").alias("body")).filter(within_limit(F.col("body"), limit))
+def stream_requests(spark: SparkSession, path: str) -> DataFrame:
+    allow_repeated_keys(spark)
+    return spark.readStream.text(path).select(F.col("value").alias("body"))
 
 
 def write_replies(df: DataFrame, path: str, reply: str = "reply", plain: bool = False) -> None:
