@@ -1,28 +1,38 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-Training takes at most SAMPLE labelled documents of the training folds (the smallest by a
-hash of their id). Near copies of one label among them count once (Jaccard similarity of runs of
-SHINGLE words of SIMILAR or more, compared exactly). The
-words that toxic documents hold and ordinary ones hardly do are the toxic samples, the
-ordinary documents, whole but cut into samples of PIECE words, the others; one dictionary is trained on each. A window (a word without
-punctuation, followed by a fixed anchor that both dictionaries end with, so that a few bytes
-are compressible at all) is compressed with both; the ordinary length less the toxic one is
-its margin in bytes. A document has its counts of windows at each margin threshold, as
-logarithms and as rates that RATE_WORDS more words dampen in short texts, and a logistic fit on the sample calibrates them to a probability.
-
-Scoring keeps no state between documents but a bounded cache of margins by word.
+A window is one word or two neighbouring words (without punctuation, each width in its own
+row of windows), followed by a fixed anchor that both dictionaries end with, so that a few
+bytes are compressible at all. It is compressed with a dictionary trained on toxic text and
+with one trained on ordinary text; the ordinary length less the toxic one is its margin in
+bytes.
+
+The first dictionaries are trained on the whole texts of each class. In toxic texts most
+windows are ordinary all the same, so in PASSES more rounds the toxic dictionary is trained
+on those windows of the toxic texts whose margin under the pair so far is above a threshold
+that is calibrated on the ordinary texts (RARE of their windows are at or below it).
+A document has its counts of windows at each margin, as logarithms and as rates that
+RATE_WORDS more windows dampen in short texts, and a logistic fit calibrates these to a
+probability. One in PARTS rows of each class is kept from the dictionaries for that fit, which
+weights the rows to the classes' true numbers.
+
+Training takes whole labelled documents of the training folds in the order of a hash of their
+id, at most SAMPLE rows and SAMPLE_BYTES of each class; a text that doesn't fit into what is
+left of the bytes is passed over. Near copies of one label among them count once (Jaccard
+similarity of runs of SHINGLE words of SIMILAR or more, compared exactly).
+
+Scoring keeps no state between documents; texts are read whole, in pieces of bounded size.
 
 Defined results: NULL and empty texts have no windows and get the fit's value for that; equal
 texts get equal scores; an empty table gives an empty result; labels of several rows count as
-their largest; without toxic or ordinary training rows all scores are 0. Only the text is an
-input of a score. Whole texts are read.
+their largest, and an id with several texts trains with its smallest; without toxic or ordinary
+training rows all scores are 0. Only the text is an input of a score. Columns of docs are all
+carried, whatever their names; only one called like the score is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,16 +43,18 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import fresh, plain
 
-SHINGLE, SIMILAR, PIECE = 5, 0.8, 300
+SHINGLE, SIMILAR = 5, 0.8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-SAMPLE, TOXIC_BYTES, ORDINARY_BYTES = 12_000, 4096, 32_768
-MARGINS, RATE_WORDS, ENOUGH = range(1, 8), 50, 0.7
-CACHE = 200_000
+SAMPLE, SAMPLE_BYTES = 12_000, 6 << 20
+#: Bytes of the dictionaries (first toxic, later toxic, ordinary) and the segment lengths they are made of.
+FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, TOXIC_SEGMENT = 16_384, 2048, 65_536, 16, 16
+PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 2, (1, 2), range(9), 50, 0.99, 3, 0.7
+SLICE = 1 << 20
 #: A run of distinct bytes: one match for the compressor.
-ANCHOR = b"|0123456789~abcdefghijklmnopqrstuvwxyz#ZYXWVUTSRQPONMLKJIHGFEDCBA^<>{}[]<>{}[]|"
-_EDGE = b".,;:!?()[]{}\"'*$%#&"
+ANCHOR = b"|0123456789~abcdefghijklmnop#ZYXWVUTSRQPON^<>{}[]|"
+_EDGE = b".,;:!?()[]{}\"'*$%#&|"
 
 
 def words(text: str) -> list[bytes]:
@@ -50,6 +62,80 @@ def words(text: str) -> list[bytes]:
     return [w for w in (x.strip(_EDGE) for x in text.lower().encode().split()) if w]
 
 
+def pieces(text: str, size: int = SLICE) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of an even number of them except for the last, from slices of about size characters."""
+    at, left = 0, []
+    while at < len(text):
+        end = at + size
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        got = left + words(text[at:end])
+        at = end
+        left = got[len(got) - len(got) % 2 :]
+        if len(got) > len(left):
+            yield got[: len(got) - len(left)]
+    if left:
+        yield left
+
+
+def windows(found: list[bytes], width: int) -> list[bytes]:
+    """Neighbouring words, width at a time."""
+    return [b" ".join((b"", *found[i : i + width], b"")) for i in range(0, len(found), width)] if width > 1 else [b" " + w + b" " for w in found]
+
+
+class Pair:
+    """Compressors with the two dictionaries."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        p = zs.ZstdCompressionParameters.from_level(9, window_log=20, min_match=4, strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        self.ordinary, self.toxic = (zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d + ANCHOR, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (ordinary, toxic))
+
+    def margins(self, found: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves over the ordinary one, for each window."""
+        distinct_ = list(dict.fromkeys(found))
+        if not distinct_:
+            return np.zeros(0, np.int64)
+        size = np.fromiter(map(len, distinct_), np.uint64, len(distinct_)) + np.uint64(len(ANCHOR))
+        segments = np.stack([np.cumsum(size) - size, size], axis=1).astype("<u8").tobytes()
+        data = zs.BufferWithSegments(ANCHOR.join(distinct_) + ANCHOR, segments)
+        a, b = (np.fromiter((len(x[i]) for i in range(len(x))), np.int64, len(x)) for x in (c.multi_compress_to_buffer(data) for c in (self.ordinary, self.toxic)))
+        if len(distinct_) == len(found):
+            return a - b
+        value = dict(zip(distinct_, (a - b).tolist()))
+        return np.fromiter(map(value.__getitem__, found), np.int64, len(found))
+
+    def histograms(self, texts: list[str]) -> np.ndarray:
+        """For each text and width, how many windows reach each of MARGINS, and how many there are. Small texts share calls."""
+        out = np.zeros((len(texts), len(WIDTHS), len(MARGINS) + 1), np.int64)
+        held: list[tuple[int, list[bytes]]] = []
+        room = SLICE
+        for i, t in enumerate(texts):
+            for part in pieces(t):
+                held.append((i, part))
+                room -= 8 * len(part)
+                if room <= 0:
+                    self._count(held, out)
+                    held, room = [], SLICE
+        self._count(held, out)
+        return out
+
+    def _count(self, held: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
+        for j, width in enumerate(WIDTHS):
+            each = [windows(p, width) for _, p in held]
+            m = np.clip(self.margins([w for e in each for w in e]), -1, len(MARGINS) - 1)
+            text = np.repeat([i for i, _ in held], [len(e) for e in each])
+            # windows by text and margin, then how many reach each margin
+            table = np.bincount(text * (len(MARGINS) + 1) + m + 1, minlength=len(out) * (len(MARGINS) + 1)).reshape(len(out), -1) if len(m) else 0
+            if len(m):
+                down = table[:, ::-1].cumsum(axis=1)[:, ::-1]
+                out[:, j] += np.concatenate([down[:, 1:], down[:, :1]], axis=1)
+
+
+def features(counts: np.ndarray) -> np.ndarray:
+    c, n = counts[:, :-1], counts[:, -1:]
+    return np.r_[np.log1p(c).ravel(), (c * RATE_WORDS / (n + RATE_WORDS)).ravel(), np.log1p(n[0]), 1.0]
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -57,7 +143,6 @@ class Model:
     weights: list[float]
 
     def __post_init__(self):
-        self._cache: dict[bytes, int] = {}
         self._pair = None
 
     def __getstate__(self):
@@ -67,32 +152,16 @@ class Model:
         self.toxic, self.ordinary, self.weights = state
         self.__post_init__()
 
-    def _compressors(self):
+    def scores(self, texts: list[str]) -> list[float]:
+        if not self.weights:
+            return [0.0] * len(texts)
         if self._pair is None:
-            p = zs.ZstdCompressionParameters.from_level(9, window_log=17, min_match=4, strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
-            self._pair = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d + ANCHOR, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (self.ordinary, self.toxic)]
-        return self._pair
-
-    def margin(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one."""
-        found = self._cache.get(word)
-        if found is None:
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            window = b" " + word + b" " + ANCHOR
-            ordinary, toxic = self._compressors()
-            found = self._cache[word] = len(ordinary.compress(window)) - len(toxic.compress(window))
-        return found
-
-    def features(self, text: str) -> np.ndarray:
-        m = np.fromiter(map(self.margin, words(text)), np.int32)
-        counts, n = np.array([(m >= k).sum() for k in MARGINS]), len(m)
-        return np.r_[np.log1p(counts), counts[1:] * RATE_WORDS / (n + RATE_WORDS), np.log1p(n), 1.0]
+            self._pair = Pair(self.ordinary, self.toxic)
+        w = np.array(self.weights)  # a product for each text, so that equal texts get equal sums
+        return [float(1 / (1 + np.exp(-np.clip(features(c) @ w, -500, 500)))) for c in self._pair.histograms(texts)]
 
     def score(self, text: str) -> float:
-        if not self.weights:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ np.array(self.weights), -500, 500))))
+        return self.scores([text])[0]
 
 
 def shingles(text: str) -> np.ndarray:
@@ -147,72 +216,108 @@ def distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Trained content; the samples' own bytes where there are too few to train on."""
+def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Trained content. Few samples are made more by giving them again; if they are too uniform to train on, they are the content."""
+    if not any(samples):
+        return b" "
+    again = max(1, math.ceil(64 / len(samples)), math.ceil(8 * segment * 8 / max(1, sum(map(len, samples)))))
     try:
-        return zs.train_dictionary(size, samples).as_bytes()
+        return zs.train_dictionary(size, samples * again, k=segment, d=6).as_bytes()
     except zs.ZstdError:
-        return b" ".join(samples)[-size:] or b" "
-
-
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows."""
+        return b" ".join(samples)[:size]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionaries from the whole texts of both classes."""
+    t, o = [words(x) for x in toxic], [words(x) for x in ordinary]
+    base = _dictionary([b" ".join(x) for x in o], ORDINARY_BYTES, SEGMENT)
+    marked = _dictionary([b" ".join(x) for x in t], FIRST_BYTES, SEGMENT)
+    usual_windows = windows([w for x in o for w in x], 1)
+    for _ in range(PASSES if usual_windows else 0):
+        pair = Pair(base, marked)
+        usual = max(0, int(np.quantile(pair.margins(usual_windows), RARE, method="lower")))
+        samples = []
+        for x in t:
+            samples.append(b" ".join(w for w, m in zip(x, pair.margins(windows(x, 1)).tolist()) if m > usual))
+        marked = _dictionary([x for x in samples if x], TOXIC_BYTES, TOXIC_SEGMENT)
+    return base, marked
+
+
+def fit(rows: list[tuple[str, int]], true: tuple[int, int] | None = None) -> Model:
+    """A model from (text, label) rows; true gives the numbers of ordinary and toxic rows that these stand for."""
     rows = distinct(rows)
-    n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
-    if not n0 or not n1:
+    if len({y for _, y in rows}) < 2:
         return Model(b" ", b" ", [])
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, y in rows:
-        counts[y].update(set(words(t)))
-    marked = {w for w, c in counts[1].items() if c >= max(3, 0.006 * n1) and c / n1 > 10 * (counts[0][w] + 0.5) / n0}
-    del counts
-    toxic = [s for s in (b" ".join(w for w in words(t) if w in marked) for t, y in rows if y) if s]
-    ordinary = [b" ".join(w[k : k + PIECE]) for w in (words(t) for t, y in rows if not y) for k in range(0, len(w), PIECE)]
-    model = Model(_dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), [])
-    x = np.array([model.features(t) for t, _ in rows])
-    y = np.array([label for _, label in rows], float)
+    seen, learn, calibrate = [0, 0], [], []
+    for row in rows:  # each class is dealt out evenly
+        (calibrate if seen[row[1]] % PARTS == PARTS - 1 else learn).append(row)
+        seen[row[1]] += 1
+    if len({y for _, y in calibrate}) < 2:
+        learn = calibrate = rows
+    ordinary, toxic = dictionaries([t for t, y in learn if y], [t for t, y in learn if not y])
+    pair = Pair(ordinary, toxic)
+    x = np.array([features(c) for c in pair.histograms([t for t, _ in calibrate])])
+    y = np.array([label for _, label in calibrate], float)
+    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    share = np.array(true if true and all(true) else n) / n
+    by_row = np.where(y == 1, share[1], share[0]) * len(y) / (share @ n)
     w = np.zeros(x.shape[1])
     for _ in range(60):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve((x * (by_row * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (by_row * (y - p)) - 0.1 * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    model.weights = w.tolist()
-    return model
+    return Model(toxic, ordinary, w.tolist())
 
 
 def fold(key, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from the labelled documents whose fold isn't 1. At most sample rows reach the driver."""
-    marked = labels.filter(F.col(label).isNotNull() & (fold(key, 3) != 1)).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
-    chosen = marked.orderBy(F.xxhash64("_k", F.lit(11)), "_k").limit(sample)
-    found = docs.select(F.col(key).alias("_d"), plain(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k"))  # sample bounds the broadcast
-    rows = found.groupBy("_k").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")).collect()
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from the labelled documents whose fold isn't 1. At most sample rows and sample_bytes of each class reach the driver."""
+    marked = labels.filter(F.col(label).isNotNull() & (fold(key, 3) != 1)).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("_y"))
+    true = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = [marked.filter(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(11)), "_k").limit(sample) for y in (0, 1)]
+    texts = docs.select(F.col(key).alias("_d"), plain(f"`{text}`").alias("_t"))
+
+    def of(chosen: DataFrame) -> DataFrame:  # 2 * sample bounds the broadcast
+        found = texts.join(F.broadcast(chosen), F.col("_d") == F.col("_k"))
+        return found.groupBy("_k").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
+
+    sizes = of(first[0].union(first[1])).select("_k", "_y", F.octet_length("_t").alias("n"), F.xxhash64("_k", F.lit(11)).alias("h")).collect()
+    room, chosen = [sample_bytes, sample_bytes], []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["_k"])):
+        if r["n"] <= room[r["_y"]]:
+            room[r["_y"]] -= r["n"]
+            chosen.append((r["_k"], r["_y"]))
+    if not chosen:
+        return fit([])
+    kind = docs.schema[key].dataType.simpleString()
+    rows = of(docs.sparkSession.createDataFrame(chosen, f"_k {kind}, _y int")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["_k"]).encode()), r["_k"]))
-    return fit([(r["_t"], r["_y"]) for r in rows])
+    return fit([(r["_t"], r["_y"]) for r in rows], (true.get(0, 0), true.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """The columns of docs and the score (a column of that name is replaced)."""
-    names = [c for c in docs.columns if c not in (name, "_t")]
+    names = [c for c in docs.columns if c.lower() != name.lower()]
+    raw = fresh(docs, "_t")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.score(t) for t in b.column("_t").to_pylist()]
+            got = m.scores(b.column(raw).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(got, pa.float64())], names=[*names, name])
 
-    kept_ = docs.select(*[F.col(f"`{n}`") for n in names], plain(F.col(f"`{text}`")).alias("_t"))
-    return kept_.mapInArrow(run, kept_.drop("_t").schema.add(name, "double"))
+    kept_ = docs.select(*[F.col(f"`{n}`") for n in names], plain(F.col(f"`{text}`")).alias(raw))
+    return kept_.mapInArrow(run, kept_.drop(raw).schema.add(name, "double"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", enough: float = ENOUGH) -> DataFrame:
     """The documents that score below enough, with their own columns."""
-    scored = score(docs, train(docs, labels, key, text), text, "_score")
-    return scored.filter(F.col("_score") < enough).drop("_score")
+    name = fresh(docs, "_score")
+    scored = score(docs, train(docs, labels, key, text), text, name)
+    return scored.filter(F.col(name) < enough).select(*[F.col(f"`{c}`") for c in docs.columns])

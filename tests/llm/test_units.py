@@ -1,5 +1,6 @@
 """Parts of the corpus operators against brute force, without Spark."""
 
+import math
 import random
 import struct
 import zlib
@@ -145,9 +146,42 @@ def test_toxicity_drops_only_near_copies_of_one_label():
         assert toxicity.distinct(rows) == want
 
 
-def test_toxicity_ordinary_dictionary_learns_from_whole_texts(monkeypatch):
+def test_toxicity_dictionaries_learn_from_whole_texts(monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: seen.append(samples) or b"x")
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size, segment: seen.append(samples) or b"x")
     texts = [" ".join(f"d{i}w{k}" for k in range(750)) for i in range(4)]
-    toxicity.fit([*[(t, 0) for t in texts], *[(f"blorkish t{i}", 1) for i in range(4)]])
-    assert sorted(w for s in seen[1] for w in s.split()) == sorted(w.encode() for t in texts for w in t.split()) and max(len(s.split()) for s in seen[1]) <= 300
+    toxic = [f"blorkish t{i} " + " ".join(f"t{i}w{k}" for k in range(750)) for i in range(4)]
+    toxicity.dictionaries(toxic, texts)
+    offered = lambda n: sorted(w for s in seen[n] for w in s.split())
+    assert offered(0) == sorted(w.encode() for t in texts for w in t.split()) and offered(1) == sorted(w.encode() for t in toxic for w in t.split())
+
+
+def test_toxicity_margins_and_score_by_hand():
+    import zstandard as zs
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8)))
+    rows = [(" ".join([*(word() for _ in range(60)), *(["blorkish", "grumpfen"] * (i % 3 == 0))]), int(i % 3 == 0)) for i in range(90)]
+    m = toxicity.fit(rows)
+    params = zs.ZstdCompressionParameters.from_level(9, window_log=20, min_match=4, strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    length = lambda d, x: len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d + toxicity.ANCHOR, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x + toxicity.ANCHOR))
+    for text in ("", " , ", "Blorkish", "a (Grumpfen), the end " * 5, rows[0][0], rows[1][0], "One\ttwo\nthree"):
+        w = [x.strip(".,;:!?()[]{}\"'*$%#&|") for x in text.lower().split()]
+        w = [x.encode() for x in w if x]
+        x = []
+        for ahead in (lambda c, n: math.log1p(c), lambda c, n: c * 50 / (n + 50)):
+            for width in (1, 2):
+                each = [b" " + b" ".join(w[i : i + width]) + b" " for i in range(0, len(w), width)]
+                margin = [length(m.ordinary, y) - length(m.toxic, y) for y in each]
+                x += [ahead(sum(v >= k for v in margin), len(each)) for k in range(9)]
+        x += [math.log1p(len(w)), 1.0]
+        assert abs(m.score(text) - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, m.weights))))) < 1e-9
+    assert m.score("blorkish grumpfen " + word()) > m.score(word() + " " + word())
+
+
+def test_toxicity_pieces():
+    text = "one two  three " * 50 + "x" * 90 + " end"
+    for size in (1, 7, 64, 10**6):
+        got = list(toxicity.pieces(text, size))
+        assert [w for p in got for w in p] == toxicity.words(text) and all(len(p) % 2 == 0 for p in got[:-1])
+    assert list(toxicity.pieces("")) == list(toxicity.pieces(" . ")) == []
