@@ -37,26 +37,31 @@ from .common import plain
 # Fixed values of HTML: elements that start and end blocks, that have no end tag, and that show no text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = ("script", "style", "noscript", "template", "iframe", "svg", "math", "head", "title", "textarea", "object", "canvas", "audio", "video", "noembed", "noframes", "xmp")
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # their text is no markup
+HIDDEN = RAW | frozenset("noscript template svg head object canvas audio video annotation annotation-xml".split())
 _ENDS_P = BLOCKS - {"html", "body", "button", "option", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li", "legend", "figcaption", "summary"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>?", re.S)
-_HIDDEN_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_HIDDEN_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in HIDDEN}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _OFF = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_QUOTE = re.compile(r"=\s*([\"'])")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # camel case is cut
 
 # Words that name a kind of content, for the nearest-ancestor feature and for layouts.
 CONTENT_NAMES = "article content post entry story main body text maincontent".split()
 OTHER_NAMES = (
     "nav menu navigation navbar topbar toolbar breadcrumb header masthead banner logo footer foot copyright contentinfo legal sidebar side aside complementary widget related recommended popular trending more ad advert advertisement sponsor "
-    "sponsored promo promotion promoted cookie consent privacy notice alert warning gdpr popup modal dialog overlay newsletter subscribe subscription signup form login search comment reply replie respond response discussion discus disqus feedback "
+    "sponsored promo promotion promoted cookie consent privacy notice alert warning gdpr popup modal dialog overlay newsletter subscribe subscription signup form login search comment reply replie respond response discus disqus feedback "
     "share social follow tag meta byline author pagination pager unseen"
 ).split()
 OTHER_TAGS = frozenset("nav header footer aside form dialog button select fieldset menu search".split())
 CONTENT_TAGS = frozenset("article main".split())
 _OTHER, _CONTENT = frozenset(OTHER_NAMES), frozenset(CONTENT_NAMES)
 _INSIDE = sorted((w for w in OTHER_NAMES if len(w) > 4), key=len, reverse=True)
+#: Names that say something else in a compound with a word of the subject (meta-analysis, search-results-of-1990).
+_WEAK = frozenset("meta legal response respond feedback related more search alert notice warning privacy consent share follow tag author side header banner trending popular".split())
+_NEUTRAL = frozenset("box wrap wrapper area block list section item inner outer site page right left inline top bottom bar row col column container slot unit card info link button btn title text content body post entry article main head module panel nav icon".split())
 LABELS = ("other", "content")
 PAGES, SEED, ROUNDS = 700, 31, 110
 
@@ -73,14 +78,22 @@ class _Node:
 
 @lru_cache(maxsize=1 << 16)
 def _names(value: str) -> tuple[str, ...]:
-    """The words of an attribute, without plural s; a word that holds the name of a kind of content is that name too."""
+    """The words of an attribute, without plural s; a word that holds the name of a kind of content is that name too.
+
+    A weak name beside a word that is no part of page layouts isn't one.
+    """
     out = set()
-    for w in _WORD.findall(value):
-        w = w.lower()
-        w = w[:-1] if len(w) > 2 and w[-1] == "s" and w[-2] != "s" else w
-        out.add(w)
-        if w not in _OTHER:
-            out.update([x for x in _INSIDE if x in w][:1])
+    for token in value.strip("\"'").split():
+        own = set()
+        for w in _WORD.findall(token):
+            w = w.lower()
+            w = w[:-1] if len(w) > 2 and w[-1] == "s" and w[-2] != "s" else w
+            own.add(w)
+            if w not in _OTHER:
+                own.update([x for x in _INSIDE if x in w][:1])
+        if own & _WEAK and not own <= _OTHER | _CONTENT | _NEUTRAL:
+            own -= _WEAK
+        out |= own
     return tuple(sorted(out))
 
 
@@ -136,33 +149,79 @@ def leaf_blocks(page: str, known: frozenset | None = None) -> list[tuple[str, _N
             if n == tag:
                 return
 
+    beyond: dict[str, int] = {}  # from where on something is known not to occur
+
+    def find(what: str, start: int) -> int:
+        """As page.find, without searching again where there is none."""
+        if start >= beyond.get(what, size + 1):
+            return -1
+        k = page.find(what, start)
+        if k < 0:
+            beyond[what] = min(start, beyond.get(what, start))
+        return k
+
+    def tag_end(k: int) -> int:
+        """The place of the > that ends a tag; size if there is none. A quoted value may hold >; a quote that isn't closed before the next tag's quote is none."""
+        while True:
+            g = find(">", k)
+            if g < 0:
+                return size
+            q = _QUOTE.search(page, k, g)
+            if q is None:
+                return g
+            end = find(q[1], q.end())
+            if end < 0 or end > g and not (end + 1 >= size or page[end + 1] in " \t\n\r\f/>"):
+                return g
+            k = end + 1
+
     at = 0
     while True:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            text(page[at:lt])
+            if page.startswith("<!--", lt):
+                end = lt + 4 if page.startswith((">", "->"), lt + 4) else find("-->", lt + 4)
+                end = find(">", end) if end == lt + 4 else end + 2 if end >= 0 else -1
+            else:
+                end = find(">", lt)
+            at = end + 1 if end >= 0 else size
+            continue
+        closing = after == "/"
+        m = _NAME.match(page, lt + 1 + closing)
+        if m is None:
+            text(page[at : lt + 1])
+            at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        text(page[at:lt])
+        tag = m[0].lower() if len(m[0]) < 64 else ""
+        end = find(">", m.end()) if closing else tag_end(m.end())
+        attrs, at = page[m.end() : end], end + 1 if end >= 0 else size
+        if end < 0 or end >= size:
+            break
+        if closing:
             if tag == "a":
                 link_depth = max(0, link_depth - 1)
             elif tag in BLOCKS:
-                flush(m.start())
+                flush(lt)
                 if opened[tag]:
                     close(tag)
             continue
-        if tag in _HIDDEN_END:
-            if tag in BLOCKS or tag in ("head",):
-                flush(m.start())
-            end = _HIDDEN_END[tag].search(page, at)
-            if tag == "head" and end is None:
-                continue
-            if not m[3].endswith("/"):
-                at = end.end() if end else len(page)
+        if tag in HIDDEN:
+            if tag == "head":
+                flush(lt)
+            stop = None
+            if not attrs.endswith("/") and at < beyond.get(f"</{tag}", size + 1):
+                stop = _HIDDEN_END[tag].search(page, at)
+                if stop is None:
+                    beyond[f"</{tag}"] = at
+            if stop is not None:
+                at = stop.end()
+            elif tag in ("script", "style") and not attrs.endswith("/"):
+                at = size  # other elements that are never closed hide nothing
             continue
         if tag == "br":
             parts.append(" ")
@@ -171,14 +230,14 @@ def leaf_blocks(page: str, known: frozenset | None = None) -> list[tuple[str, _N
         elif tag == "img" or tag == "input":
             continue
         elif tag in BLOCKS:
-            flush(m.start())
+            flush(lt)
             if tag in _ENDS_P and opened["p"]:
                 close("p")
             for t in _SAME.get(tag, ()):
                 if stack[-1].tag == t:
                     close(t)
             if tag not in VOID:
-                stack.append(_enter(stack[-1], tag, m[3], known))
+                stack.append(_enter(stack[-1], tag, attrs, known))
                 opened[tag] += 1
     flush(size)
     return out
@@ -247,6 +306,21 @@ class Field:
         return "\n\n".join(b[0] for b, y in zip(blocks, self.viterbi(blocks)) if y)
 
 
+def expected(e: np.ndarray, mask: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pages with scores e (page, place, label) where mask is set, and transition scores t: the logarithms of the sums over all labellings, the labels' probabilities and the expected number of each transition."""
+    longest = e.shape[1]
+    fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+    fwd[:, 0] = e[:, 0]
+    for j in range(1, longest):
+        fwd[:, j] = np.where(mask[:, j, None], np.logaddexp.reduce(fwd[:, j - 1, :, None] + t, axis=1) + e[:, j], fwd[:, j - 1])
+    for j in range(longest - 2, -1, -1):
+        bwd[:, j] = np.where(mask[:, j + 1, None], np.logaddexp.reduce(t + (e[:, j + 1] + bwd[:, j + 1])[:, None, :], axis=2), 0.0)
+    z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+    both = mask[:, 1:] & mask[:, :-1]
+    pair = np.exp(fwd[:, :-1, :, None] + t + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])[both].sum(axis=0)
+    return z, np.exp(fwd + bwd - z[:, None, None]), pair
+
+
 def train(pages: list[tuple[list, list[int]]], rounds: int = ROUNDS, penalty: float = 0.01) -> Field:
     """A field from (blocks, labels) of pages: gradient ascent on the penalised likelihood, by forward and backward sums over all pages at once."""
     pages = [p for p in pages if p[0]]
@@ -271,15 +345,8 @@ def train(pages: list[tuple[list, list[int]]], rounds: int = ROUNDS, penalty: fl
     for step in range(1, rounds + 1):
         e = np.zeros((n, longest, 2))
         e[mask] = flat @ w
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for j in range(1, longest):
-            fwd[:, j] = np.where(mask[:, j, None], np.logaddexp.reduce(fwd[:, j - 1, :, None] + t, axis=1) + e[:, j], fwd[:, j - 1])
-        for j in range(longest - 2, -1, -1):
-            bwd[:, j] = np.where(mask[:, j + 1, None], np.logaddexp.reduce(t + (e[:, j + 1] + bwd[:, j + 1])[:, None, :], axis=2), 0.0)
-        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-        p = np.exp(fwd + bwd - z[:, None, None])[mask]
-        pair = np.exp(fwd[:, :-1, :, None] + t + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])[both].sum(axis=0)
+        _, p, pair = expected(e, mask, t)
+        p = p[mask]
         for k, (v, g) in enumerate(((w, (gold - flat.T @ p) / n - penalty * w / n), (t, (gold_t - pair) / n - penalty * t / n))):
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
@@ -373,7 +440,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             return f"<div{attrs(['share', 'social', 'follow', 'tags', 'meta', 'byline', 'pagination', 'pager', 'toolbar'])}>{rng.choice([links(3), say(1, 10, False)])}</div>"
         one = lambda: f"<{(d := rng.choice(['div', 'li', 'article', 'p']))}{attrs(['comment', 'reply', 'comments', 'response']) if rng.random() < 0.7 else ''}>{rng.choice(['<b>' + say(1, 2, False) + '</b> ', ''])}{long_text() if d != 'p' else say(3, 60)}</{d}>"
         body = f"<h2>{say(1, 3, False)}</h2>" * (rng.random() < 0.7) + "".join(one() for _ in range(rng.randint(1, 5)))
-        return f"<{(d := rng.choice(['section', 'div', 'ol', 'aside']))}{attrs(['comments', 'comment', 'replies', 'respond', 'responses', 'discussion', 'feedback'])}>{body}</{d}>"
+        return f"<{(d := rng.choice(['section', 'div', 'ol', 'aside']))}{attrs(['comments', 'comment', 'replies', 'respond', 'responses', 'feedback'])}>{body}</{d}>"
 
     def article() -> str:
         out = []
@@ -403,7 +470,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             elif r < 0.25:
                 content.append(say(2, 15))
                 out.append(f"<figure><img src=x><figcaption>{content[-1]}</figcaption></figure>")
-            elif r < 0.42:
+            elif r < 0.28:  # a part of the article under a name of its own
+                tag = rng.choice(["section", "section", "div"])
+                own = rng.choice(["discussion", "results", "meta-analysis", "method", "background", "summary", "legal-history", "search-results-1990", "related-work", "conclusion", "response-times", "notice-period"])
+                out.append(f'<{tag} {rng.choice(["class", "class", "id"])}="{own}">' + (heading(2) if rng.random() < 0.6 else "") + p() + (p() if rng.random() < 0.5 else "") + f"</{tag}>")
+            elif r < 0.44:
                 out.append(noise(rng.choice(["ad", "ad", "share", "form", "side", "notice", "hidden", "nav", "footer"])))
         if rng.random() < 0.2:
             out.append(noise("comments"))
