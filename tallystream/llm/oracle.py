@@ -137,11 +137,14 @@ WITH texts AS (
     FROM kinds, (VALUES (0), (1)) AS f(form)
 ), lists AS (
     SELECT r, side, id, form, list(word ORDER BY i) AS words, list(slot ORDER BY i) AS slots, list(literal ORDER BY i) AS literals FROM forms GROUP BY ALL
+), sized AS (
+    SELECT *, least({d.WINDOW}, len(words)) AS size FROM lists WHERE side = 'b'
+    UNION ALL SELECT * FROM lists, (SELECT DISTINCT least({d.WINDOW}, len(words)) AS size FROM lists WHERE side = 'b') WHERE side = 'd'
 ), places AS (
-    SELECT *, unnest(range(1, len(words) - {d.WINDOW} + 2)) AS p FROM lists
+    SELECT *, unnest(range(1, len(words) - size + 2)) AS p FROM sized
 ), windows AS (
-    SELECT side, id, form, p, array_to_string(words[p : p + {d.WINDOW - 1}], ' ') AS string, slots[p : p + {d.WINDOW - 1}] AS slots
-    FROM places WHERE list_sum(literals[p : p + {d.WINDOW - 1}]) >= {d.LITERAL}
+    SELECT side, id, form, p, array_to_string(words[p : p + size - 1], ' ') AS string, slots[p : p + size - 1] AS slots
+    FROM places WHERE list_sum(literals[p : p + size - 1]) >= {d.LITERAL}
 ), theirs AS (
     SELECT DISTINCT id AS item_id, form, p, string, slots FROM windows WHERE side = 'b'
 ), met AS (
@@ -153,8 +156,14 @@ WITH texts AS (
     SELECT doc_id, item_id, a, b, count(*) AS n FROM met WHERE a <> '' GROUP BY ALL
 ), by_value AS (
     SELECT doc_id, item_id, a, sum(n) AS n, max(n) AS best, coalesce(sum(n) FILTER (a <> b), 0) AS changed FROM votes GROUP BY ALL
-), agreed AS (
+), by_seen AS (
+    SELECT doc_id, item_id, b, max(n) AS best FROM votes GROUP BY ALL
+), back AS (
+    SELECT doc_id, item_id, sum(best)::BIGINT AS best FROM by_seen GROUP BY ALL
+), forward AS (
     SELECT doc_id, item_id, sum(n)::BIGINT AS n, sum(best)::BIGINT AS best, sum(changed) AS changed FROM by_value GROUP BY ALL
+), agreed AS (
+    SELECT doc_id, item_id, n, least(forward.best, back.best) AS best, changed FROM forward JOIN back USING (doc_id, item_id)
 ), lengths AS (
     SELECT item_id, count(DISTINCT p) AS item_windows FROM theirs GROUP BY ALL
 ), pairs AS (

@@ -214,3 +214,12 @@ def test_decontaminate_several_variants(spark):
     assert set(got) == {1, 2, 3, 4, 6, None}
     assert got[1].verbatim and got[3].verbatim and got[1].consistency == 1.0 and got[1].coverage == 1.0 and got[None].verbatim
     assert not got[2].verbatim and got[2].consistency == 1.0 and not got[6].verbatim
+
+
+def test_decontaminate_short_items_and_merged_values(spark):
+    short, item = "Which colour is the rarest opal?", "Anna has 12 red apples and buys 7 more at the small market, how many apples does she hold after 3 days"
+    bench = spark.createDataFrame([(0, short), (1, "two words"), (2, "12 13 14"), (3, item)], "item_id long, text string")
+    merged = item.replace("12", "7").replace("3 days", "7 days").replace("Anna", "Boris")
+    texts = [(1, f"before {short} after"), (2, short), (3, "Which colour is the rarest ruby?"), (4, "two words and 12 13 14"), (5, merged), (6, item.replace("12", "8").replace("7 more", "9 more"))]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 0), (2, 0), (6, 3)} and got[1, 0].coverage == 1.0 and got[1, 0].verbatim
