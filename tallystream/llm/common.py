@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from ..sources.shared import shared_folder
 
 #: Word separators: the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, MOST_KEYS = 12 << 20, 1 << 17
 
 
 def plain(c: Column | str) -> Column:
@@ -52,9 +53,35 @@ def blocks_for(total: int, size: int = BLOCK_BYTES) -> int:
     return max(1, math.ceil(total / size))
 
 
+def even_keys(n: int) -> list[int]:
+    """n integers that Spark's hash partitioning deals to n different partitions of n, so that no task gets two blocks; for very many, 0 to n - 1."""
+    if n > MOST_KEYS:
+        return list(range(n))
+    out, left, start = np.full(n, -1, np.int64), n, 0
+    u = np.uint32
+    with np.errstate(over="ignore"):
+        while left:
+            v = np.arange(start, start + 4 * n, dtype=np.uint32)
+            k = v * u(0xCC9E2D51)
+            k = (k << u(15) | k >> u(17)) * u(0x1B873593)
+            h = u(42) ^ k
+            h = (h << u(13) | h >> u(19)) * u(5) + u(0xE6546B64)
+            h ^= u(4)
+            for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+                h = (h ^ h >> u(shift)) * u(by)
+            place = (h ^ h >> u(16)).view(np.int32).astype(np.int64) % n
+            for at, value in zip(*np.unique(place, return_index=True)):
+                if out[at] < 0:
+                    out[at], left = v[value], left - 1
+            start += 4 * n
+    return out.tolist()
+
+
 def into_blocks(docs: DataFrame, n: int, *keys: str) -> DataFrame:
     """Adds _block, dealt by a hash of the keys, and partitions by it."""
-    return docs.withColumn("_block", F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(n)).cast("int")).repartition(n, "_block")
+    place = F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(n)).cast("int")
+    block = F.element_at(F.lit(even_keys(n)).cast("array<int>"), place + 1) if 1 < n <= MOST_KEYS else place
+    return docs.withColumn("_block", block).repartition(n, "_block")
 
 
 ASK = "shard int, block int, data binary"
@@ -68,10 +95,13 @@ def exchange(blocks: DataFrame, ask: Callable, serve: Callable, finish: Callable
     questions ordered by block, so reruns agree.
     """
 
+    places = even_keys(shards)
+    index = {x: i for i, x in enumerate(places)}
+
     def asks(key: tuple, t: pa.Table) -> pa.Table:
         got = ask(t)
         block = key[0].as_py()
-        return pa.table({"shard": pa.array([x for x, _ in got], pa.int32()), "block": pa.array([block] * len(got), pa.int32()), "data": pa.array([x for _, x in got], pa.binary())})
+        return pa.table({"shard": pa.array([places[x] for x, _ in got], pa.int32()), "block": pa.array([block] * len(got), pa.int32()), "data": pa.array([x for _, x in got], pa.binary())})
 
     def serves(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
@@ -79,7 +109,7 @@ def exchange(blocks: DataFrame, ask: Callable, serve: Callable, finish: Callable
         return pa.table({"block": t["block"], "shard": pa.array([key[0].as_py()] * len(replies), pa.int32()), "data": pa.array(replies, pa.binary())})
 
     def finishes(_: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
-        return finish(t, dict(zip(replies["shard"].to_pylist(), replies["data"].to_pylist())))
+        return finish(t, {index[x]: y for x, y in zip(replies["shard"].to_pylist(), replies["data"].to_pylist())})
 
     asked = blocks.groupBy("_block").applyInArrow(asks, ASK).repartition(shards, "shard")
     replied = asked.groupBy("shard").applyInArrow(serves, REPLY)

@@ -11,9 +11,11 @@ K comes from a fixed grid by the leave-one-out likelihood of all training docume
 the same pass computes.
 
 Counts are of all training documents. The automaton is never in one place: each block of
-documents asks the shards that own its bigrams and words for their counts (common.exchange)
-and builds the part of the automaton that its texts can reach, so memory is bounded by the
-block and the shard, and what is moved grows with the input.
+documents asks the shards that own its bigrams and words for their counts (common.exchange),
+builds the states, arcs and failure arcs that its texts can reach, and reads its texts through
+them in step, so memory is bounded by the block and the shard, and what is moved grows with
+the input. Histories are of one word: with two, the distinct n-grams that blocks ask about
+would more than double.
 
 Defined results: a NULL or empty text is one end token; repeated rows are scored and counted
 each; without training documents c, N and V are 0; a NULL id has the fold of an empty string;
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,33 +40,54 @@ from .common import blocks_for, exchange, into_blocks, kept, plain, text_bytes
 ALPHA = 0.1
 GRID = [1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 65536.0]
 FOLDS = 10
-BLOCK, SHARD = 10 << 20, 24 << 20
+BLOCK, SHARD, STRETCH = 10 << 20, 24 << 20, 256
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 5)), np.uint64(xxhash.xxh64_intdigest(b" ", 5))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class BackoffAutomaton:
-    """The same automaton in memory, for small corpora: arcs, failure arcs and a traversal."""
+class Automaton:
+    """A weighted backoff automaton in arrays, with a weight for each value of K in ks.
 
-    def __init__(self, texts: list[str], k: float, alpha: float = ALPHA):
-        docs = [[*t.encode().lower().split(), None] for t in texts]
-        self.words = Counter(w for d in docs for w in d)
-        self.n, self.v, self.alpha = sum(self.words.values()), len(self.words), alpha
-        pairs = Counter(p for d in docs for p in zip(["", *d[:-1]], d))
-        total = Counter({h: c for h, c in self.words.items() if h is not None} | {"": len(docs)})
-        self.fail = {h: np.log10(k / (c + k)) for h, c in total.items()}
-        self.arcs = {(h, w): np.log10((c + k * 10 ** self.root(w)) / (total[h] + k)) for (h, w), c in pairs.items()}
-
-    def root(self, w: bytes | None) -> float:
-        return float(np.log10((self.words[w] + self.alpha) / (self.n + self.alpha * (self.v + 1))))
+    States are the words by number, then the start, then the root. An arc is a number
+    state * width + word in sorted order; its target is the word's own state if the word was
+    seen in training, else the root. fail is the weight of a state's failure arc to the root,
+    root that of the root's arc for a word.
+    """
 
-    def score(self, text: str) -> float:
-        state, total = "", 0.0
-        for w in [*text.encode().lower().split(), None]:
-            arc = self.arcs.get((state, w))
-            total += arc if arc is not None else self.fail.get(state, 0.0) + self.root(w)
-            state = w
-        return total
+    def __init__(self, n_words: int, arcs: np.ndarray, weight: np.ndarray, fail: np.ndarray, root: np.ndarray, seen: np.ndarray):
+        self.start, self.root_state, self.width = n_words, n_words + 1, n_words
+        self.arcs, self.weight, self.fail, self.root = arcs, weight, fail, root
+        self.after = np.where(seen, np.arange(n_words), self.root_state)
+
+    def traverse(self, ids: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        """Log-probabilities (docs, ks) of token sequences, each read once from left to right.
+
+        All sequences are read in step. Long ones are cut into stretches, whose first state is
+        the one after the token before, as the automaton's memory is one token.
+        """
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(doc)])
+        cuts = -(-size // STRETCH)
+        within = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = np.repeat(first, cuts) + within * STRETCH
+        length = np.minimum(np.repeat(first + size, cuts) - begin, STRETCH)
+        order = np.argsort(-length, kind="stable")
+        begin, length, within = begin[order], length[order], within[order]
+        state = np.where(within == 0, self.start, self.after[ids[begin - 1]]) if len(ids) else begin
+        total = np.zeros((len(begin), self.fail.shape[1]))
+        for step in range(int(length[0]) if len(length) else 0):
+            m = int(np.searchsorted(-length, -step))  # the stretches that have a token here
+            word = ids[begin[:m] + step]
+            want = state[:m] * self.width + word
+            at = np.minimum(np.searchsorted(self.arcs, want), max(0, len(self.arcs) - 1))
+            has = self.arcs[at] == want if len(self.arcs) else np.zeros(m, bool)
+            hit, miss = np.flatnonzero(has), np.flatnonzero(~has)
+            total[hit] += self.weight[at[hit]]
+            total[miss] += self.fail[state[miss]] + self.root[word[miss], None]
+            state[:m] = self.after[word]
+        out = np.zeros((docs, total.shape[1]))
+        np.add.at(out, doc[begin], total)
+        return out
 
 
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +115,7 @@ class _Block:
         self.before = np.where(first, len(self.hashes), np.r_[0, self.ids[:-1]])  # one more id for the start
         pair = self.before * (len(self.hashes) + 1) + self.ids
         distinct, self.pair = np.unique(pair, return_inverse=True)
+        self.distinct = distinct
         context = np.r_[self.hashes, _START][distinct // (len(self.hashes) + 1)]
         both = (context * _A ^ self.hashes[distinct % (len(self.hashes) + 1)]) * _B
         both ^= both >> np.uint64(31)
@@ -162,13 +185,18 @@ def _finish(table: pa.Table, replies: dict[int, bytes], shards: int, key: str) -
     def per_doc(x: np.ndarray) -> np.ndarray:
         return np.bincount(b.doc, weights=x, minlength=docs)
 
-    scores, loo = np.empty((docs, len(GRID))), np.zeros((docs, len(GRID)))
+    ks = np.array(GRID)
+    # The part of the automaton that this block's texts can reach.
+    width = len(b.hashes)
+    known = np.flatnonzero(c_pair > 0)
+    context, word = b.distinct[known] // (width + 1), b.distinct[known] % (width + 1)
+    c_state = np.r_[c_word, starts, 0.0]
+    weight = np.log10((c_pair[known, None] + ks * p_word[word, None]) / (c_state[context, None] + ks))
+    automaton = Automaton(width, context * width + word, weight, np.log10(ks / (c_state[:, None] + ks)), np.log10(p_word), c_word > 0)
+    scores, loo = automaton.traverse(b.ids, b.doc, docs), np.zeros((docs, len(GRID)))
     train = ~b.held[b.doc]
     less = np.maximum((np.where(train, c_word[b.ids] - 1, 0) + ALPHA) / max(scale - 1, ALPHA), 1e-300)
     for j, k in enumerate(GRID):
-        arc = np.log10((c_hw + k * p) / (c_h + k))  # an arc where the bigram was seen
-        fail = np.log10(k / (c_h + k)) + np.log10(p)
-        scores[:, j] = per_doc(np.where(c_hw > 0, arc, fail))
         loo[:, j] = per_doc(np.where(train, np.log10((np.maximum(c_hw - 1, 0) + k * less) / (np.maximum(c_h - 1, 0) + k)), 0.0))
     lists = lambda x: pa.ListArray.from_arrays(np.arange(0, docs * len(GRID) + 1, len(GRID), dtype=np.int32), pa.array(x.ravel()))
     return pa.table({

@@ -1,8 +1,10 @@
 """Each corpus operator on a small table with awkward rows, against brute force, and on an empty one."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +20,30 @@ TEXTS = [
 TYPE = "doc_id long, text string, source string, score double, _key string, size int"
 
 
+class BackoffAutomaton:
+    """The automaton of a small corpus, with dictionaries."""
+
+    def __init__(self, texts: list[str], k: float, alpha: float = 0.1):
+        docs = [[*t.encode().lower().split(), None] for t in texts]
+        self.words = Counter(w for d in docs for w in d)
+        self.n, self.v, self.alpha = sum(self.words.values()), len(self.words), alpha
+        pairs = Counter(p for d in docs for p in zip(["", *d[:-1]], d))
+        total = Counter({h: c for h, c in self.words.items() if h is not None} | {"": len(docs)})
+        self.fail = {h: math.log10(k / (c + k)) for h, c in total.items()}
+        self.arcs = {(h, w): math.log10((c + k * 10 ** self.root(w)) / (total[h] + k)) for (h, w), c in pairs.items()}
+
+    def root(self, w: bytes | None) -> float:
+        return float(math.log10((self.words[w] + self.alpha) / (self.n + self.alpha * (self.v + 1))))
+
+    def score(self, text: str) -> float:
+        state, total = "", 0.0
+        for w in [*text.encode().lower().split(), None]:
+            arc = self.arcs.get((state, w))
+            total += arc if arc is not None else self.fail.get(state, 0.0) + self.root(w)
+            state = w
+        return total
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, None if k % 5 == 0 else f"s{k % 3}", 0.5, "x", 3) for k, (i, t) in enumerate(TEXTS)]
@@ -31,7 +57,7 @@ def empty(spark):
 
 def test_lm(docs, empty):
     got = lm_scoring.score(docs, block=9000, shard=20000).collect()
-    auto = lm_scoring.BackoffAutomaton([t or "" for i, t in TEXTS if not lm_scoring.held_out(i)], got[0].backoff)
+    auto = BackoffAutomaton([t or "" for i, t in TEXTS if not lm_scoring.held_out(i)], got[0].backoff)
     by = {i: t or "" for i, t in TEXTS}
     assert len(got) == len(TEXTS)
     for r in got:
@@ -41,8 +67,30 @@ def test_lm(docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_stretches(docs, monkeypatch):
+    whole = {str(r.doc_id) + str(r.n_tokens): r.score for r in lm_scoring.score(docs, block=9000, shard=20000).collect()}
+    monkeypatch.setattr(lm_scoring, "STRETCH", 3)
+    cut = {str(r.doc_id) + str(r.n_tokens): r.score for r in lm_scoring.score(docs, block=70000, shard=9000).collect()}
+    assert whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-6 for k in whole)
+
+
+def test_even_keys(spark):
+    from tallystream.llm import common
+
+    for n in (1, 2, 7, 100):
+        keys = common.even_keys(n)
+        df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(n, "k").select(F.spark_partition_id().alias("p"))
+        assert sorted(r.p for r in df.collect()) == list(range(n))
+
+
 def test_suffix_dedup(docs, empty):
-    got = suffix_dedup.dedup(docs, block=6000, shard=4000).collect()
+    found = suffix_dedup.dedup(docs, block=6000, shard=4000)
+    got = suffix_dedup.digest(found).collect()
+    for r in found.join(docs.select("doc_id", "text"), "doc_id").collect():
+        if r.doc_id != 7:  # two rows
+            b = (r.text or "").encode()
+            left = b"".join(b[x:y] for x, y in zip([0, *(s.end for s in r.removed)], [*(s.start for s in r.removed), len(b)]))
+            assert bytes(r.kept) == left
     seen, want = set(), []
     for i, t in sorted(TEXTS, key=lambda x: (x[0] is None, x[0] or 0)):
         b = (t or "").encode()
@@ -126,9 +174,6 @@ def test_entropy(spark):
     df = spark.createDataFrame([(x, f"see {x} there") for x in s], "s string, text string")
     got = {r.s: r.secret_spans for r in secret_scan.scan(df).collect()}
     assert [len(got[x]) for x in s] == [1, 0, 0, 0]
-    import math
-    from collections import Counter
-
     value = {r.s: r.e for r in df.select("s", secret_scan.window_entropy(F.col("s")).alias("e")).collect()}
     for x in s[:1]:
         assert abs(value[x] - max(-sum(c / 20 * math.log2(c / 20) for c in Counter(x[i : i + 20]).values()) for i in range(len(x) - 19))) < 1e-9
