@@ -29,7 +29,7 @@ def op3_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return suffix_dedup.dedup(_read(spark, d, "documents").select("doc_id", "text"))
+    return suffix_dedup.digest(suffix_dedup.dedup(_read(spark, d, "documents").select("doc_id", "text")))
 
 
 def op5_mixing(spark: SparkSession, d: str) -> DataFrame:

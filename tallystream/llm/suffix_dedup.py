@@ -17,20 +17,20 @@ leftmost of equal ones. Equal strings have equal anchors at equal places, so
    prefixes tell which neighbours share LENGTH bytes, and the earliest place of each run stays;
 4. blocks cover the bytes of the strings that a shard marked.
 
-The induction handles a bucket at a time with numpy; the reduced string, whose alphabet is
-large, is sorted by doubling ranks instead of another level of induction, which would go
-through as many buckets as there are names. Anchor hashes only choose candidates; equality is
+The induction handles a bucket at a time with numpy; the reduced string is sorted by the same
+induction, level after level, while it has at most MOST_NAMES names; one of more names, where
+the induction would go through nearly as many buckets as there are places, is sorted by
+doubling its ranks. Anchor hashes only choose candidates; equality is
 decided on bytes.
 
 Defined results: NULL and short texts lose nothing; of repeated rows with one doc_id and text
-one counts as earlier; rows with one doc_id and different texts are ordered by text; a NULL
-doc_id counts as larger than any; an empty table gives an empty result. Other columns are
+one counts as earlier; rows with one doc_id and different texts are ordered by a hash of the
+text; a NULL doc_id counts as larger than any; an empty table gives an empty result. Other columns are
 ignored. Long texts are searched in pieces.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 
 import numpy as np
@@ -38,13 +38,15 @@ import pyarrow as pa
 import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ASK, REPLY, blocks_for, into_blocks, plain, text_bytes
+from .common import ASK, REPLY, blocks_for, even_keys, into_blocks, plain, text_bytes
 
 LENGTH, GRAM = 100, 40
 SPREAD = LENGTH - GRAM + 1  # grams in a string
 PIECE = 1 << 18
 BLOCK, SHARD = 8 << 20, 6 << 20
+MOST_NAMES = 4096
 SEPARATOR = 0xFF  # in no UTF-8 text
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 17) for i in range(256)], np.uint64)
 _M = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 23) | 1) for i in range(7)]
@@ -137,11 +139,16 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array of bytes, without the end marker."""
     t = np.append(data.astype(np.int16) + 1, np.int16(0)).astype(np.int16)  # 16 bits sort by radix
+    return _sorted(t, 257)[1:]
+
+
+def _sorted(t: np.ndarray, size: int) -> np.ndarray:
+    """The order of the suffixes of a string of numbers below size that ends with its only 0."""
     if len(t) < 3:
-        return np.arange(len(data))
+        return np.arange(len(t))[::-1]
     small = classify(t)
     at = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sa = induce(t, small, at, 257)
+    sa = induce(t, small, at, size)
     is_lms = np.zeros(len(t), bool)
     is_lms[at] = True
     order = sa[is_lms[sa]]
@@ -162,8 +169,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     names = np.cumsum(np.r_[0, ~same])
     name[order] = names
     if names[-1] < len(at) - 1:
-        order = at[_doubled(name[at])]
-    return induce(t, small, order, 257)[1:]
+        # The reduced string is sorted in the same way; one with so many names that a bucket holds next to nothing, by its ranks.
+        order = at[_sorted(name[at], int(names[-1]) + 1) if names[-1] < MOST_NAMES else _doubled(name[at])]
+    return induce(t, small, order, size)
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -430,6 +438,7 @@ def _serve_stretches(asks: list[bytes]) -> list[bytes]:
 
 
 def _remove(texts: _Texts, replies: list[bytes], key: str) -> pa.Table:
+    """For each document its bytes that stay, and the (start, end) of those that go."""
     runs = [np.frombuffer(zs.ZstdDecompressor().decompress(r), "<u8").reshape(-1, 2) for r in replies if r]
     n = len(texts.data)
     gone = np.zeros(n + 1, np.int32)
@@ -438,26 +447,29 @@ def _remove(texts: _Texts, replies: list[bytes], key: str) -> pa.Table:
         np.add.at(gone, at, 1)
         np.add.at(gone, at + k + LENGTH - 1, -1)
     removed = np.cumsum(gone[:n]) > 0
-    rows = []
+    kept_, spans = [], []
     for s, e in zip(texts.start[:-1].tolist(), texts.start[1:].tolist()):
         part = removed[s:e]
-        k = int(part.sum())
-        spans = int(part[0]) + int((part[1:] & ~part[:-1]).sum()) if k else 0
-        rows.append((e - s, k, spans, hashlib.sha256(texts.data[s:e][~part].tobytes() if k else texts.data[s:e].tobytes()).hexdigest()))
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.table({key: texts.table[key], "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())})
+        edge = np.flatnonzero(np.diff(np.r_[0, part.astype(np.int8), 0]))
+        spans.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+        kept_.append(texts.data[s:e][~part].tobytes() if len(edge) else texts.data[s:e].tobytes())
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.table({key: texts.table[key], "n_bytes": pa.array(texts.sizes), "kept": pa.array(kept_, pa.binary()), "removed": pa.array(spans, span)})
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256). key must be an integer column."""
+    """(key, n_bytes, kept, removed): the bytes that stay (kept.cast("string") is a text only where no character was cut), and the spans of bytes that go. key must be an integer column."""
     total = text_bytes(docs, text)
     n, shards = blocks_for(total, block), blocks_for(total, shard)
     base = docs.select(key, plain(text).alias("_t"))
     blocks = into_blocks(base, n, key, "_t")
     kind = docs.schema[key].dataType.simpleString()
 
+    places = even_keys(shards)
+    index = {x: i for i, x in enumerate(places)}
+
     def rows(block_id: int, got: list[tuple[int, bytes]]) -> pa.Table:
-        return pa.table({"shard": pa.array([s for s, _ in got], pa.int32()), "block": pa.array([block_id] * len(got), pa.int32()), "data": pa.array([b for _, b in got], pa.binary())})
+        return pa.table({"shard": pa.array([places[s] for s, _ in got], pa.int32()), "block": pa.array([block_id] * len(got), pa.int32()), "data": pa.array([b for _, b in got], pa.binary())})
 
     def served(f):
         def run(k: tuple, t: pa.Table) -> pa.Table:
@@ -467,7 +479,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
         return run
 
     def second(k: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
-        return rows(k[0].as_py(), _ask_stretches(_Texts(t, key), dict(zip(r["shard"].to_pylist(), r["data"].to_pylist())), shards, key))
+        return rows(k[0].as_py(), _ask_stretches(_Texts(t, key), {index[s]: d for s, d in zip(r["shard"].to_pylist(), r["data"].to_pylist())}, shards, key))
 
     grouped = blocks.groupBy("_block")
     first = grouped.applyInArrow(lambda k, t: rows(k[0].as_py(), _ask_anchors(_Texts(t, key), shards)), ASK).repartition(shards, "shard")
@@ -475,5 +487,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
     asked = grouped.cogroup(known.groupBy("block")).applyInArrow(second, ASK).repartition(shards, "shard")
     marked = asked.groupBy("shard").applyInArrow(served(_serve_stretches), REPLY)
     return grouped.cogroup(marked.groupBy("block")).applyInArrow(
-        lambda k, t, r: _remove(_Texts(t, key), r["data"].to_pylist(), key), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        lambda k, t, r: _remove(_Texts(t, key), r["data"].to_pylist(), key), f"`{key}` {kind}, n_bytes long, kept binary, removed array<struct<start:bigint,end:bigint>>"
     )
+
+
+def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of dedup's rows."""
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(key, "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
