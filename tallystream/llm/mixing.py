@@ -170,7 +170,7 @@ def corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     base = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), row.alias("_row"))
     sources, quotas = _quotas(kept(base.select("_key", "source", "size")), weights, block, shard_words, seed, cap)
     run = _chosen(base.withColumn("_tie", F.xxhash64("_row")), sources, kept(quotas), block, seed, ["_tie"])
-    whole = F.transform(F.array_repeat(F.lit(0), F.col("_epochs").cast("int")), lambda x, i: F.struct(i.alias("copy"), F.lit(False).alias("cut")))
+    whole = F.transform(F.array_repeat(F.lit(0), F.when(F.col("size") > 0, F.col("_epochs")).otherwise(0).cast("int")), lambda x, i: F.struct(i.alias("copy"), F.lit(False).alias("cut")))
     part = F.when(F.size("_parts") > 0, F.array(F.struct(F.col("_epochs").cast("int").alias("copy"), F.lit(True).alias("cut")))).otherwise(F.array().cast("array<struct<copy:int,cut:boolean>>"))
     copies = run.select("_row", "size", "_start", "_parts", F.explode(F.concat(whole, part)).alias("_c"))
     words = F.regexp_extract_all(F.col("_row")[text], F.lit(WORD), F.lit(0))
