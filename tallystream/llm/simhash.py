@@ -34,8 +34,8 @@ WORDS, SEED, RADIUS, LEAF, SHARD_ROWS, BUCKET_ROWS = 4, 42, 4, 48, 4096, 64
 _CHUNK = 255 * 256
 #: A key with more rows than this, and more than a MOST_HOT-th of all, is dealt over SALTS places.
 HOT, MOST_HOT, SALTS = 256, 100_000, 32
-#: Near copies: words of a shingle, least similarity, bits between fingerprints of candidates, bands of min-hashes, rows of a chunk.
-SHINGLE, SIMILAR, WIDE, BANDS, ROWS, CHUNK_ROWS = 5, 0.8, 22, 16, 4, 8192
+#: Near copies: words of a shingle, least similarity, bits between fingerprints of candidates, bands of min-hashes, least and most rows of a chunk.
+SHINGLE, SIMILAR, WIDE, BANDS, ROWS, LEAST_ROWS, CHUNK_ROWS = 5, 0.8, 22, 16, 4, 256, 8192
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([i]), 71) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -360,7 +360,9 @@ def similar_edges(texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     dealt = kept(dealt)
     counts = dealt.groupBy(F.col("band").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # A band that only one text has links nothing; one of very many texts is cut into chunks, and each two chunks meet.
-    dealt = dealt.join(counts, F.col("band") == F.col("_b")).drop("_b").withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int"))
+    dealt = dealt.join(counts, F.col("band") == F.col("_b")).drop("_b")
+    size = F.least(F.lit(CHUNK_ROWS), F.greatest(F.lit(LEAST_ROWS), F.pow(F.col("_n"), F.lit(2 / 3))))
+    dealt = dealt.withColumn("_k", F.ceil(F.col("_n") / size).cast("int"))
     mine = F.pmod(F.xxhash64("u", F.lit(9)), F.col("_k")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     dealt = dealt.withColumn("_p", F.explode(pair)).select("u", "fp", "band", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"))

@@ -52,6 +52,7 @@ def expected(rows):
 @pytest.mark.parametrize("chunk", [8192, 4])
 def test_keep_one(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(simhash, "LEAST_ROWS", min(chunk, simhash.LEAST_ROWS))
     rows = texts()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _u string").repartition(4)
     got = simhash.keep_one(df)
