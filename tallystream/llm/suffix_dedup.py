@@ -4,13 +4,15 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier (smal
 earlier in the document). Strings are judged on the input.
 
 Each string of LENGTH bytes has an anchor: the place of its smallest GRAM-byte hash, the
-leftmost of equal ones. Equal strings have equal anchors at equal places, so
+leftmost of equal ones. Equal strings have equal anchors at equal places. Strings that start
+SIDE bytes or more ahead of their anchor (its left side) all hold the SIDE bytes before it, the
+others (its right side) those after it; a side's hash is of the anchor and these bytes, so
+short lines that otherwise unlike documents share don't bring documents together. So
 
-1. blocks ask the shards that own the anchor hashes which of them occur more than once
+1. blocks ask the shards that own the hashes of sides which of them occur more than once
    anywhere (common.exchange's packed rows, here twice in a row);
-2. around each repeated anchor a block sends the stretch of text made of the strings that have
-   this anchor, once a block for equal stretches, with its earliest place;
-3. a shard collapses equal stretches to the earliest, drops those whose anchor has no other
+2. for each repeated side a block sends the stretch of text made of its strings, once a block for equal stretches, with its earliest place;
+3. a shard collapses equal stretches to the earliest, drops those whose side has no other
    surroundings, joins the rest and builds their suffix array by induced sorting: suffixes are
    classed, leftmost-smaller (LMS) substrings are sorted by a first induction and named, the
    reduced string is sorted, and its order induces the whole array; then permuted common
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import ASK, REPLY, blocks_for, even_keys, into_blocks, plain, text_bytes
 
-LENGTH, GRAM = 100, 40
+LENGTH, GRAM, SIDE = 100, 40, 30
 SPREAD = LENGTH - GRAM + 1  # grams in a string
 PIECE = 1 << 18
 BLOCK, SHARD = 8 << 20, 6 << 20
@@ -222,7 +224,7 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first string, last string) of anchors; inside tells for each string start whether it is one."""
+    """(twice the place, and 1 for the right side, hash of what all strings share, first string, last string) of anchors' sides; inside tells for each string start whether it is one."""
     if len(data) < LENGTH or not inside.any():
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none
@@ -249,9 +251,14 @@ def anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
         owner[live] += 1
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     last = np.r_[first[1:] - 1, len(owner) - 1]
-    own = place[owner[first]]
-    key = g[own] * _M[0]  # smallest hashes are small, so they are spread again over the shards' ranges
-    return own, key ^ key >> np.uint64(32), strings[first], strings[last]
+    own, low, high = place[owner[first]], strings[first], strings[last]
+    left, right = np.flatnonzero(low <= own - SIDE), np.flatnonzero(high > own - SIDE)
+    a, b = own[left], own[right]
+    ids = np.concatenate([2 * a, 2 * b + 1])
+    key = np.concatenate([g[a - SIDE] * _M[1] + g[a], g[b] * _M[2] + g[b + SIDE + 1]]) * _M[0]  # smallest hashes are small, so they are spread over the shards' ranges
+    order = np.argsort(ids)
+    firsts, lasts = np.concatenate([low[left], np.maximum(low[right], b - SIDE + 1)]), np.concatenate([np.minimum(high[left], a - SIDE), high[right]])
+    return ids[order], (key ^ key >> np.uint64(32))[order], firsts[order], lasts[order]
 
 
 class _Texts:
@@ -276,7 +283,7 @@ class _Texts:
                 break
             doc_end = ends[np.searchsorted(ends, strings, side="right")]
             p, h, a, b = anchors(self.data[s : s + len(strings) + LENGTH - 1], strings + LENGTH <= doc_end)
-            found.append((p + s, h, a + s, b + s))
+            found.append((p + 2 * s, h, a + s, b + s))
         if not found:
             return anchors(self.data[:0], np.zeros(0, bool))
         p, h, a, b = (np.concatenate(x) for x in zip(*found))
