@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import plain, substrings, walk
 
 ROLES = {"user": "INST", "system": "SYS", "assistant": "ASST"}
 _INNER = r"(/?s>|/?(?:INST|SYS|ASST|ROLE)\]|(?:image|audio|document)>)"
@@ -101,18 +101,16 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), r.alias("role"), flatten_parts(parts).alias("body"), attachments(parts).alias("files"))
     rows = rows.select("conv_id", F.struct("turn", "role", "body", _open(F.col("role")).alias("open"), _close(F.col("role")).alias("close"), "files").alias("t"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
 
-    def step(a: Column, t: Column) -> Column:
-        begin, n = a["at"] + F.length(t["open"]), F.length(t["body"])
-        span = F.struct(begin.alias("start"), n.alias("n"))
-        return F.struct((begin + n + F.length(t["close"])).alias("at"), F.when(t["role"] == "assistant", F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def step(at: Column, t: Column) -> tuple[Column, Column]:
+        begin, n = at + F.length(t["open"]), F.length(t["body"])
+        return begin + n + F.length(t["close"]), F.when(t["role"] == "assistant", F.struct(begin.alias("start"), n.alias("n")))
 
     files = F.flatten(F.transform("ts", lambda t: t["files"]))
     return chats.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: F.concat(t["open"], t["body"], t["close"])), "").alias("formatted"),
-        F.aggregate("ts", init, step, lambda a: a["out"]).alias("loss"),
+        walk(F.col("ts"), F.lit(0), step, "struct<start:int,n:int>").alias("loss"),
         files.alias("attachments"),
         F.aggregate(files, F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("expanded_tokens"),
     )
@@ -132,7 +130,7 @@ def read_back(chats: DataFrame) -> DataFrame:
 
     pieces = F.split("formatted", "</s>", -1)
     turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), one)
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["n"]))), "")
+    loss = F.array_join(F.transform(substrings(F.col("formatted"), F.col("loss")), unescape), "")
     return chats.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
 

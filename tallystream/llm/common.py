@@ -29,6 +29,8 @@ from ..sources.shared import shared_folder
 #: Word separators: the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES, MOST_KEYS = 12 << 20, 1 << 17
+#: Items of a fold whose outputs are appended one by one; whole chunks are appended after that.
+CHUNK = 128
 
 
 def plain(c: Column | str) -> Column:
@@ -36,6 +38,47 @@ def plain(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def walk(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The outputs of a fold in order, without NULLs. step(state, item) gives the next state and an output.
+
+    Outputs are gathered in chunks, since each append copies what it appends to.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(a: Column, x: Column) -> Column:
+        after, out = step(a["s"], x)
+        return F.struct(after.alias("s"), F.array_append(a["out"], out).alias("out"))
+
+    def several(a: Column, c: Column) -> Column:
+        done = F.aggregate(c, F.struct(a["s"].alias("s"), none.alias("out")), one)
+        return let(done, lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    chunks = let(items, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK))))
+    chunks = F.when(F.size(items) > 0, chunks)
+    begin = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.coalesce(F.filter(F.flatten(F.aggregate(chunks, begin, several, lambda a: a["out"])), lambda x: x.isNotNull()), none)
+
+
+def substrings(text: Column, spans: Column) -> Column:
+    """The stretches (start, n) of a text, which are in order and don't overlap. The text is read once for each CHUNK of them, not for each."""
+
+    def several(whole: Column, c: Column) -> Column:
+        base, last = F.element_at(c, 1)["start"], F.element_at(c, -1)
+        part = F.struct(base.alias("base"), F.substring(whole, base + 1, last["start"] + last["n"] - base).alias("text"))
+        return let(part, lambda p: F.transform(c, lambda x: F.substring(p["text"], x["start"] - p["base"] + 1, x["n"])))
+
+    def all_(whole: Column, v: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: let(F.slice(v, k * CHUNK + 1, F.lit(CHUNK)), lambda c: several(whole, c))))
+
+    found = let(spans, lambda v: F.when(F.size(v) > 0, let(text, lambda whole: all_(whole, v))))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until no column of df is called so (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

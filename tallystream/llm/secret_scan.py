@@ -21,12 +21,10 @@ from __future__ import annotations
 
 import math
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, plain
+from .common import CHUNK, fresh, let, plain, walk
 
 KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,36 +46,6 @@ SPAN, FOUND = "struct<start:int,kind:int,end:int>", "struct<start:int,kind:int,e
 OPEN = 3  # the kind of candidates
 
 
-#: Items of a fold whose outputs are appended one by one; whole chunks are appended after that.
-CHUNK = 128
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _walk(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
-    """The outputs of a fold in order, without NULLs. step(state, item) gives the next state and an output.
-
-    Outputs are gathered in chunks, since each append copies what it appends to.
-    """
-    none = F.array().cast(f"array<{kind}>")
-
-    def one(a: Column, x: Column) -> Column:
-        after, out = step(a["s"], x)
-        return F.struct(after.alias("s"), F.array_append(a["out"], out).alias("out"))
-
-    def several(a: Column, c: Column) -> Column:
-        done = F.aggregate(c, F.struct(a["s"].alias("s"), none.alias("out")), one)
-        return _let(done, lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out")))
-
-    chunks = _let(items, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK))))
-    chunks = F.when(F.size(items) > 0, chunks)
-    begin = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.coalesce(F.filter(F.flatten(F.aggregate(chunks, begin, several, lambda a: a["out"])), lambda x: x.isNotNull()), none)
-
-
 def _spans(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0) -> Column:
     """Spans of a pattern's matches whose group value has at least so many characters; each with its match as value."""
     found, values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)), F.split(text, pattern, -1)
@@ -89,7 +57,7 @@ def _spans(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (x["m"] if kind == OPEN else F.lit(None).cast("string")).alias("value"))
         return end, F.when(F.length(x["v"]) >= least, span)
 
-    return F.when(F.rlike(text, F.lit(pattern)), _walk(each, F.lit(0), step, FOUND)).otherwise(F.array().cast(f"array<{FOUND}>"))
+    return F.when(F.rlike(text, F.lit(pattern)), walk(each, F.lit(0), step, FOUND)).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
 def window_entropy(s: Column, width: int = WINDOW) -> Column:
@@ -144,7 +112,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(x["kind"] < OPEN, F.greatest(reach, x["end"])).otherwise(reach), F.when(shown, span(x))
 
     bare = F.transform(F.col(own), span)
-    every = F.when(F.size(more) > 0, _walk(F.array_sort(F.concat(own, more)), F.lit(-1), step, SPAN)).otherwise(bare)
+    every = F.when(F.size(more) > 0, walk(F.array_sort(F.concat(own, more)), F.lit(-1), step, SPAN)).otherwise(bare)
     return staged.select(*[F.col(f"`{c}`") for c in rest], bare.alias("base_spans"), every.alias("secret_spans"))
 
 
@@ -186,6 +154,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         cuts = F.transform(starts, lambda k: piece(whole, F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)), begin(k)))
         return F.concat(F.array_join(cuts, ""), F.substring(whole, F.abs(F.element_at(all_, -1)["end"]) + 1, F.length(whole)))
 
-    new = _let(_walk(F.col(spans), F.lit(0), merge, kind), lambda all_: _let(t, lambda whole: pieces(whole, all_)))
+    new = let(walk(F.col(spans), F.lit(0), merge, kind), lambda all_: let(t, lambda whole: pieces(whole, all_)))
     new = F.when(F.size(spans) > 0, new).otherwise(F.col(raw))
     return found.select(*[new.alias(text) if c == text else F.col(f"row.`{c}`") for c in names])

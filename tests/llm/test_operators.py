@@ -268,3 +268,35 @@ def test_decontaminate_short_items_and_merged_values(spark):
     texts = [(1, f"before {short} after"), (2, short), (3, "Which colour is the rarest ruby?"), (4, "two words and 12 13 14"), (5, merged), (6, item.replace("12", "8").replace("7 more", "9 more"))]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
     assert set(got) == {(1, 0), (2, 0), (6, 3)} and got[1, 0].coverage == 1.0 and got[1, 0].verbatim
+
+
+def test_suffix_lines_shared_by_unlike_documents(spark):
+    import random
+
+    from tallystream.llm.suffix_dedup import _ask_anchors, _Texts
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = "this is one short line that all documents share ok"
+    texts = [" ".join(word() for _ in range(40)) + "\n" + line + "\n" + " ".join(word() for _ in range(40)) for _ in range(300)]
+    asked = _ask_anchors(_Texts(pa.table({"doc_id": list(range(300)), "_t": texts}), "doc_id"), 1)
+    from tallystream.llm.suffix_dedup import _serve_anchors
+
+    import numpy as np
+
+    many = np.unpackbits(np.frombuffer(_serve_anchors([asked[0][1]])[0], np.uint8)).sum()
+    assert many <= 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert suffix_dedup.digest(suffix_dedup.dedup(df)).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_chat_of_very_many_turns(spark):
+    import time
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"é turn {i} </s>") for i in range(20_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    r = chat_format.read_back(chat_format.format_chats(turns)).first()
+    assert [tuple(t) for t in r.turns] == [x[2:] for x in rows] and r.loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert time.perf_counter() - began < 60
