@@ -1,7 +1,14 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, secrets, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet
-to the shared folder and gives it to the next.
+to the shared folder and gives it to the next. The last stage's rows are the mixed corpus: the
+columns of documents with redacted texts, copy (which copy of a document it is) and words.
+
+Defined results, at every stage: NULL and empty texts are documents without words (copies of
+each other, so one of them stays; the mix takes none of them); of repeated rows one stays;
+documents without an id are judged by their text like any other, but decontamination can't
+name them and keeps them; empty tables give no rows; columns besides those of documents are
+carried, and one called copy or words is replaced by the mix.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.corpus(docs)
 
 
 STAGES = [("toxicity", without_toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scans", secrets), ("mixing", mixture)]
