@@ -1,6 +1,6 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-A window is one word or two neighbouring words (without punctuation, each width in its own
+A window is one word or four neighbouring words (without punctuation, each width in its own
 row of windows), followed by a fixed anchor that both dictionaries end with, so that a few
 bytes are compressible at all. It is compressed with a dictionary trained on toxic text and
 with one trained on ordinary text; the ordinary length less the toxic one is its margin in
@@ -20,7 +20,7 @@ id, at most SAMPLE rows and SAMPLE_BYTES of each class; a text that doesn't fit
 left of the bytes is passed over. Near copies of one label among them count once (Jaccard
 similarity of runs of SHINGLE words of SIMILAR or more, compared exactly).
 
-Scoring keeps no state between documents; texts are read whole, in pieces of bounded size.
+Scoring keeps no state between documents but a bounded cache of single words' margins; texts are read whole, in pieces of bounded size.
 
 Defined results: NULL and empty texts have no windows and get the fit's value for that; equal
 texts get equal scores; an empty table gives an empty result; labels of several rows count as
@@ -50,10 +50,10 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, SAMPLE_BYTES = 12_000, 6 << 20
 #: Bytes of the dictionaries (first toxic, later toxic, ordinary) and the segment lengths they are made of.
 FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, TOXIC_SEGMENT = 16_384, 2048, 65_536, 16, 16
-PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 2, (1, 2), range(9), 50, 0.99, 3, 0.7
-SLICE = 1 << 20
+PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 2, (1, 4), range(9), 50, 0.99, 3, 0.7
+SLICE, CACHE, ROWS = 1 << 20, 100_000, 256
 #: A run of distinct bytes: one match for the compressor.
-ANCHOR = b"|0123456789~abcdefghijklmnop#ZYXWVUTSRQPON^<>{}[]|"
+ANCHOR = b"|0123456789~abcdef#ZYXW|"
 _EDGE = b".,;:!?()[]{}\"'*$%#&|"
 
 
@@ -63,7 +63,7 @@ def words(text: str) -> list[bytes]:
 
 
 def pieces(text: str, size: int = SLICE) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of an even number of them except for the last, from slices of about size characters."""
+    """The words of a text, in lists of whole windows except for the last, from slices of about size characters."""
     at, left = 0, []
     while at < len(text):
         end = at + size
@@ -71,7 +71,7 @@ def pieces(text: str, size: int = SLICE) -> Iterator[list[bytes]]:
             end += 1
         got = left + words(text[at:end])
         at = end
-        left = got[len(got) - len(got) % 2 :]
+        left = got[len(got) - len(got) % WIDTHS[-1] :]
         if len(got) > len(left):
             yield got[: len(got) - len(left)]
     if left:
@@ -80,29 +80,38 @@ def pieces(text: str, size: int = SLICE) -> Iterator[list[bytes]]:
 
 def windows(found: list[bytes], width: int) -> list[bytes]:
     """Neighbouring words, width at a time."""
-    return [b" ".join((b"", *found[i : i + width], b"")) for i in range(0, len(found), width)] if width > 1 else [b" " + w + b" " for w in found]
+    if width == 1:
+        return [b" %b " % w for w in found]
+    return [b" %b " % b" ".join(found[i : i + width]) for i in range(0, len(found), width)]
 
 
 class Pair:
     """Compressors with the two dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        p = zs.ZstdCompressionParameters.from_level(9, window_log=20, min_match=4, strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        p = zs.ZstdCompressionParameters.from_level(9, window_log=20, hash_log=16, chain_log=16, min_match=4, strategy=zs.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
         self.ordinary, self.toxic = (zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d + ANCHOR, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (ordinary, toxic))
 
-    def margins(self, found: list[bytes]) -> np.ndarray:
+        self._known: dict[bytes, int] = {}
+
+    def _lengths(self, found: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves over the ordinary one, for each window."""
-        distinct_ = list(dict.fromkeys(found))
-        if not distinct_:
+        if not found:
             return np.zeros(0, np.int64)
-        size = np.fromiter(map(len, distinct_), np.uint64, len(distinct_)) + np.uint64(len(ANCHOR))
+        size = np.fromiter(map(len, found), np.uint64, len(found)) + np.uint64(len(ANCHOR))
         segments = np.stack([np.cumsum(size) - size, size], axis=1).astype("<u8").tobytes()
-        data = zs.BufferWithSegments(ANCHOR.join(distinct_) + ANCHOR, segments)
-        a, b = (np.fromiter((len(x[i]) for i in range(len(x))), np.int64, len(x)) for x in (c.multi_compress_to_buffer(data) for c in (self.ordinary, self.toxic)))
-        if len(distinct_) == len(found):
-            return a - b
-        value = dict(zip(distinct_, (a - b).tolist()))
-        return np.fromiter(map(value.__getitem__, found), np.int64, len(found))
+        data = zs.BufferWithSegments(ANCHOR.join(found) + ANCHOR, segments)
+        a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(data)), np.int64, len(found)) for c in (self.ordinary, self.toxic))
+        return a - b
+
+    def margins(self, found: list[bytes]) -> np.ndarray:
+        """The same for windows that repeat, as single words do; what was asked is held for later calls, up to CACHE windows."""
+        known = self._known
+        if len(known) > CACHE:
+            known.clear()
+        new = [w for w in dict.fromkeys(found) if w not in known]
+        known.update(zip(new, self._lengths(new).tolist()))
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
     def histograms(self, texts: list[str]) -> np.ndarray:
         """For each text and width, how many windows reach each of MARGINS, and how many there are. Small texts share calls."""
@@ -122,7 +131,7 @@ class Pair:
     def _count(self, held: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
         for j, width in enumerate(WIDTHS):
             each = [windows(p, width) for _, p in held]
-            m = np.clip(self.margins([w for e in each for w in e]), -1, len(MARGINS) - 1)
+            m = np.clip((self.margins if width == 1 else self._lengths)([w for e in each for w in e]), -1, len(MARGINS) - 1)
             text = np.repeat([i for i, _ in held], [len(e) for e in each])
             # windows by text and margin, then how many reach each margin
             table = np.bincount(text * (len(MARGINS) + 1) + m + 1, minlength=len(out) * (len(MARGINS) + 1)).reshape(len(out), -1) if len(m) else 0
@@ -309,7 +318,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = m.scores(b.column(raw).to_pylist())
+            got = [x for i in range(0, b.num_rows, ROWS) for x in m.scores(b.column(raw).slice(i, ROWS).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(got, pa.float64())], names=[*names, name])
 
     kept_ = docs.select(*[F.col(f"`{n}`") for n in names], plain(F.col(f"`{text}`")).alias(raw))

@@ -163,14 +163,14 @@ def test_toxicity_margins_and_score_by_hand():
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8)))
     rows = [(" ".join([*(word() for _ in range(60)), *(["blorkish", "grumpfen"] * (i % 3 == 0))]), int(i % 3 == 0)) for i in range(90)]
     m = toxicity.fit(rows)
-    params = zs.ZstdCompressionParameters.from_level(9, window_log=20, min_match=4, strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    params = zs.ZstdCompressionParameters.from_level(9, window_log=20, hash_log=16, chain_log=16, min_match=4, strategy=zs.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
     length = lambda d, x: len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d + toxicity.ANCHOR, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x + toxicity.ANCHOR))
     for text in ("", " , ", "Blorkish", "a (Grumpfen), the end " * 5, rows[0][0], rows[1][0], "One\ttwo\nthree"):
         w = [x.strip(".,;:!?()[]{}\"'*$%#&|") for x in text.lower().split()]
         w = [x.encode() for x in w if x]
         x = []
         for ahead in (lambda c, n: math.log1p(c), lambda c, n: c * 50 / (n + 50)):
-            for width in (1, 2):
+            for width in (1, 4):
                 each = [b" " + b" ".join(w[i : i + width]) + b" " for i in range(0, len(w), width)]
                 margin = [length(m.ordinary, y) - length(m.toxic, y) for y in each]
                 x += [ahead(sum(v >= k for v in margin), len(each)) for k in range(9)]
@@ -183,5 +183,5 @@ def test_toxicity_pieces():
     text = "one two  three " * 50 + "x" * 90 + " end"
     for size in (1, 7, 64, 10**6):
         got = list(toxicity.pieces(text, size))
-        assert [w for p in got for w in p] == toxicity.words(text) and all(len(p) % 2 == 0 for p in got[:-1])
+        assert [w for p in got for w in p] == toxicity.words(text) and all(len(p) % 4 == 0 for p in got[:-1])
     assert list(toxicity.pieces("")) == list(toxicity.pieces(" . ")) == []
