@@ -47,7 +47,7 @@ from .common import fresh, plain
 
 SHINGLE, SIMILAR = 5, 0.8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-SAMPLE, SAMPLE_BYTES = 12_000, 6 << 20
+SAMPLE, SAMPLE_BYTES = 12_000, 12 << 20
 #: Bytes of the dictionaries (first toxic, later toxic, ordinary) and the segment lengths they are made of.
 FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, TOXIC_SEGMENT = 16_384, 2048, 65_536, 16, 16
 PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 2, (1, 4), range(9), 50, 0.99, 3, 0.7
