@@ -50,7 +50,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, SAMPLE_BYTES = 12_000, 12 << 20
 #: Bytes of the dictionaries (first toxic, later toxic, ordinary) and the segment lengths they are made of.
 FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, TOXIC_SEGMENT = 16_384, 2048, 65_536, 16, 16
-PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 2, (1, 4), range(9), 50, 0.99, 3, 0.7
+PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 3, (1, 4), range(9), 50, 0.99, 3, 0.7
 SLICE, CACHE, ROWS = 1 << 20, 100_000, 256
 #: A run of distinct bytes: one match for the compressor.
 ANCHOR = b"|0123456789~abcdef#ZYXW|"
