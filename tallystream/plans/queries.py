@@ -16,7 +16,7 @@ from ..functions.jurisdiction import CODES, JURISDICTIONS, KEYWORDS, jurisdictio
 from ..functions.legal import ASSISTANT, PROMPT_HEAD, PROMPT_TAIL, UNKNOWN, create_legal_request, legal_system_prompt
 from ..functions.text import FOLD_FROM, FOLD_TO, JS_WS, normalize_text
 from ..operators import chat, completion, relational, transcript
-from ..sources.shared import shared_folder
+from ..sources.shared import delete, shared_folder
 from ..sources.tables import table
 from ..streaming import stream
 
@@ -118,6 +118,7 @@ def stream_bubbles(spark: SparkSession, d: str) -> DataFrame:
     name = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
     source = stream.file_stream(spark, d, table(spark, d, "conversations"), "conversations.parquet")
     stream.run_available(stream.bubble_stream(source, "bare").select("conv_id", "turn", "bubble"), f"{name}/out", f"{name}/state").awaitTermination()
+    delete(spark, f"{name}/state")
     return spark.read.schema("conv_id long, turn long, bubble string").parquet(f"{name}/out")
 
 
@@ -127,6 +128,7 @@ def stream_detect(spark: SparkSession, d: str) -> DataFrame:
     source = stream.file_stream(spark, d, table(spark, d, "documents"), "documents.parquet")
     p = source.select("doc_id", F.concat(pick(PHRASES, F.col("doc_id")), F.lit(" "), F.col("text")).alias("m"))
     stream.run_available(stream.detect_stream(p, "m").drop("m"), f"{name}/out", f"{name}/state").awaitTermination()
+    delete(spark, f"{name}/state")
     return spark.read.schema("doc_id long, code string, confidence double, source string").parquet(f"{name}/out")
 
 

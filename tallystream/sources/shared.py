@@ -18,3 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallystream-"))
     return sc.getCheckpointDir().get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a shared store with all that is in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
