@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, plain
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, SIMILAR, PIECE = 5, 0.8, 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, SAMPLE_BYTES = 12_000, 12 << 20
 #: Bytes of the dictionaries (first toxic, later toxic, ordinary) and the segment lengths they are made of.
@@ -236,19 +236,23 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b" ".join(samples)[:size]
 
 
+def _pieces(texts: list[list[bytes]]) -> list[bytes]:
+    """All words of the texts, in distinct pieces that are put in the order of a hash: the trainer goes through its input part by part and gives up in a long stretch of one repeated word."""
+    found = dict.fromkeys(b" ".join(x[i : i + PIECE]) for x in texts for i in range(0, len(x), PIECE))
+    return sorted(found, key=lambda x: (xxhash.xxh64_intdigest(x, 3), x))
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionaries from the whole texts of both classes."""
     t, o = [words(x) for x in toxic], [words(x) for x in ordinary]
-    base = _dictionary([b" ".join(x) for x in o], ORDINARY_BYTES, SEGMENT)
-    marked = _dictionary([b" ".join(x) for x in t], FIRST_BYTES, SEGMENT)
+    base = _dictionary(_pieces(o), ORDINARY_BYTES, SEGMENT)
+    marked = _dictionary(_pieces(t), FIRST_BYTES, SEGMENT)
     usual_windows = windows([w for x in o for w in x], 1)
     for _ in range(PASSES if usual_windows else 0):
         pair = Pair(base, marked)
         usual = max(0, int(np.quantile(pair.margins(usual_windows), RARE, method="lower")))
-        samples = []
-        for x in t:
-            samples.append(b" ".join(w for w, m in zip(x, pair.margins(windows(x, 1)).tolist()) if m > usual))
-        marked = _dictionary([x for x in samples if x], TOXIC_BYTES, TOXIC_SEGMENT)
+        samples = [[w for w, m in zip(x, pair.margins(windows(x, 1)).tolist()) if m > usual] for x in t]
+        marked = _dictionary(_pieces(samples), TOXIC_BYTES, TOXIC_SEGMENT)
     return base, marked
 
 
