@@ -272,6 +272,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
     nodes = kept(fps.groupBy("fp").agg(F.min("_id").alias("low")))
     found = smallest(nodes, connected(stars(nodes.select("fp"), nodes.count(), radius)), "fp", "low")
     by_fp = nodes.join(found, F.col("fp") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "low").alias("component_id"))
+    by_fp = kept(by_fp)  # a plain table, so that a fingerprint of very many copies is split when it is joined
     return fps.join(by_fp, F.col("fp") == F.col("_fp")).select(F.col("_id").alias(key), "fp", "component_id")
 
 
