@@ -38,7 +38,7 @@ CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{_T
 THRESHOLDS = {"hex": 3.0, "upper": 3.4, "mixed": 3.6}
 ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
-    r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*$",  # slugs, paths and dates of plain words and numbers
+    SLUG := r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*$",  # paths and dates of plain words and numbers
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
     r"^(sha(1|256|384|512)-|sha(1|256|384|512)=)",  # published checksums
 ]
@@ -85,12 +85,17 @@ def window_entropy(s: Column, width: int = WINDOW) -> Column:
     return F.when(F.length(s) > 0, F.aggregate(codes, init, step, done)).otherwise(F.lit(0.0))
 
 
+def _is_slug(s: Column) -> Column:
+    """SLUG for a string of ALPHABET: a letter or digit first, and no letter beside a digit. A repeated group would take a stack frame for each part."""
+    return F.rlike(s, F.lit("^[A-Za-z0-9]")) & ~F.rlike(s, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]"))
+
+
 def is_secret_like(s: Column) -> Column:
     """True if a candidate isn't allowed and its best window reaches its class's threshold."""
     least = F.when(F.rlike(s, F.lit("^[0-9a-fA-F]+$")), THRESHOLDS["hex"]).when(F.rlike(s, F.lit("^[A-Z0-9]+$")), THRESHOLDS["upper"]).otherwise(THRESHOLDS["mixed"])
     allowed = F.lit(False)
     for p in ALLOWED:
-        allowed = allowed | F.rlike(s, F.lit(p))
+        allowed = allowed | (_is_slug(s) if p == SLUG else F.rlike(s, F.lit(p)))
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(s) >= least)
 
 

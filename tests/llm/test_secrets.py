@@ -85,3 +85,29 @@ def test_time_is_linear(spark):
     assert took(token)[0] == 1 and took(many)[0] > 9000
     (_, one), (_, two) = took(token), took(token + token[::-1])
     assert two < 3 * one + 1 and one < 15 and took(many)[1] < 20
+
+
+def test_tokens_of_many_short_parts(spark):
+    """100,000 parts, and a megabyte: no stack grows with the parts, and time grows with the length."""
+    slug, mixed = "-".join(["ab", "12"] * 50_000), "/".join(["ab1"] * 100_000)
+
+    def took(text):
+        df = spark.createDataFrame([(text,)], "text string").coalesce(1)
+        began = time.perf_counter()
+        got = S.scan(df).first().secret_spans
+        assert S.redact(df).first().text == (text if not got else "[SECRET]")
+        return len(got), time.perf_counter() - began
+
+    took(slug[:100])
+    assert took(slug)[0] == 0 and took(mixed)[0] == 0  # the second one's windows hold few characters
+    (n, one), (m, two) = took("ab-12-" * 87_500), took("ab-12-" * 175_000)
+    assert n == m == 0 and two < 4 * one + 1
+    long = "".join(random.Random(7).choice("ABCDEFGHabcdefgh0123456789") for _ in range(1_000_000))
+    assert took(long)[0] == 1
+
+
+def test_slugs_as_the_pattern_says(spark):
+    rng = random.Random(8)
+    s = ["".join(rng.choice("ab1-_/9Z=") for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    for r in spark.createDataFrame([(x,) for x in s], "s string").select("s", S._is_slug(F.col("s")).alias("y")).collect():
+        assert r.y == bool(re.search(S.SLUG, r.s)), r.s
