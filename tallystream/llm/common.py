@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
@@ -159,6 +159,19 @@ def exchange(blocks: DataFrame, ask: Callable, serve: Callable, finish: Callable
     return blocks.groupBy("_block").cogroup(replied.groupBy("block")).applyInArrow(finishes, schema)
 
 
+def running(sizes: DataFrame, place: str, size: str, name: str, width: int = 1024) -> DataFrame:
+    """(place, name): the sum of size over smaller places, for places that are distinct integers from 0 on.
+
+    Runs of width places are summed first, so a task orders width places, or as many runs.
+    """
+    runs = sizes.withColumn("_run", F.floor(F.col(place) / width))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = runs.groupBy(F.col("_run").alias("_r")).agg(F.sum(size).alias("_all"))
+    heads = heads.withColumn("_ahead", F.sum("_all").over(up_to(Window.orderBy("_r"))) - F.col("_all"))
+    inner = runs.withColumn("_in", F.sum(size).over(up_to(Window.partitionBy("_run").orderBy(place))) - F.col(size))
+    return inner.join(heads, F.col("_run") == F.col("_r")).select(place, (F.col("_in") + F.col("_ahead")).alias(name))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder; lineage ends there."""
     shared = shared_folder(df.sparkSession)

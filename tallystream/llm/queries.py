@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, secret_scan, simhash, suffix_dedup, toxicity
+from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, secret_scan, simhash, suffix_dedup, token_ids, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,6 +65,13 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "benchmark"))
 
 
+def op11_token_ids(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    return token_ids.stored(_read(spark, d, "documents").select("doc_id", "text"), tokenizer)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -76,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_token_ids": op11_token_ids,
     }
 
 
