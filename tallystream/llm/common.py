@@ -17,7 +17,7 @@ don't skew shards; hot sources or copies don't skew blocks.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,17 +159,37 @@ def exchange(blocks: DataFrame, ask: Callable, serve: Callable, finish: Callable
     return blocks.groupBy("_block").cogroup(replied.groupBy("block")).applyInArrow(finishes, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows joined to stretches of up to most bytes, or a row that is longer."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and size + b.nbytes > most:
+            yield joined()
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield joined()
+
+
 def running(sizes: DataFrame, place: str, size: str, name: str, width: int = 1024) -> DataFrame:
     """(place, name): the sum of size over smaller places, for places that are distinct integers from 0 on.
 
     Runs of width places are summed first, so a task orders width places, or as many runs.
     """
-    runs = sizes.withColumn("_run", F.floor(F.col(place) / width))
+    runs = sizes.withColumn("_running_run", F.floor(F.col(place) / width))
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = runs.groupBy(F.col("_run").alias("_r")).agg(F.sum(size).alias("_all"))
-    heads = heads.withColumn("_ahead", F.sum("_all").over(up_to(Window.orderBy("_r"))) - F.col("_all"))
-    inner = runs.withColumn("_in", F.sum(size).over(up_to(Window.partitionBy("_run").orderBy(place))) - F.col(size))
-    return inner.join(heads, F.col("_run") == F.col("_r")).select(place, (F.col("_in") + F.col("_ahead")).alias(name))
+    heads = runs.groupBy(F.col("_running_run").alias("_running_head")).agg(F.sum(size).alias("_running_all"))
+    heads = heads.withColumn("_running_ahead", F.sum("_running_all").over(up_to(Window.orderBy("_running_head"))) - F.col("_running_all"))
+    inner = runs.withColumn("_running_in", F.sum(size).over(up_to(Window.partitionBy("_running_run").orderBy(place))) - F.col(size))
+    return inner.join(heads, F.col("_running_run") == F.col("_running_head")).select(place, (F.col("_running_in") + F.col("_running_ahead")).alias(name))
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, secret_scan, simhash, suffix_dedup, token_ids, toxicity
+from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, resample, secret_scan, simhash, suffix_dedup, token_ids, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op11_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids.stored(_read(spark, d, "documents").select("doc_id", "text"), tokenizer)
 
 
+def op12_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    drawn = resample.draw(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_token_ids": op11_token_ids,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 

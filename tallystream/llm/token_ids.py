@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from .common import blocks_for, fresh, kept, plain, running, text_bytes
+from .common import blocks_for, fresh, kept, plain, running, slices, text_bytes
 
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
@@ -273,7 +273,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
             number, ahead, waiting = number + 1, ahead + len(ids), 0
             return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["data"])  # the sink adds the line feed
 
-        for part in _slices(batches, file_bytes):
+        for part in slices(batches, file_bytes):
             ids, counts = encoder.encode(part.column(1))
             edges = np.r_[0, np.cumsum(counts)]
             ids = np.insert(ids, edges[1:], end[0]) if len(end) else ids
@@ -294,26 +294,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     dealt.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.text(path)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows joined to stretches of up to most bytes, or a row that is longer."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if held and size + b.nbytes > most:
-            yield joined()
-            held, size = [], 0
-        held.append(b)
-        size += b.nbytes
-    if held:
-        yield joined()
-
-
 def read(spark: SparkSession, path: str, key: str, kind: str, with_ids: bool = False) -> DataFrame:
     """(key, start, n_tokens, ids_crc32), with the ids too if they are asked for. kind: the key's type."""
 
