@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, resample, secret_scan, simhash, suffix_dedup, token_ids, toxicity
+from . import audio_media, chat_format, decontaminate, html_extract, lm_scoring, mixing, oracle, resample, secret_scan, simhash, spelling, suffix_dedup, token_ids, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(spelling.words(_read(spark, d, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_token_ids": op11_token_ids,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
