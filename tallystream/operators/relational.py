@@ -1,77 +1,118 @@
 """The classifier as relational operators: keyword matches, dense scores and a ranking.
 
-It gives the same results as functions.jurisdiction and takes keywords as data. Up to
-MAX_RULES keywords (their number is checked first) are literals of a projection, so scores
-and ranks are made row by row, without a join or an exchange, and rows with a NULL or
-repeated key keep their own. More keywords meet the texts in an equi-join on a keyword's
-first letters, never in a nested loop. Keywords are normalised like texts.
+It gives the same results as functions.jurisdiction and takes keywords as data. Their number
+and bytes are checked first. Up to LITERALS keywords are literals of a projection, so scores and
+ranks are made row by row, without a join, an exchange or Python. Up to AUTOMATON_BYTES bytes of
+keywords are one automaton, which is broadcast and reads each text once, without an exchange
+either. More keywords meet the texts through an index of grams, and no text is copied. The three
+ways give the same rows; rows with a NULL or repeated key keep their own. Keywords are normalised
+like texts.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jurisdiction import CODES
 from ..functions.text import normalize_text
+from ..sources.shared import shared_folder
+from . import gram_index
+from .automaton import Automaton, sliced
+
+LITERALS, AUTOMATON_BYTES = 100, 1 << 18
+Rules = list[tuple[str | None, str | None, str]]
+
 
-MAX_RULES, LEAD = 10_000, 8
+def _collected(rules: DataFrame) -> tuple[Rules | None, bool]:
+    """(code, word, normalised word) of each rule if they have at most AUTOMATON_BYTES bytes, and whether they are at most LITERALS."""
+    r = rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("n"))
+    n, size = r.agg(F.count(F.lit(1)), F.sum(F.octet_length("n") + 1)).first()
+    few = n <= LITERALS
+    return ([tuple(x) for x in r.collect()] if few or size <= AUTOMATON_BYTES else None), few
 
 
-def _few(rules: DataFrame) -> list[tuple[str | None, str | None, str]] | None:
-    """(code, word, normalised word) of each rule, if there are at most MAX_RULES."""
-    rows = rules.select("code", "word", normalize_text(F.col("word")).alias("n")).filter("word IS NOT NULL").limit(MAX_RULES + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= MAX_RULES else None
+def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").alias("_key"), normalize_text(F.col(f"`{text}`")).alias("_n"))
 
 
-def _many(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rows of texts (with _n) beside each rule's (code, word) that _n contains, by an equi-join on the first letters of rules."""
-    r = rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")).withColumn("_g", F.substring("_w", 1, LEAD))
-    sizes = sorted(x[0] for x in r.select(F.length("_g")).distinct().collect())  # 0 to LEAD: at most LEAD + 1 numbers
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.length("_n") - k + 1), lambda i: F.substring(F.col("_n"), i, F.lit(k)))
-    none = F.array().cast("array<string>")
-    lists = [F.when(F.length("_n") >= k, grams(k)).otherwise(none) if k else F.array(F.lit("")) for k in sizes]
-    texts = texts.withColumn("_t", F.explode(F.array_distinct(F.concat(none, *lists))))
-    return texts.join(r, (F.col("_t") == F.col("_g")) & F.contains(F.col("_n"), F.col("_w"))).drop("_t", "_g", "_w")
+def _indexed(df: DataFrame, key: str, text: str) -> str:
+    """A new index of the texts in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/grams-{uuid.uuid4().hex}"
+    gram_index.build(df, key, text, path)
+    return path
 
 
 def keyword_matches(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, code, word) for each keyword that a text contains."""
-    left = df.select(key, normalize_text(F.col(text)).alias("_n"))
-    if _few(rules) is None:
-        return _many(left, rules).select(key, "code", "word")
-    # at most MAX_RULES rows are broadcast
-    right = F.broadcast(rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")))
-    return left.join(right, F.contains(F.col("_n"), F.col("_w"))).select(key, "code", "word")
-
-
-def _scored(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _s): an array with a score for each code."""
-    left = df.select(key, normalize_text(F.col(text)).alias("_n"))
-    few = _few(rules)
-    if few is not None:
+    """(key, code, word) for each rule whose keyword a text contains."""
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    given, few = _collected(rules)
+    if given is None:
+        return gram_index.matches(spark, _indexed(df, key, text), rules, key, kind)
+    left = _keyed(df, key, text)
+    if few:  # at most LITERALS rows are broadcast
+        right = F.broadcast(rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")))
+        return left.join(right, F.contains(F.col("_n"), F.col("_w"))).select(F.col("_key").alias(key), "code", "word")
+    shared = spark.sparkContext.broadcast((Automaton([n.encode() for *_, n in given]), pa.array([c for c, *_ in given], pa.string()), pa.array([w for _, w, _ in given], pa.string())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, codes, words = shared.value
+        for b in sliced(batches, 1):
+            row, word = map(pa.array, automaton.find(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), codes.take(word), words.take(word)], names=["_key", "code", "word"])
+
+    return left.mapInArrow(run, f"_key {kind}, code string, word string").withColumnRenamed("_key", key)
+
+
+def _total(terms: list[Column]) -> Column:
+    """A sum as a balanced tree, so that its depth is small."""
+    if len(terms) < 2:
+        return terms[0] if terms else F.lit(0)
+    return _total(terms[: len(terms) // 2]) + _total(terms[len(terms) // 2 :])
+
+
+def _scored(df: DataFrame, rules: DataFrame, key: str, text: str, codes: Sequence[str]) -> DataFrame:
+    """(_key, _s): an array with a score for each code."""
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    given, few = _collected(rules)
+    if given is None:
+        return gram_index.counts(spark, _indexed(df, key, text), rules, kind, list(codes))
+    left = _keyed(df, key, text)
+    if few:
         hit = lambda w: F.contains(F.col("_n"), F.lit(w)).cast("int")
-        return left.select(key, F.array(*[sum((hit(n) for c, _, n in few if c == code), F.lit(0)) for code in CODES]).alias("_s"))
-    # The score hangs on the text alone, so texts are what is counted and joined back.
-    hits = _many(left.select("_n").distinct(), rules).groupBy("_n").agg(*[F.count(F.when(F.col("code") == c, F.lit(1))).cast("int").alias(f"_s_{c}") for c in CODES])
-    hits = hits.withColumnRenamed("_n", "_h")
-    return left.join(hits, F.col("_n") == F.col("_h"), "left").select(key, F.array(*[F.coalesce(f"_s_{c}", F.lit(0)) for c in CODES]).alias("_s"))
+        return left.select("_key", F.array(*[_total([hit(n) for c, _, n in given if c == code]) for code in codes]).alias("_s"))
+    given = [x for x in given if x[0] in codes]
+    shared = spark.sparkContext.broadcast((Automaton([n.encode() for *_, n in given]), np.array([codes.index(c) for c, *_ in given], np.int64)))
+    wide = len(codes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, place = shared.value
+        for b in sliced(batches, 1):
+            row, word = automaton.find(b.column(1))
+            total = np.bincount(row * wide + place[word], minlength=b.num_rows * wide).astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(total) + 1, wide, dtype=np.int32), pa.array(total))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["_key", "_s"])
 
-def _rows() -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("code"), F.get("_s", F.lit(i)).alias("score")) for i, c in enumerate(CODES)])
+    return left.mapInArrow(run, f"_key {kind}, _s array<int>")
 
 
-def keyword_scores(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+def keyword_scores(df: DataFrame, rules: DataFrame, key: str, text: str, codes: Sequence[str] = CODES) -> DataFrame:
     """(key, code, score): dense, zero where no keyword matched; as many rows for each row of df as there are codes."""
-    return _scored(df, rules, key, text).select(key, F.inline(_rows()))
+    rows = F.array(*[F.struct(F.lit(c).alias("code"), F.get("_s", F.lit(i)).alias("score")) for i, c in enumerate(codes)])
+    return _scored(df, rules, key, text, codes).select(F.col("_key").alias(key), F.inline(rows))
 
 
-def ranked_scores(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, code, score, rank): the rank goes by descending score, then by the order of CODES, within each row of df."""
-    better = lambda i: sum(((F.get("_s", F.lit(j)) > F.get("_s", F.lit(i))) | (F.lit(j < i) & (F.get("_s", F.lit(j)) == F.get("_s", F.lit(i))))).cast("int") for j in range(len(CODES)) if j != i)
-    rows = F.array(*[F.struct(F.lit(c).alias("code"), F.get("_s", F.lit(i)).alias("score"), (better(i) + 1).alias("rank")) for i, c in enumerate(CODES)])
-    return _scored(df, rules, key, text).select(key, F.inline(rows))
+def ranked_scores(df: DataFrame, rules: DataFrame, key: str, text: str, codes: Sequence[str] = CODES) -> DataFrame:
+    """(key, code, score, rank): the rank goes by descending score, then by the order of codes, within each row of df."""
+    at = lambda i: F.get("_s", F.lit(i))
+    better = lambda i: _total([((at(j) > at(i)) | (F.lit(j < i) & (at(j) == at(i)))).cast("int") for j in range(len(codes)) if j != i])
+    rows = F.array(*[F.struct(F.lit(c).alias("code"), at(i).alias("score"), (better(i) + 1).alias("rank")) for i, c in enumerate(codes)])
+    return _scored(df, rules, key, text, codes).select(F.col("_key").alias(key), F.inline(rows))
 
 
 def jurisdiction_rank(scores: DataFrame, key: str) -> DataFrame:

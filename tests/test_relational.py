@@ -1,13 +1,15 @@
 """Scores, ranks and matches on awkward keys and keywords; the chat path's parts; the completer's failures."""
 
+import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallystream.functions import codec
 from tallystream.functions.jurisdiction import detect_jurisdiction, with_detection_struct
-from tallystream.operators import chat, completion, relational
+from tallystream.operators import automaton, chat, completion, gram_index, relational
 from tallystream.plans import queries as plans
 from tallystream.sources import tables
 
@@ -21,9 +23,18 @@ def small(spark):
     return spark.createDataFrame(TEXTS, "id long, t string")
 
 
-@pytest.mark.parametrize("limit", [10_000, 3])
-def test_scores_of_repeated_and_null_keys(spark, small, monkeypatch, limit):
-    monkeypatch.setattr(relational, "MAX_RULES", limit)
+#: Limits of the three ways: literals, an automaton, the gram index.
+WAYS = [(100, 1 << 18), (0, 1 << 18), (0, 0)]
+
+
+def way(monkeypatch, limits):
+    monkeypatch.setattr(relational, "LITERALS", limits[0])
+    monkeypatch.setattr(relational, "AUTOMATON_BYTES", limits[1])
+
+
+@pytest.mark.parametrize("limits", WAYS)
+def test_scores_of_repeated_and_null_keys(spark, small, monkeypatch, limits):
+    way(monkeypatch, limits)
     rules = plans.keywords(spark)
     got = sorted(map(str, ((r.id, r.code, r.score) for r in relational.keyword_scores(small, rules, "id", "t").collect())))
     assert got == sorted(str((i, c, WANT[t][k])) for i, t in TEXTS for k, c in enumerate(("IR", "DE", "US")))
@@ -37,9 +48,9 @@ def test_scores_of_repeated_and_null_keys(spark, small, monkeypatch, limit):
     assert matches == sorted(map(str, [(1, "DE", "germany"), (1, "DE", "german"), (1, "DE", "deutschland"), (1, "IR", "ایران"), (1, "DE", "german"), (None, "DE", "germany"), (None, "DE", "german")]))
 
 
-@pytest.mark.parametrize("limit", [10, 1])
-def test_keywords_are_normalised(spark, small, monkeypatch, limit):
-    monkeypatch.setattr(relational, "MAX_RULES", limit)
+@pytest.mark.parametrize("limits", WAYS)
+def test_keywords_are_normalised(spark, small, monkeypatch, limits):
+    way(monkeypatch, limits)
     rules = spark.createDataFrame([("DE", 0, " GERMANY "), ("IR", 0, "ايران"), ("IR", 1, None)], "code string, pos int, word string")
     assert sorted(map(str, map(tuple, relational.keyword_matches(small, rules, "id", "t").collect()))) == sorted(map(str, [(1, "DE", " GERMANY "), (1, "IR", "ايران"), (None, "DE", " GERMANY ")]))
     assert relational.keyword_scores(small, rules, "id", "t").filter("score > 0").count() == 3
@@ -93,3 +104,64 @@ def test_completer_answers_and_timeout(spark):
     began = time.perf_counter()
     assert completion.complete(df.limit(1), "id", "m", slow, timeout=0.2).first().reply == completion.RELAY_ERROR[1]
     assert time.perf_counter() - began < 20
+
+
+def brute(rows, rules):
+    """(key, code, word) by Python's own search, on normalised strings without odd letters."""
+    return sorted(str((k, c, w)) for k, t in rows for c, w in rules if w is not None and w.strip().lower() in (t or "").lower().strip())
+
+
+@pytest.mark.parametrize("limits", WAYS)
+def test_nested_short_repeated_and_empty_keywords(spark, monkeypatch, limits):
+    """Few letters, so that all keywords nest and occur; rules that repeat, under several codes, empty and NULL."""
+    way(monkeypatch, limits)
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcéz ") for _ in range(n))
+    rows = [(rng.choice([None, 1, 2, i]), rng.choice([text(rng.randint(0, 60)), text(3000)])) for i in range(60)] + [(7, None), (8, "")]
+    rules = [(rng.choice(["IR", "DE", "US", "XX", None]), text(rng.randint(1, 9)).strip() or "q") for _ in range(60)] + [("DE", ""), ("US", None), ("IR", "ab"), ("IR", "ab"), ("IR", "AB"), ("DE", "a" * 900)]
+    df, given = spark.createDataFrame(rows, "_n long, t string").repartition(3), spark.createDataFrame(rules, "code string, word string")
+    want = brute(rows, rules)
+    assert sorted(str(tuple(r)) for r in relational.keyword_matches(df, given, "_n", "t").collect()) == want
+    score = lambda k, t, code: len([1 for x in brute([(k, t)], rules) if f"'{code}'" in x.split(",")[1]])
+    dense = sorted(str((k, c, score(k, t, c))) for k, t in rows for c in ("DE", "XX"))
+    assert sorted(str(tuple(r)) for r in relational.keyword_scores(df, given, "_n", "t", ("DE", "XX")).collect()) == dense
+    assert relational.keyword_matches(df.limit(0), given, "_n", "t").count() == 0
+    assert relational.keyword_scores(df, given.limit(0), "_n", "t").filter("score <> 0").count() == 0
+
+
+@pytest.mark.parametrize("n", [101, 9_999, 40_000])
+def test_many_keywords(spark, n):
+    """Literals end at 100; 40,000 keywords have more bytes than one automaton takes."""
+    words = [f"{i * 7919 % 100_003:06d}" for i in range(n)]
+    rules = spark.createDataFrame([("IR" if i % 3 else "US", w) for i, w in enumerate(words)], "code string, word string")
+    rows = [(i, " ".join(words[j] for j in range(i, n, 97)) + " 1234567 99") for i in range(20)]
+    text = dict(rows)
+    got = {(r.id, r.code): r.score for r in relational.keyword_scores(spark.createDataFrame(rows, "id long, t string"), rules, "id", "t").collect()}
+    for i, t in text.items():
+        there = {t[k : k + 6] for k in range(len(t) - 5)}
+        assert got[i, "US"] == sum(w in there for w in words[::3]) and got[i, "IR"] == sum(w in there for w in words) - got[i, "US"] and got[i, "DE"] == 0
+
+
+def test_index_serves_keywords_that_arrive_later(spark, tmp_path):
+    rows = [(i, f"text {i} of many, code{i % 7}x " + "filler " * 300) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    path = str(tmp_path / "index")
+    gram_index.build(df, "id", "t", path, slice_bytes=20_000)
+    slices = spark.read.parquet(f"{path}/slices").count()
+    assert slices > 20
+    for words in (["code3x", "text 39 "], ["nowhere", "code9x"], ["z", "39"]):
+        rules = spark.createDataFrame([("IR", w) for w in words], "code string, word string")
+        assert sorted(str(tuple(r)) for r in gram_index.matches(spark, path, rules, "id", "long").collect()) == brute(rows, [("IR", w) for w in words])
+    one = spark.createDataFrame([("IR", "text 39 ")], "code string, word string")
+    assert gram_index.candidates(spark, path, one).count() < slices / 4 and gram_index.candidates(spark, path, one.withColumn("word", F.lit("nowhere"))).count() == 0
+
+
+def test_automaton_reads_in_stretches(monkeypatch):
+    monkeypatch.setattr(automaton, "STRETCH", 8)
+    rng = random.Random(2)
+    for _ in range(100):
+        letters = "abcé"[: rng.randint(1, 4)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 30))]
+        texts = ["".join(rng.choice(letters + "x") for _ in range(rng.choice([0, 1, 7, 8, 9, 300]))) for _ in range(rng.randint(0, 9))]
+        row, word = automaton.Automaton([w.encode() for w in words]).find(pa.array(["skipped", *texts], pa.string()).slice(1))
+        assert list(zip(row.tolist(), word.tolist())) == [(i, j) for i, t in enumerate(texts) for j, w in enumerate(words) if w in t]
