@@ -50,6 +50,20 @@ def js_number(x: Column) -> Column:
         ahead = F.ltrim(p["bare"], F.lit("0"))
         return F.struct(F.rtrim(ahead, F.lit("0")).alias("sig"), (p["whole"] + p["power"] - F.length(p["bare"]) + F.length(ahead)).alias("point"))
 
+    def shortest(v: Column) -> Column:
+        """The fewest digits that read back as the same double, the nearest of them first: Java's own may be more."""
+
+        def tried(k: Column) -> Column:
+            lead = F.substring(v["sig"], F.lit(1), k)
+            above = (lead.cast("decimal(20,0)") + 1).cast("decimal(20,0)").cast("string")
+            up = F.substring(v["sig"], k + 1, F.lit(1)) >= "5"
+            reads = lambda d: F.concat(d, F.lit("E"), (v["point"] - k).cast("string")).cast("double") == F.abs(x)
+            both = F.when(up, F.array(above, lead)).otherwise(F.array(lead, above))
+            # 9 and one is 10: a digit more ahead of the point
+            return F.transform(F.filter(both, reads), lambda d: F.struct(F.rtrim(d, F.lit("0")).alias("sig"), (v["point"] + F.length(d) - k).alias("point")))
+
+        return F.get(F.flatten(F.transform(F.sequence(F.lit(1), F.length(v["sig"])), tried)), F.lit(0))
+
     def spelled(v: Column) -> Column:
         sig, point = v["sig"], v["point"]
         k = F.length(sig)
@@ -61,7 +75,7 @@ def js_number(x: Column) -> Column:
             .otherwise(F.concat(F.substring(sig, F.lit(1), F.lit(1)), tail, F.lit("e"), F.when(point > 0, F.lit("+")).otherwise(F.lit("-")), F.abs(point - 1).cast("string")))
         )
 
-    plain = bound(bound(bound(F.abs(x).cast("string"), parts), scaled), spelled)
+    plain = bound(bound(bound(bound(F.abs(x).cast("string"), parts), scaled), shortest), spelled)
     return F.when(x == 0, F.lit("0")).when(x < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
 
 
@@ -119,10 +133,20 @@ def decode_message(body: Column, nested_arrays: bool = True) -> Column:
     )
 
 
+def missing(body: Column) -> Column:
+    """True for a request without a body."""
+    return F.coalesce(F.octet_length(body), F.lit(0)) == 0
+
+
 def malformed(body: Column) -> Column:
-    """True for a body that isn't a JSON object or array."""
+    """True for a body that isn't one JSON object or array, with white space at most around it.
+
+    Spark's parser stops after a value. One that stands alone is right both in an array and in an object,
+    while whatever follows it breaks one of them.
+    """
     kind = F.schema_of_variant(F.try_parse_json(body))
-    return ~F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    alone = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"_":'), body, F.lit("}"))).isNotNull()
+    return ~F.coalesce((kind.startswith("OBJECT") | kind.startswith("ARRAY")) & alone, F.lit(False))
 
 
 def uncoercible(body: Column) -> Column:
@@ -130,12 +154,23 @@ def uncoercible(body: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.message.toString", "variant")).isNotNull(), F.lit(False))
 
 
+def json_text(c: Column) -> Column:
+    """A string as JSON.stringify spells it: short escapes where there are any, else lower-case digits; NULL gives null."""
+    short = {"\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t"}
+    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in range(32):
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit("\\" + short.get(chr(code), f"u{code:04x}")))
+    plain = F.when(F.rlike(c, F.lit(r'[\x00-\x1f"\\]')), escaped).otherwise(c)
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), plain, F.lit('"')))
+
+
 def encode_reply(reply: Column) -> Column:
-    return F.to_json(F.struct(reply.alias("reply")))
+    """{"reply": ...}; a NULL reply is undefined in the reply record, so the name is left out."""
+    return F.when(reply.isNull(), F.lit("{}")).otherwise(F.concat(F.lit('{"reply":'), json_text(reply), F.lit("}")))
 
 
 def encode_request(message: Column) -> Column:
-    return F.to_json(F.struct(message.alias("message")))
+    return F.when(message.isNull(), F.lit("{}")).otherwise(F.concat(F.lit('{"message":'), json_text(message), F.lit("}")))
 
 
 def decode_reply(response: Column) -> Column:

@@ -30,11 +30,13 @@ def legal_system_prompt(jurisdiction: Column, assistant: str = ASSISTANT) -> Col
 
 def create_legal_request(df: DataFrame, message: str, requested: str | None = None, keep: tuple[str, ...] = (), assistant: str = ASSISTANT) -> DataFrame:
     """The seven-field request record, after the columns named in keep."""
-    base = df.select(*keep, F.col(message).alias("_m"), (F.col(requested) if requested else F.lit(None).cast("string")).alias("_r"))
+    names, back = [f"_k{i}" for i in range(len(keep))], [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
+    base = df.select(*kept, F.col(f"`{message}`").alias("_m"), (F.col(f"`{requested}`") if requested else F.lit(None).cast("string")).alias("_r"))
     found = with_detection(base, "_m", "_r" if requested else None)
-    staged = found.select(*keep, "_m", "confidence", "source", jurisdiction_struct(F.col("code")).alias("jurisdiction"))
+    staged = found.select(*names, "_m", "confidence", "source", jurisdiction_struct(F.col("code")).alias("jurisdiction"))
     return staged.select(
-        *keep,
+        *back,
         js_trim(or_empty(F.col("_m"))).alias("query"),
         "jurisdiction",
         F.col("confidence").alias("jurisdictionConfidence"),

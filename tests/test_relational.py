@@ -1,6 +1,8 @@
 """Scores, ranks and matches on awkward keys and keywords; the chat path's parts; the completer's failures."""
 
+import json
 import random
+import struct
 import time
 
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallystream.functions import codec
 from tallystream.functions.jurisdiction import detect_jurisdiction, with_detection_struct
+from tallystream.functions.legal import create_legal_request
 from tallystream.operators import automaton, chat, completion, gram_index, relational
 from tallystream.plans import queries as plans
 from tallystream.sources import tables
@@ -77,7 +80,7 @@ def test_numbers(spark):
 def test_chat_path_limit_and_files(spark, tmp_path):
     codec.allow_repeated_keys(spark)
     df = spark.createDataFrame([(1, '{"message":"' + "é" * 20 + '"}'), (2, '{"message":" "}'), (3, None)], "id long, body string")
-    assert [tuple(r)[:2] for r in chat.answer(df, keep=("id",), limit=30).orderBy("id").collect()] == [(1, 413), (2, 200), (3, 400)]
+    assert [tuple(r)[:2] for r in chat.answer(df, keep=("id",), limit=30).orderBy("id").collect()] == [(1, 413), (2, 200), (3, 500)]
     (tmp_path / "in.jsonl").write_text('{"message":"سلام"}\n{"message":1,"message":2}\n')
     got = chat.answer(tables.read_requests(spark, str(tmp_path / "in.jsonl")))
     tables.write_replies(got, str(tmp_path / "json"))
@@ -165,3 +168,40 @@ def test_automaton_reads_in_stretches(monkeypatch):
         texts = ["".join(rng.choice(letters + "x") for _ in range(rng.choice([0, 1, 7, 8, 9, 300]))) for _ in range(rng.randint(0, 9))]
         row, word = automaton.Automaton([w.encode() for w in words]).find(pa.array(["skipped", *texts], pa.string()).slice(1))
         assert list(zip(row.tolist(), word.tolist())) == [(i, j) for i, t in enumerate(texts) for j, w in enumerate(words) if w in t]
+
+
+def test_numbers_as_ecmascript_spells_them(spark):
+    """Shortest digits that read back, as Python's repr has them too; Java's own are longer for some."""
+    rng = random.Random(3)
+    values = [5e-324, 1e-323, 2.2250738585072014e-308, 2e-44, 2e23, 9.5e-7, 1e23, 8.41e21, 9.999999999999999e22, 4.35e-10, 1e-7, 123456.7]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63)))[0] for _ in range(1500)] + [rng.getrandbits(60) * 2.0 ** -rng.randint(0, 1100) for _ in range(500)]
+    values = [v for v in values if v == v and v not in (0.0, float("inf"))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", codec.js_number(F.col("v")).alias("s")).collect():
+        assert r.s == codec._js(r.v), r
+
+
+def test_statuses_of_odd_bodies(spark):
+    codec.allow_repeated_keys(spark)
+    ok = '{"message":"a"}'
+    bodies = {None: 500, "": 500, " ": 400, ok: 200, f" \n{ok}\t": 200, ok + " trailing": 400, ok + ok: 400, ok + "]": 400, ok + "}": 400, ok + "]}": 400, ok + ',{"message":"b"}': 400, ok + ',"b":1': 400, "[1]": 200, "[1],[2]": 400, "[1]]": 400, "[1]}": 400, '{"message":5e-324}': 200}
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "_b long, body string")
+    got = {r["_b"]: r for r in chat.answer(df, keep=("_b",)).collect()}
+    for i, (b, status) in enumerate(bodies.items()):
+        assert got[i].status == status and (got[i].reply is None) == (status == 400), b
+        assert status != 500 or got[i].reply == plans.responder.SERVER_ERROR
+    assert got[len(bodies) - 1].reply == plans.responder.ECHO + "5e-324"
+
+
+def test_json_text(spark):
+    rng = random.Random(4)
+    texts = ["", '"', "\\", "\\u000B", "\x7f", "é😀‌", "\u2028", *("".join(chr(rng.choice([*range(33), 34, 92, 47, 117, 233])) for _ in range(rng.randint(1, 30))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", codec.encode_reply(F.col("t")).alias("j"), codec.encode_request(F.col("t")).alias("r"))
+    for r in df.collect():
+        assert r.j == json.dumps({"reply": r.t}, ensure_ascii=False, separators=(",", ":")) and json.loads(r.r) == {"message": r.t}
+    assert df.sparkSession.range(1).select(codec.encode_reply(F.lit(None).cast("string"))).first()[0] == "{}"
+
+
+def test_names_of_kept_columns(spark):
+    df = spark.createDataFrame([(1, "Germany")], "_m long, `a.b` string")
+    assert create_legal_request(df, "a.b", keep=("_m",)).first().query == "Germany" and create_legal_request(df, "a.b", keep=("_m", "a.b")).columns[:2] == ["_m", "a.b"]
