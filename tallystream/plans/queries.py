@@ -15,7 +15,7 @@ from ..functions import codec, responder
 from ..functions.jurisdiction import CODES, JURISDICTIONS, KEYWORDS, jurisdiction_struct, jurisdictions, keywords, with_detection, with_detection_struct, with_scores
 from ..functions.legal import ASSISTANT, PROMPT_HEAD, PROMPT_TAIL, UNKNOWN, create_legal_request, legal_system_prompt
 from ..functions.text import FOLD_FROM, FOLD_TO, JS_WS, normalize_text
-from ..operators import chat, completion, relational, transcript
+from ..operators import chat, completion, gram_index, relational, transcript
 from ..sources.shared import delete, shared_folder
 from ..sources.tables import table
 from ..streaming import stream
@@ -29,13 +29,29 @@ PHRASES = [
 REQUESTED = [None, "ir", "DE", "FR", " us"]
 CHAT = ["", "   ", "\t", " ", "سلام", "چطوری", "چطوری سلام", "سلامت باشید", "چطوري", "  hi ", "‌", " a "]
 ROUTES = [("GET", "/"), ("GET", "/ping"), ("POST", "/chat"), ("POST", "/"), ("GET", "/nope")]
-BODIES = [
-    '{"message":"x"}', '{"message":0}', '{"message":"0"}', '{"message":false}', '{"message":true}', '{"message":null}', "{}",
-    '{"message":{"a":1}}', '{"message":""}', '{"message":" سلام "}', '{"message":12}', '{"message":"false"}',
+#: Request bodies made of each conversation row: a name, Spark SQL over (conv_id, m, j) and DuckDB SQL over the same, j being m as JSON.
+FORMS = [
+    ("string", "concat('{\"message\":', j, '}')", "'{\"message\":' || j || '}'"),
+    ("spaced", "concat(' {\"a\":[], \"message\" : ', j, '}\\n')", "' {\"a\":[], \"message\" : ' || j || '}' || chr(10)"),
+    ("number", "concat('{\"message\":', conv_id, '}')", "'{\"message\":' || conv_id || '}'"),
+    ("digits", "concat('{\"message\":\"', conv_id, '\"}')", "'{\"message\":\"' || conv_id || '\"}'"),
+    ("true", "'{\"message\":true}'", "'{\"message\":true}'"), ("false", "'{\"message\":false}'", "'{\"message\":false}'"), ("null", "'{\"message\":null}'", "'{\"message\":null}'"),
+    ("no_message", "concat('{\"text\":', j, '}')", "'{\"text\":' || j || '}'"), ("list", "concat('[', j, ']')", "'[' || j || ']'"),
+    ("array", "concat('{\"message\":[', conv_id, ',', j, ',null,[true]]}')", "'{\"message\":[' || conv_id || ',' || j || ',null,[true]]}'"),
+    ("object", "concat('{\"message\":{\"a\":', j, '}}')", "'{\"message\":{\"a\":' || j || '}}'"), ("no_text", "concat('{\"message\":{\"toString\":', j, '}}')", "'{\"message\":{\"toString\":' || j || '}}'"),
+    ("trailing", "concat('{\"message\":', j, '} ', conv_id)", "'{\"message\":' || j || '} ' || conv_id"), ("two", "concat('{\"message\":', j, '}{}')", "'{\"message\":' || j || '}{}'"),
+    ("open", "concat('{\"message\":', j)", "'{\"message\":' || j"), ("bare", "j", "j"), ("none", "CAST(NULL AS STRING)", "NULL"), ("empty", "''", "''"),
 ]
+#: Provider's responses made of each conversation row, in the same way.
 RESPONSES = [
-    '{"choices":[{"message":{"content":"hi"}}]}', '{"choices":[]}', "{}", '{"choices":[{}]}', '{"choices":[{"message":{}}]}', '{"choices":[{"message":{"content":null}}]}',
+    ("content", "concat('{\"choices\":[{\"message\":{\"content\":', j, '}}]}')", "'{\"choices\":[{\"message\":{\"content\":' || j || '}}]}'"),
+    ("first", "concat('{\"choices\":[{\"message\":{\"content\":', j, '}},{\"message\":{\"content\":\"no\"}}]}')", "'{\"choices\":[{\"message\":{\"content\":' || j || '}},{\"message\":{\"content\":\"no\"}}]}'"),
+    ("no_choice", "concat('{\"choices\":[],\"id\":', conv_id, '}')", "'{\"choices\":[],\"id\":' || conv_id || '}'"), ("no_choices", "concat('{\"id\":', conv_id, '}')", "'{\"id\":' || conv_id || '}'"),
+    ("no_message", "'{\"choices\":[{}]}'", "'{\"choices\":[{}]}'"), ("no_content", "'{\"choices\":[{\"message\":{}}]}'", "'{\"choices\":[{\"message\":{}}]}'"), ("null", "'{\"choices\":[{\"message\":{\"content\":null}}]}'", "'{\"choices\":[{\"message\":{\"content\":null}}]}'"),
 ]
+#: Keywords for many: words of the tables, by the table that they are from.
+WORDS = "[a-z0-9]{4,}"
+KEYWORD_TABLES = {"chat": ("conversations", "text"), "page": ("pages", "html"), "item": ("benchmark", "text")}
 
 
 def pick(values: list[str | None], key: Column) -> Column:
@@ -87,8 +103,64 @@ SQL_C = (
 SQL_RULES = f"CASE WHEN trim(m, {q(JS_WS)}) = '' THEN {q(responder.BLANK_REPLY)} " + " ".join(f"WHEN contains(m, {q(w)}) THEN {q(r)}" for w, r in responder.RULES) + f" ELSE {q(responder.ECHO)} || m END"
 
 
-def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "id long, body string")
+def formed(spark: SparkSession, d: str, forms: list[tuple[str, str, str]]) -> DataFrame:
+    """(conv_id, turn, form, m, body): each conversation row in each form."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("m"))
+    j = c.withColumn("j", codec.json_text(F.col("m")))
+    return j.select("conv_id", "turn", "m", F.inline(F.array(*[F.struct(F.lit(n).alias("form"), F.expr(e).alias("body")) for n, e, _ in forms])))
+
+
+def sql_formed(forms: list[tuple[str, str, str]]) -> str:
+    listed = " UNION ALL ".join(f"SELECT conv_id, turn, m, '{n}' AS form, {e} AS body FROM j" for n, _, e in forms)
+    return f"j AS (SELECT conv_id, turn, coalesce(text, '') AS m, to_json(coalesce(text, ''))::VARCHAR AS j FROM conversations), f AS ({listed})"
+
+
+#: What a body's message is as a string, by its JSON type; NULL if it can't become one.
+SQL_MESSAGE = """CASE WHEN json_type(body, '$.message.toString') IS NOT NULL AND json_type(body, '$.message') = 'OBJECT' THEN NULL ELSE coalesce(CASE json_type(body, '$.message') WHEN 'VARCHAR' THEN body->>'$.message' WHEN 'OBJECT' THEN '[object Object]'
+  WHEN 'BOOLEAN' THEN CASE body->>'$.message' WHEN 'true' THEN 'true' END WHEN 'UBIGINT' THEN nullif(body->>'$.message', '0') WHEN 'ARRAY' THEN concat(body->>'$.message[0]', ',', body->>'$.message[1]', ',,true') END, '') END"""
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    """Each chat row under each route."""
+    routes = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(p).alias("path")) for m, p in ROUTES])
+    return chat_rows(spark, d).select("conv_id", "turn", "m", F.inline(routes))
+
+
+def many_rules(spark: SparkSession, d: str) -> DataFrame:
+    """(code, word): the words of three tables."""
+    parts = [table(spark, d, t).select(F.lit(c).alias("code"), F.explode(F.regexp_extract_all(F.lower(x), F.lit(WORDS), F.lit(0))).alias("word")) for c, (t, x) in KEYWORD_TABLES.items()]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+SQL_MANY = "k AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS code, unnest(regexp_extract_all(lower({x}), '{WORDS}')) AS word FROM {t}" for c, (t, x) in KEYWORD_TABLES.items()) + ")"
+
+
+def late_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Longer words of the benchmark, which arrive after the texts were indexed."""
+    return many_rules(spark, d).filter("code = 'item' AND length(word) >= 8")
+
+
+def indexed_matches(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/index-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
+    gram_index.build(table(spark, d, "documents"), "doc_id", "text", path)
+    return gram_index.matches(spark, path, late_rules(spark, d), "doc_id", "bigint").select("doc_id", "word")
+
+
+def relay_path(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of all forms through the relay, whose provider says how long a string message is, sends no message for a number and fails for the rest."""
+    codec.allow_repeated_keys(spark)
+
+    def provider(asks: list[dict]) -> list[tuple[bool, str | None]]:
+        import json
+
+        out: list[tuple[bool, str | None]] = []
+        for a in asks:
+            m = a["messages"][0].get("content")
+            out.append((isinstance(m, int | str) and not isinstance(m, bool), json.dumps({"choices": [{"message": {"content": f"len {len(m)}"}} if isinstance(m, str) else {}]})))
+        return out
+
+    rows = formed(spark, d, FORMS).select(F.struct("conv_id", "turn", "form").alias("k"), "body")
+    return completion.relay(rows, "k", "body", provider).select("k.conv_id", "k.turn", "k.form", "status", "reply", "response")
 
 
 #: Bodies for the whole path, and what each gets: (body, status, reply). The last body is repeated to exceed the limit.
@@ -109,6 +181,15 @@ def chat_path(spark: SparkSession, d: str) -> DataFrame:
     return chat.answer(bodies.union(more), "body", ("conv_id", "turn"))
 
 
+#: Forms that aren't one JSON object or array.
+REFUSED = ("trailing", "two", "open", "bare", "none", "empty")
+
+
+def chat_statuses(spark: SparkSession, d: str) -> DataFrame:
+    codec.allow_repeated_keys(spark)
+    return chat.answer(formed(spark, d, FORMS), "body", ("conv_id", "turn", "form"))
+
+
 def transcript_of(style: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: transcript.render(table(s, d, "conversations"), style=style)
 
@@ -157,23 +238,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "detect_struct": lambda s, d: with_detection_struct(phrased(s, d).withColumn("r", pick(REQUESTED, col("doc_id"))), "m", "r").select(
             "doc_id", *[col(f"detection.jurisdiction.{n}").alias(n) for n in ("code", "name_fa", "name_en", "language", "status")], "detection.confidence", "detection.source"
         ),
-        "jurisdiction_dim": lambda s, d: jurisdictions(s),
-        "keyword_dim": lambda s, d: keywords(s).select("code", "word"),
-        "legal_system_prompt": lambda s, d: s.createDataFrame([(c,) for c in [*CODES, None]], "code string").select("code", legal_system_prompt(jurisdiction_struct(col("code"))).alias("prompt")),
+        "jurisdiction_dim": lambda s, d: jurisdictions(s).join(with_detection(phrased(s, d), "m").groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code", "left").select(*[j for j in ("code", "name_fa", "name_en", "language", "status")], F.coalesce("n", F.lit(0)).cast("long").alias("n_documents")),
+        "keyword_dim": lambda s, d: keywords(s).select("code", "word").join(relational.keyword_matches(phrased(s, d), keywords(s), "doc_id", "m").groupBy("code", "word").agg(F.count(F.lit(1)).alias("n")), ["code", "word"], "left").select("code", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents")),
+        "legal_system_prompt": lambda s, d: with_detection(phrased(s, d), "m").select("doc_id", "code", legal_system_prompt(jurisdiction_struct(col("code"))).alias("prompt")),
         "create_legal_request": lambda s, d: create_legal_request(phrased(s, d), "m", keep=("doc_id",)).select(
             "doc_id", "query", col("jurisdiction.code").alias("code"), col("jurisdiction.name_en").alias("name_en"), col("jurisdictionConfidence").alias("confidence"),
             col("jurisdictionSource").alias("source"), col("needsJurisdictionClarification").alias("needs_clarification"), col("systemPrompt").alias("prompt"), F.size("evidence").alias("n_evidence"),
         ),
         "rule_reply": lambda s, d: chat_rows(s, d).select("conv_id", "turn", responder.rule_reply(col("m")).alias("reply")),
-        "route_dispatch": lambda s, d: s.createDataFrame([(i, m, p, "سلام") for i, (m, p) in enumerate(ROUTES)], "id long, method string, path string, m string").select(
-            "id", responder.route_status(col("method"), col("path")).alias("status"), responder.route_reply(col("method"), col("path"), col("m")).alias("reply")
-        ),
-        "chat_request_decode": lambda s, d: inline(s, BODIES).select("id", codec.decode_message(col("body")).alias("message")),
+        "route_dispatch": lambda s, d: routed(s, d).select("conv_id", "turn", "method", "path", responder.route_status(col("method"), col("path")).alias("status"), responder.route_reply(col("method"), col("path"), col("m")).alias("reply")),
+        "chat_request_decode": lambda s, d: formed(s, d, [f for f in FORMS if f[0] not in REFUSED]).select("conv_id", "turn", "form", F.when(~codec.uncoercible(col("body")), codec.decode_message(col("body"))).alias("message")),
         "chat_response_encode": lambda s, d: chat_rows(s, d).select("conv_id", "turn", codec.encode_reply(responder.rule_reply(col("m"))).alias("j")).select("conv_id", "turn", codec.decode_reply(col("j")).alias("reply")),
         "client_filter_trimmed": lambda s, d: transcript.drop_blank(chat_rows(s, d), "m"),
         "client_filter_nonempty": lambda s, d: transcript.drop_empty(chat_rows(s, d), "m"),
         "completion_payload": lambda s, d: phrased(s, d).select("doc_id", completion.payload(col("m")).alias("p")).select("doc_id", "p.model", F.explode("p.messages").alias("x")).select("doc_id", "model", "x.role", "x.content"),
-        "completion_extract": lambda s, d: inline(s, RESPONSES).select("id", completion.extract_reply(col("body")).alias("reply")),
+        "completion_extract": lambda s, d: formed(s, d, RESPONSES).select("conv_id", "turn", "form", completion.extract_reply(col("body")).alias("reply")),
+        "chat_statuses": chat_statuses,
+        "chat_response_json": lambda s, d: chat_rows(s, d).select("conv_id", "turn", codec.encode_reply(responder.rule_reply(col("m"))).alias("response"), codec.encode_request(col("m")).alias("request")),
+        "relay_path": relay_path,
+        "keyword_scores_many": lambda s, d: relational.keyword_scores(table(s, d, "documents"), many_rules(s, d), "doc_id", "text", list(KEYWORD_TABLES)),
+        "keyword_index_matches": indexed_matches,
         "completion_call": completion_call,
         "missing_key_reply": lambda s, d: completion.missing_key(phrased(s, d).select("doc_id")),
         "transcript_render": lambda s, d: transcript.render(table(s, d, "conversations")),
@@ -191,7 +275,6 @@ def oracle_sql() -> dict[str, str]:
     turns = lambda style: f"CASE role WHEN 'user' THEN {q(transcript.BUBBLES[style][0])} ELSE {q(transcript.BUBBLES[style][1])} END || text || '</div>'"
     rendered = lambda style: f"SELECT conv_id, string_agg({turns(style)}, '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"
     detect = f"{SQL_ALL} SELECT * FROM d"
-    values = lambda rows: "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(rows)) + ") v(id, body)"
     return {
         "detect_jurisdiction": detect,
         "stream_detect": detect,
@@ -202,19 +285,27 @@ def oracle_sql() -> dict[str, str]:
         "keyword_scores": f"{SQL_ALL} SELECT doc_id, code, score FROM s",
         "keyword_scores_wide": f"{SQL_ALL} SELECT doc_id, " + ", ".join(f'max(score) FILTER (code = \'{c}\') AS "score_{c}"' for c in CODES) + " FROM s GROUP BY doc_id",
         "jurisdiction_rank": f"{SQL_ALL} SELECT doc_id, code, score, rank FROM r",
-        "jurisdiction_dim": f"SELECT * FROM {SQL_DIM}",
-        "keyword_dim": f"WITH {SQL_K} SELECT code, word FROM k",
-        "legal_system_prompt": f"SELECT c.code, {SQL_PROMPT} AS prompt FROM (VALUES ('IR'), ('DE'), ('US'), (NULL)) c(code) LEFT JOIN {SQL_DIM} USING (code)",
+        "jurisdiction_dim": f"{SQL_ALL} SELECT j.*, count(d.doc_id) AS n_documents FROM {SQL_DIM} LEFT JOIN d ON d.code = j.code GROUP BY ALL",
+        "keyword_dim": f"WITH {SQL_P}, {SQL_N}, {SQL_K} SELECT k.code, k.word, count(n.doc_id) AS n_documents FROM k LEFT JOIN n ON contains(n.n, k.word) GROUP BY ALL",
+        "legal_system_prompt": f"{SQL_ALL} SELECT d.doc_id, d.code, {SQL_PROMPT} AS prompt FROM d LEFT JOIN {SQL_DIM} ON j.code = d.code",
         "create_legal_request": f"{SQL_ALL} SELECT d.doc_id, trim(p.m, {q(JS_WS)}) AS query, d.code, j.name_en, confidence, source, d.code IS NULL AS needs_clarification, {SQL_PROMPT} AS prompt, 0::INT AS n_evidence FROM d JOIN p USING (doc_id) LEFT JOIN {SQL_DIM} ON j.code = d.code",
         "rule_reply": f"WITH {SQL_C} {reply}",
         "chat_response_encode": f"WITH {SQL_C} {reply}",
-        "route_dispatch": f"SELECT id, CASE WHEN id < 3 THEN 200 ELSE 404 END::INT AS status, CASE id WHEN 0 THEN 'OK' WHEN 1 THEN 'pong' WHEN 2 THEN {q(responder.RULES[0][1])} END AS reply FROM (VALUES (0::BIGINT), (1), (2), (3), (4)) v(id)",
-        "chat_request_decode": "SELECT id::BIGINT AS id, CASE json_type(body, '$.message') WHEN 'VARCHAR' THEN body->>'$.message' WHEN 'OBJECT' THEN '[object Object]' WHEN 'BOOLEAN' THEN CASE body->>'$.message' WHEN 'true' THEN 'true' ELSE '' END "
-        f"WHEN 'UBIGINT' THEN CASE body->>'$.message' WHEN '0' THEN '' ELSE body->>'$.message' END ELSE '' END AS message FROM {values(BODIES)}",
+        "route_dispatch": f"WITH {SQL_C}, r(method, path) AS (VALUES {', '.join(map(str, ROUTES))}) SELECT conv_id, turn, method, path, CASE WHEN method = 'GET' AND path IN ('/', '/ping') OR method = 'POST' AND path = '/chat' THEN 200 ELSE 404 END::INT AS status, "
+        f"CASE WHEN method = 'GET' AND path = '/' THEN 'OK' WHEN method = 'GET' AND path = '/ping' THEN 'pong' WHEN method = 'POST' AND path = '/chat' THEN {SQL_RULES} END AS reply FROM c CROSS JOIN r",
+        "chat_request_decode": f"WITH {sql_formed([f for f in FORMS if f[0] not in REFUSED])} SELECT conv_id, turn, form, {SQL_MESSAGE} AS message FROM f",
+        "chat_statuses": f"WITH {sql_formed(FORMS)}, g AS (SELECT conv_id, turn, form, CASE WHEN coalesce(body, '') = '' THEN 500 WHEN NOT json_valid(body) THEN 400 WHEN json_type(body) NOT IN ('OBJECT', 'ARRAY') THEN 400 END AS bad, CASE WHEN json_valid(body) THEN {SQL_MESSAGE} END AS m FROM f) "
+        f"SELECT conv_id, turn, form, coalesce(bad, CASE WHEN m IS NULL THEN 500 ELSE 200 END)::INT AS status, CASE WHEN bad = 400 THEN NULL WHEN bad = 500 OR m IS NULL THEN {q(responder.SERVER_ERROR)} ELSE {SQL_RULES} END AS reply FROM g",
+        "chat_response_json": f"WITH {SQL_C} SELECT conv_id, turn, json_object('reply', {SQL_RULES})::VARCHAR AS response, json_object('message', m)::VARCHAR AS request FROM c",
+        "relay_path": f"WITH {sql_formed(FORMS)}, g AS (SELECT conv_id, turn, form, CASE WHEN coalesce(body, '') <> '' AND (NOT json_valid(body) OR json_type(body) NOT IN ('OBJECT', 'ARRAY')) THEN 400 ELSE 200 END::INT AS status, CASE WHEN json_valid(body) AND json_type(body, '$.message') = 'VARCHAR' THEN 'len ' || length(body->>'$.message') ELSE {q(completion.RELAY_ERROR[1])} END AS said FROM f) "
+        "SELECT conv_id, turn, form, status, CASE WHEN status = 200 THEN said END AS reply, CASE WHEN status = 200 THEN json_object('reply', said)::VARCHAR END AS response FROM g",
+        "keyword_scores_many": f"WITH {SQL_MANY}, c(code) AS (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in KEYWORD_TABLES)}), h AS (SELECT doc_id, code, count(*)::INT AS score FROM (SELECT doc_id, lower(text) AS n FROM documents) JOIN k ON contains(n, word) GROUP BY ALL) "
+        "SELECT d.doc_id, c.code, coalesce(h.score, 0) AS score FROM documents d CROSS JOIN c LEFT JOIN h ON h.doc_id = d.doc_id AND h.code = c.code",
+        "keyword_index_matches": f"WITH {SQL_MANY} SELECT doc_id, word FROM (SELECT doc_id, lower(text) AS n FROM documents) JOIN (SELECT word FROM k WHERE code = 'item' AND length(word) >= 8) ON contains(n, word)",
         "client_filter_trimmed": f"WITH {SQL_C} SELECT conv_id, turn, trim(m, {q(JS_WS)}) AS m FROM c WHERE trim(m, {q(JS_WS)}) <> ''",
         "client_filter_nonempty": f"WITH {SQL_C} SELECT conv_id, turn, m FROM c WHERE m <> ''",
         "completion_payload": f"WITH {SQL_P} SELECT doc_id, {q(completion.MODEL)} AS model, 'user' AS role, m AS content FROM p",
-        "completion_extract": f"SELECT id::BIGINT AS id, CASE WHEN json_type(body, '$.choices[0].message') IS NULL THEN {q(completion.RELAY_ERROR[1])} ELSE body->>'$.choices[0].message.content' END AS reply FROM {values(RESPONSES)}",
+        "completion_extract": f"WITH {sql_formed(RESPONSES)} SELECT conv_id, turn, form, CASE WHEN json_type(body, '$.choices[0].message') IS NULL THEN {q(completion.RELAY_ERROR[1])} ELSE body->>'$.choices[0].message.content' END AS reply FROM f",
         "completion_call": f"WITH {SQL_P} SELECT doc_id, 200::INT AS status, CASE WHEN length(m) % 7 = 0 THEN {q(completion.RELAY_ERROR[1])} ELSE 'len ' || length(m) END AS reply FROM p",
         "missing_key_reply": f"SELECT doc_id, {completion.MISSING_KEY[0]}::INT AS status, {q(completion.MISSING_KEY[1])} AS reply FROM documents",
         "transcript_render": rendered("classes"),
