@@ -159,8 +159,8 @@ def exchange(blocks: DataFrame, ask: Callable, serve: Callable, finish: Callable
     return blocks.groupBy("_block").cogroup(replied.groupBy("block")).applyInArrow(finishes, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows joined to stretches of up to most bytes, or a row that is longer."""
+def slices(batches: Iterator[pa.RecordBatch], most: int, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows cut and joined to stretches of up to about most bytes in a text column, or a row that is longer."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -168,13 +168,18 @@ def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
 
     for b in batches:
-        if not b.num_rows:
-            continue
-        if held and size + b.nbytes > most:
-            yield joined()
-            held, size = [], 0
-        held.append(b)
-        size += b.nbytes
+        texts = b.column(column)
+        edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        i = 0
+        while i < len(texts):
+            j = min(len(texts), max(i + 1, int(np.searchsorted(edges, edges[i] + (most - size), side="right")) - 1))
+            if held and size + int(edges[j] - edges[i]) > most:
+                yield joined()
+                held, size = [], 0
+                continue
+            held.append(b.slice(i, j - i))
+            size += int(edges[j] - edges[i])
+            i = j
     if held:
         yield joined()
 

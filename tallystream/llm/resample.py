@@ -39,7 +39,7 @@ from . import crc
 from .common import blocks_for, fresh, kept, plain, running, slices
 
 ORDER, BUCKETS, SEED, LEAST_WORDS, PERCENT = 3, 10_000, 42, 20, 5
-SLICE, ROWS = 8 << 20, 1 << 20
+SLICE, ROWS = 4 << 20, 1 << 20
 #: Lower-cases A-Z, keeps digits, letters and all bytes of other characters, and blanks the rest.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -99,7 +99,7 @@ def bucket_totals(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for part in slices(batches, SLICE):
+        for part in slices(batches, SLICE, 0):
             total += Trie(part.column(0)).totals(buckets)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["bucket", "n"])
@@ -124,7 +124,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     attached = docs.sparkSession.sparkContext.broadcast(gains(docs, target, text, target_text, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE):
+        for part in slices(batches, SLICE, 1):
             trie = Trie(part.column(1))
             arrays = [part.column(0), *(pa.array(x.astype(np.int64)) for x in (trie.words, trie.features(), trie.weights(attached.value)))]
             yield pa.RecordBatch.from_arrays(arrays, names=["_key", "n_words", "n_features", "weight"])

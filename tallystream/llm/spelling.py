@@ -39,7 +39,7 @@ from . import crc
 from .common import kept, plain, slices
 
 LEAST_LETTERS, LEAST_COUNT, RATIO, TYPO = 5, 3, 2, 97
-SLICE, HOT = 8 << 20, 64
+SLICE, HOT = 4 << 20, 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -97,7 +97,7 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     """(word, n) of the words with at least so many letters and occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE):
+        for part in slices(batches, SLICE, 1):
             names, n = counted(part.column(0).to_pylist(), part.column(1), least, typo)
             yield pa.RecordBatch.from_arrays([names, pa.array(n.astype(np.int64))], names=["word", "n"])
 

@@ -50,7 +50,7 @@ from .common import blocks_for, fresh, kept, plain, running, slices, text_bytes
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE, BLOCK, PAD = 15, 4096, 120
-FRAME, FILE_BYTES, CACHE = 1 << 21, 24 << 20, 3 << 19
+FRAME, FILE_BYTES, CACHE = 1 << 20, 16 << 20, 3 << 19
 MAGIC, HEAD = int.from_bytes(b"S8BIDS1\0", "little"), 10
 _U = np.uint64
 
@@ -183,30 +183,36 @@ class Encoder:
         self.by_pieces = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space")
         feed = self._batch(["\n"])[0]
         self.feed = int(feed[0]) if len(feed) == 1 else None
-        self.known, self.flat, self.offsets = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.begin, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for each piece. Pieces without inner white space are joined by line feeds, which stay tokens of their own."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(values)
+    def _pieces(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each piece's begin and how many they are. Pieces without inner white space are joined by line feeds, which stay tokens of their own."""
         offsets, data = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1], np.frombuffer(values.buffers()[2], np.uint8)
         odd = np.r_[0, np.cumsum(~_IN_WORD[data[offsets[0] : offsets[-1]]])]
         bad = odd[offsets[1:] - offsets[0]] - odd[offsets[:-1] - offsets[0]] - (data[offsets[:-1]] == 32)
         joinable = np.flatnonzero((bad == 0) & (np.diff(offsets) > 1)) if self.feed is not None else np.zeros(0, np.int64)
         rest = np.setdiff1d(np.arange(len(values)), joinable)
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(joinable), 1 << 14):
+            at = [joinable[j : j + 1024] for j in range(i, min(i + (1 << 14), len(joinable)), 1024)]
+            for ids in self._batch(["\n".join(values.take(pa.array(a)).to_pylist()) for a in at]):
+                feeds = ids == self.feed
+                sizes.append(np.diff(np.r_[-1, np.flatnonzero(feeds), len(ids)]) - 1)
+                parts.append(ids[~feeds])
         for i in range(0, len(rest), 4096):
-            at = rest[i : i + 4096]
-            for k, ids in zip(at.tolist(), self._batch(values.take(pa.array(at)).to_pylist())):
-                out[k] = ids
-        for i in range(0, len(joinable), 1 << 15):
-            at = [joinable[j : j + 1024] for j in range(i, min(i + (1 << 15), len(joinable)), 1024)]
-            for places, ids in zip(at, self._batch(["\n".join(values.take(pa.array(a)).to_pylist()) for a in at])):
-                for k, part in zip(places.tolist(), np.split(ids, np.flatnonzero(ids == self.feed))):
-                    out[k] = part if k == places[0] else part[1:]
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate([np.zeros(0, np.uint32), *out]), lengths
+            each = self._batch(values.take(pa.array(rest[i : i + 4096])).to_pylist())
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            parts.extend(each)
+        size, order = np.concatenate(sizes), np.r_[joinable, rest]
+        begin, length = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
+        begin[order], length[order] = np.cumsum(size) - size, size
+        return np.concatenate(parts), begin, length
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has. texts has no NULLs."""
@@ -223,20 +229,21 @@ class Encoder:
         coded = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
         place = pc.index_in(coded.dictionary, self.known)
         new = coded.dictionary.filter(pc.is_null(place))
-        flat, lengths = self._pieces(new) if len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         at = place.fill_null(0).to_numpy().astype(np.int64)
-        at[np.flatnonzero(pc.is_null(place).to_numpy(zero_copy_only=False))] = len(self.known) + np.arange(len(new))
-        self.known = pa.concat_arrays([self.known, new])
-        self.flat, self.offsets = np.concatenate([self.flat, flat]), np.r_[self.offsets, self.offsets[-1] + np.cumsum(lengths)]
+        if len(new):
+            at[np.flatnonzero(pc.is_null(place).to_numpy(zero_copy_only=False))] = len(self.known) + np.arange(len(new))
+            flat, begin, length = self._pieces(new)
+            self.known, self.begin, self.size = pa.concat_arrays([self.known, new]), np.r_[self.begin, len(self.flat) + begin], np.r_[self.size, length]
+            self.flat = np.concatenate([self.flat, flat])
         which = at[coded.indices.to_numpy()]
-        size = np.diff(self.offsets)[which]
+        size = self.size[which]
         total = np.r_[0, np.cumsum(size)]
         out = np.empty(total[-1], np.uint32)
-        for i in range(0, len(which), 1 << 20):
-            w, n = which[i : i + (1 << 20)], size[i : i + (1 << 20)]
-            out[total[i] : total[i + len(w)]] = self.flat[np.repeat(self.offsets[w] - (total[i : i + len(w)] - total[i]), n) + np.arange(total[i + len(w)] - total[i])]
+        for i in range(0, len(which), 1 << 18):
+            w, n = which[i : i + (1 << 18)], size[i : i + (1 << 18)]
+            out[total[i] : total[i + len(w)]] = self.flat[np.repeat(self.begin[w] - (total[i : i + len(w)] - total[i]), n) + np.arange(total[i + len(w)] - total[i])]
         if len(self.known) > CACHE:
-            self.known, self.flat, self.offsets = self.known.slice(0, 0), self.flat[:0], self.offsets[:1]
+            self._forget()
         return out, np.diff(total[np.searchsorted(cuts, edges)])
 
 
@@ -273,7 +280,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
             number, ahead, waiting = number + 1, ahead + len(ids), 0
             return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["data"])  # the sink adds the line feed
 
-        for part in slices(batches, file_bytes):
+        for part in slices(batches, file_bytes, 1):
             ids, counts = encoder.encode(part.column(1))
             edges = np.r_[0, np.cumsum(counts)]
             ids = np.insert(ids, edges[1:], end[0]) if len(end) else ids
