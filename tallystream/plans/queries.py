@@ -18,7 +18,7 @@ from ..functions.text import FOLD_FROM, FOLD_TO, JS_WS, normalize_text
 from ..operators import chat, completion, gram_index, relational, transcript
 from ..sources.shared import delete, shared_folder
 from ..sources.tables import table
-from ..streaming import stream
+from ..streaming import dialogue, stream
 
 PHRASES = [
     "", "ایران", "ایرانی", "قانون ایران", "دادگاه ایران در تهران", "قانون ایران و حقوق ایران در تهران و تبریز", "Germany", "GERMAN",
@@ -213,6 +213,50 @@ def stream_detect(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("doc_id long, code string, confidence double, source string").parquet(f"{name}/out")
 
 
+def published(spark: SparkSession, rows: DataFrame, tick: DataFrame, path: str) -> DataFrame:
+    """rows as a stream of about three micro-batches in the order of a hash, and a last one that moves the watermark on."""
+    rows.repartition(F.xxhash64(*rows.columns)).write.parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    tick.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path)
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
+
+
+def _minute(turn: Column) -> Column:
+    return F.timestamp_seconds(F.lit(1_767_225_600) + turn * 60)
+
+
+TICK = 10_000_000  # a turn that is later than all
+
+
+def stream_transcript(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of the conversations in any order, folded to transcripts; what a conversation's pieces add up to."""
+    dialogue.use_rocksdb(spark)
+    name = _stream_folder(spark)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", _minute(F.col("turn")).alias("at"))
+    tick = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[:4]], _minute(F.lit(TICK)).alias("at"))
+    out = dialogue.transcripts(published(spark, rows, tick, f"{name}/in"), "at", "30 days", 60_000)
+    stream.run_available(out, f"{name}/out", f"{name}/state").awaitTermination()
+    pieces = spark.read.schema("conv_id long, turn long, upto long, piece string, late boolean").parquet(f"{name}/out").filter("NOT late AND piece <> ''")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "piece"))), lambda x: x["piece"]), "")
+    return pieces.groupBy("conv_id").agg(whole.alias("transcript"))
+
+
+def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """User turns and assistant turns as two streams; a user turn without a reply becomes a failed call."""
+    name, c = _stream_folder(spark), table(spark, d, "conversations")
+    asks = c.filter("role = 'user'").select("conv_id", "turn", "text", _minute(F.col("turn")).alias("at"))
+    replies = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"), (_minute(F.col("turn") - 1) + F.expr("INTERVAL 5 seconds")).alias("at"))
+    tick = lambda n, text: spark.range(1).select(F.lit(n).cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.lit("").alias(text), _minute(F.lit(TICK)).alias("at"))
+    both = dialogue.pairs(published(spark, asks, tick(-1, "text"), f"{name}/asks"), published(spark, replies, tick(-2, "reply"), f"{name}/replies"), ["conv_id", "turn"], "at", "30 days", "1 minute")
+    shown = both.select("conv_id", "turn", F.col("replied_at").isNotNull().alias("answered"), dialogue.exchange_bubbles(F.col("text"), F.col("reply")).alias("bubbles"))
+    stream.run_available(shown, f"{name}/out", f"{name}/state").awaitTermination()
+    return spark.read.schema("conv_id long, turn long, answered boolean, bubbles string").parquet(f"{name}/out").filter("turn >= 0")
+
+
 def completion_call(spark: SparkSession, d: str) -> DataFrame:
     """The completer adapter with a deterministic completer that echoes the length and fails on every seventh."""
 
@@ -266,6 +310,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chat_path": chat_path,
         "stream_detect": stream_detect,
         "stream_bubbles": stream_bubbles,
+        "stream_transcript": stream_transcript,
+        "stream_pairs": stream_pairs,
     }
 
 
@@ -311,6 +357,9 @@ def oracle_sql() -> dict[str, str]:
         "transcript_render": rendered("classes"),
         "transcript_plain": rendered("plain"),
         "transcript_bare": rendered("bare"),
+        "stream_transcript": rendered("classes"),
+        "stream_pairs": f"SELECT u.conv_id, u.turn, a.conv_id IS NOT NULL AS answered, {q(transcript.BUBBLES['classes'][0])} || u.text || '</div>' || CASE WHEN a.conv_id IS NULL THEN {q(transcript.FAILED)} ELSE {q(transcript.BUBBLES['classes'][1])} || a.text || '</div>' END AS bubbles "
+        "FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'",
         "stream_bubbles": f"SELECT conv_id, turn, {turns('bare')} AS bubble FROM conversations WHERE role IN ('user', 'assistant')",
         "chat_path": f"WITH {SQL_C} SELECT conv_id, turn, 200::INT AS status, {SQL_RULES} AS reply FROM c UNION ALL SELECT * FROM (VALUES " + ", ".join(f"((-2)::BIGINT, {i}::BIGINT, {st}::INT, {q(r)})" for i, (_, st, r) in enumerate(PATHS)) + ") v",
         "detect_struct": f"{SQL_ALL}, e AS (SELECT doc_id, {q_pick(REQUESTED, 'doc_id')} AS r FROM documents), f AS (SELECT doc_id, {code} AS x FROM e), "
