@@ -226,7 +226,7 @@ def _stream_folder(spark: SparkSession) -> str:
 
 
 def _minute(turn: Column) -> Column:
-    return F.timestamp_seconds(F.lit(1_767_225_600) + turn * 60)
+    return F.timestamp_seconds(F.lit(1_767_225_600).cast("long") + turn.cast("long") * 60)
 
 
 TICK = 10_000_000  # a turn that is later than all
