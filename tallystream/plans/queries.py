@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, responder
+from ..functions import sql as sql_functions
 from ..functions.jurisdiction import CODES, JURISDICTIONS, KEYWORDS, jurisdiction_struct, jurisdictions, keywords, with_detection, with_detection_struct, with_scores
 from ..functions.legal import ASSISTANT, PROMPT_HEAD, PROMPT_TAIL, UNKNOWN, create_legal_request, legal_system_prompt
 from ..functions.text import FOLD_FROM, FOLD_TO, JS_WS, normalize_text
 from ..operators import chat, completion, gram_index, relational, transcript
 from ..sources.shared import delete, shared_folder
 from ..sources.tables import table
-from ..streaming import dialogue, stream
+from ..streaming import dialogue, metrics, stream
 
 PHRASES = [
     "", "ایران", "ایرانی", "قانون ایران", "دادگاه ایران در تهران", "قانون ایران و حقوق ایران در تهران و تبریز", "Germany", "GERMAN",
@@ -257,6 +258,24 @@ def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("conv_id long, turn long, answered boolean, bubbles string").parquet(f"{name}/out").filter("turn >= 0")
 
 
+def by_sql(statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A statement over p, the documents with phrases, with the SQL functions."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sql_functions.register(spark)
+        return spark.sql(statement, p=phrased(spark, d).withColumn("r", pick(REQUESTED, F.col("doc_id"))))
+
+    return run
+
+
+def chat_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the statuses of all forms of bodies, observed while they are answered and written."""
+    seen = Observation()
+    answers = metrics.observed(chat_statuses(spark, d), seen)
+    answers.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, v) for k, v in seen.get.items()], "name string, n long")
+
+
 def completion_call(spark: SparkSession, d: str) -> DataFrame:
     """The completer adapter with a deterministic completer that echoes the length and fails on every seventh."""
 
@@ -310,6 +329,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chat_path": chat_path,
         "stream_detect": stream_detect,
         "stream_bubbles": stream_bubbles,
+        "sql_detect_jurisdiction": by_sql("SELECT doc_id, d.jurisdiction.code AS code, d.jurisdiction.name_fa AS name_fa, d.jurisdiction.name_en AS name_en, d.jurisdiction.language AS language, d.jurisdiction.status AS status, d.confidence AS confidence, d.source AS source FROM (SELECT doc_id, detect_jurisdiction(m, r) AS d FROM {p})"),
+        "sql_keyword_hits": by_sql("SELECT doc_id, k.code, k.word FROM {p}, LATERAL keyword_hits(m) k"),
+        "sql_prompt": by_sql("SELECT doc_id, d.code AS code, legal_system_prompt(d) AS prompt FROM (SELECT doc_id, detect_jurisdiction(m).jurisdiction AS d FROM {p})"),
+        "sql_normalize_text": by_sql("SELECT doc_id, normalize_text(m) AS normalized FROM {p}"),
+        "chat_metrics": chat_metrics,
         "stream_transcript": stream_transcript,
         "stream_pairs": stream_pairs,
     }
@@ -321,6 +345,15 @@ def oracle_sql() -> dict[str, str]:
     turns = lambda style: f"CASE role WHEN 'user' THEN {q(transcript.BUBBLES[style][0])} ELSE {q(transcript.BUBBLES[style][1])} END || text || '</div>'"
     rendered = lambda style: f"SELECT conv_id, string_agg({turns(style)}, '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"
     detect = f"{SQL_ALL} SELECT * FROM d"
+    statuses = (
+        f"WITH {sql_formed(FORMS)}, g AS (SELECT conv_id, turn, form, CASE WHEN coalesce(body, '') = '' THEN 500 WHEN NOT json_valid(body) THEN 400 WHEN json_type(body) NOT IN ('OBJECT', 'ARRAY') THEN 400 END AS bad, CASE WHEN json_valid(body) THEN {SQL_MESSAGE} END AS m FROM f) "
+        f"SELECT conv_id, turn, form, coalesce(bad, CASE WHEN m IS NULL THEN 500 ELSE 200 END)::INT AS status, CASE WHEN bad = 400 THEN NULL WHEN bad = 500 OR m IS NULL THEN {q(responder.SERVER_ERROR)} ELSE {SQL_RULES} END AS reply FROM g"
+    )
+    struct = (
+        f"{SQL_ALL}, e AS (SELECT doc_id, {q_pick(REQUESTED, 'doc_id')} AS r FROM documents), f AS (SELECT doc_id, {code} AS x FROM e), "
+        "g AS (SELECT d.doc_id, coalesce(x, code) AS code, CASE WHEN x IS NULL THEN confidence ELSE 1::DOUBLE END AS confidence, CASE WHEN x IS NULL THEN source ELSE 'explicit' END AS source FROM d JOIN f USING (doc_id)) "
+        f"SELECT g.doc_id, g.code, j.name_fa, j.name_en, j.language, j.status, g.confidence, g.source FROM g LEFT JOIN {SQL_DIM} ON j.code = g.code"
+    )
     return {
         "detect_jurisdiction": detect,
         "stream_detect": detect,
@@ -340,8 +373,7 @@ def oracle_sql() -> dict[str, str]:
         "route_dispatch": f"WITH {SQL_C}, r(method, path) AS (VALUES {', '.join(map(str, ROUTES))}) SELECT conv_id, turn, method, path, CASE WHEN method = 'GET' AND path IN ('/', '/ping') OR method = 'POST' AND path = '/chat' THEN 200 ELSE 404 END::INT AS status, "
         f"CASE WHEN method = 'GET' AND path = '/' THEN 'OK' WHEN method = 'GET' AND path = '/ping' THEN 'pong' WHEN method = 'POST' AND path = '/chat' THEN {SQL_RULES} END AS reply FROM c CROSS JOIN r",
         "chat_request_decode": f"WITH {sql_formed([f for f in FORMS if f[0] not in REFUSED])} SELECT conv_id, turn, form, {SQL_MESSAGE} AS message FROM f",
-        "chat_statuses": f"WITH {sql_formed(FORMS)}, g AS (SELECT conv_id, turn, form, CASE WHEN coalesce(body, '') = '' THEN 500 WHEN NOT json_valid(body) THEN 400 WHEN json_type(body) NOT IN ('OBJECT', 'ARRAY') THEN 400 END AS bad, CASE WHEN json_valid(body) THEN {SQL_MESSAGE} END AS m FROM f) "
-        f"SELECT conv_id, turn, form, coalesce(bad, CASE WHEN m IS NULL THEN 500 ELSE 200 END)::INT AS status, CASE WHEN bad = 400 THEN NULL WHEN bad = 500 OR m IS NULL THEN {q(responder.SERVER_ERROR)} ELSE {SQL_RULES} END AS reply FROM g",
+        "chat_statuses": statuses,
         "chat_response_json": f"WITH {SQL_C} SELECT conv_id, turn, json_object('reply', {SQL_RULES})::VARCHAR AS response, json_object('message', m)::VARCHAR AS request FROM c",
         "relay_path": f"WITH {sql_formed(FORMS)}, g AS (SELECT conv_id, turn, form, CASE WHEN coalesce(body, '') <> '' AND (NOT json_valid(body) OR json_type(body) NOT IN ('OBJECT', 'ARRAY')) THEN 400 ELSE 200 END::INT AS status, CASE WHEN json_valid(body) AND json_type(body, '$.message') = 'VARCHAR' THEN 'len ' || length(body->>'$.message') ELSE {q(completion.RELAY_ERROR[1])} END AS said FROM f) "
         "SELECT conv_id, turn, form, status, CASE WHEN status = 200 THEN said END AS reply, CASE WHEN status = 200 THEN json_object('reply', said)::VARCHAR END AS response FROM g",
@@ -357,12 +389,15 @@ def oracle_sql() -> dict[str, str]:
         "transcript_render": rendered("classes"),
         "transcript_plain": rendered("plain"),
         "transcript_bare": rendered("bare"),
+        "sql_keyword_hits": f"WITH {SQL_P}, {SQL_N}, {SQL_K} SELECT doc_id, code, word FROM n JOIN k ON contains(n.n, k.word)",
+        "sql_prompt": f"{SQL_ALL} SELECT d.doc_id, d.code, {SQL_PROMPT} AS prompt FROM d LEFT JOIN {SQL_DIM} ON j.code = d.code",
+        "sql_normalize_text": f"WITH {SQL_P}, {SQL_N} SELECT doc_id, n AS normalized FROM n",
+        "chat_metrics": f"WITH s AS ({statuses}) SELECT unnest(['requests', 'answered', 'too_large', 'malformed', 'failed', 'fallback']) AS name, unnest([count(*), count(*) FILTER (status = 200), count(*) FILTER (status = 413), count(*) FILTER (status = 400), count(*) FILTER (status = 500), 0]) AS n FROM s",
+        "sql_detect_jurisdiction": struct,
         "stream_transcript": rendered("classes"),
         "stream_pairs": f"SELECT u.conv_id, u.turn, a.conv_id IS NOT NULL AS answered, {q(transcript.BUBBLES['classes'][0])} || u.text || '</div>' || CASE WHEN a.conv_id IS NULL THEN {q(transcript.FAILED)} ELSE {q(transcript.BUBBLES['classes'][1])} || a.text || '</div>' END AS bubbles "
         "FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'",
         "stream_bubbles": f"SELECT conv_id, turn, {turns('bare')} AS bubble FROM conversations WHERE role IN ('user', 'assistant')",
         "chat_path": f"WITH {SQL_C} SELECT conv_id, turn, 200::INT AS status, {SQL_RULES} AS reply FROM c UNION ALL SELECT * FROM (VALUES " + ", ".join(f"((-2)::BIGINT, {i}::BIGINT, {st}::INT, {q(r)})" for i, (_, st, r) in enumerate(PATHS)) + ") v",
-        "detect_struct": f"{SQL_ALL}, e AS (SELECT doc_id, {q_pick(REQUESTED, 'doc_id')} AS r FROM documents), f AS (SELECT doc_id, {code} AS x FROM e), "
-        "g AS (SELECT d.doc_id, coalesce(x, code) AS code, CASE WHEN x IS NULL THEN confidence ELSE 1::DOUBLE END AS confidence, CASE WHEN x IS NULL THEN source ELSE 'explicit' END AS source FROM d JOIN f USING (doc_id)) "
-        f"SELECT g.doc_id, g.code, j.name_fa, j.name_en, j.language, j.status, g.confidence, g.source FROM g LEFT JOIN {SQL_DIM} ON j.code = g.code",
+        "detect_struct": struct,
     }
