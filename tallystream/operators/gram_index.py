@@ -17,6 +17,7 @@ text; NULL keywords are ignored; equal rules count each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,7 +122,9 @@ def candidates(spark: SparkSession, path: str, rules: DataFrame) -> DataFrame:
             at = np.concatenate([np.zeros(0, np.int64), *words])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *grams]))], names=["n", "gram"])
 
-    given = _rules(rules)
+    name = f"{path}/rules-{uuid.uuid4().hex}"  # rules are made once, whatever they come from
+    _rules(rules).write.parquet(name)
+    given = spark.read.schema(RULE).parquet(name)
     split_up = given.select("n").distinct().mapInArrow(split, "n string, gram long")
     frequencies = spark.read.schema("gram long, slices long").parquet(f"{path}/frequencies").withColumnRenamed("gram", "_gram")
     known = split_up.join(frequencies, F.col("gram") == F.col("_gram"), "left")

@@ -25,16 +25,22 @@ from ..sources.shared import shared_folder
 from . import gram_index
 from .automaton import Automaton, sliced
 
-LITERALS, AUTOMATON_BYTES = 100, 1 << 18
+#: Most literals, bytes of one automaton's keywords, and bytes of its arcs.
+LITERALS, AUTOMATON_BYTES, ARCS_BYTES = 100, 1 << 19, 64 << 20
 Rules = list[tuple[str | None, str | None, str]]
 
 
-def _collected(rules: DataFrame) -> tuple[Rules | None, bool]:
-    """(code, word, normalised word) of each rule if they have at most AUTOMATON_BYTES bytes, and whether they are at most LITERALS."""
+def _collected(rules: DataFrame) -> tuple[Rules | None, Automaton | None]:
+    """(code, word, normalised word) of each rule if they are at most LITERALS or fit one automaton, and this automaton."""
     r = rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("n"))
     n, size = r.agg(F.count(F.lit(1)), F.sum(F.octet_length("n") + 1)).first()
-    few = n <= LITERALS
-    return ([tuple(x) for x in r.collect()] if few or size <= AUTOMATON_BYTES else None), few
+    if n > LITERALS and (size or 0) > AUTOMATON_BYTES:
+        return None, None
+    given = [tuple(x) for x in r.limit(n).collect()]
+    if n <= LITERALS:
+        return given, None
+    automaton = Automaton([w.encode() for *_, w in given])
+    return (given, automaton) if automaton.goto.nbytes <= ARCS_BYTES else (None, None)
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,19 +57,19 @@ def _indexed(df: DataFrame, key: str, text: str) -> str:
 def keyword_matches(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
     """(key, code, word) for each rule whose keyword a text contains."""
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    given, few = _collected(rules)
+    given, automaton = _collected(rules)
     if given is None:
         return gram_index.matches(spark, _indexed(df, key, text), rules, key, kind)
     left = _keyed(df, key, text)
-    if few:  # at most LITERALS rows are broadcast
+    if automaton is None:  # at most LITERALS rows are broadcast
         right = F.broadcast(rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")))
         return left.join(right, F.contains(F.col("_n"), F.col("_w"))).select(F.col("_key").alias(key), "code", "word")
-    shared = spark.sparkContext.broadcast((Automaton([n.encode() for *_, n in given]), pa.array([c for c, *_ in given], pa.string()), pa.array([w for _, w, _ in given], pa.string())))
+    shared = spark.sparkContext.broadcast((automaton, pa.array([c for c, *_ in given], pa.string()), pa.array([w for _, w, _ in given], pa.string())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, codes, words = shared.value
+        found, codes, words = shared.value
         for b in sliced(batches, 1):
-            row, word = map(pa.array, automaton.find(b.column(1)))
+            row, word = map(pa.array, found.find(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), codes.take(word), words.take(word)], names=["_key", "code", "word"])
 
     return left.mapInArrow(run, f"_key {kind}, code string, word string").withColumnRenamed("_key", key)
@@ -79,22 +85,22 @@ def _total(terms: list[Column]) -> Column:
 def _scored(df: DataFrame, rules: DataFrame, key: str, text: str, codes: Sequence[str]) -> DataFrame:
     """(_key, _s): an array with a score for each code."""
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    given, few = _collected(rules)
+    given, automaton = _collected(rules)
     if given is None:
         return gram_index.counts(spark, _indexed(df, key, text), rules, kind, list(codes))
     left = _keyed(df, key, text)
-    if few:
+    if automaton is None:
         hit = lambda w: F.contains(F.col("_n"), F.lit(w)).cast("int")
         return left.select("_key", F.array(*[_total([hit(n) for c, _, n in given if c == code]) for code in codes]).alias("_s"))
-    given = [x for x in given if x[0] in codes]
-    shared = spark.sparkContext.broadcast((Automaton([n.encode() for *_, n in given]), np.array([codes.index(c) for c, *_ in given], np.int64)))
     wide = len(codes)
+    shared = spark.sparkContext.broadcast((automaton, np.array([codes.index(c) if c in codes else wide for c, *_ in given], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, place = shared.value
+        found, place = shared.value
         for b in sliced(batches, 1):
-            row, word = automaton.find(b.column(1))
-            total = np.bincount(row * wide + place[word], minlength=b.num_rows * wide).astype(np.int32)
+            row, word = found.find(b.column(1))
+            total = np.bincount(row * (wide + 1) + place[word], minlength=b.num_rows * (wide + 1)).reshape(b.num_rows, wide + 1)
+            total = total[:, :wide].astype(np.int32).ravel()  # without rules of other codes
             lists = pa.ListArray.from_arrays(np.arange(0, len(total) + 1, wide, dtype=np.int32), pa.array(total))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["_key", "_s"])
 
