@@ -42,7 +42,7 @@ HIDDEN = RAW | frozenset("noscript template svg head object canvas audio video a
 _ENDS_P = BLOCKS - {"html", "body", "button", "option", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li", "legend", "figcaption", "summary"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_HIDDEN_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in HIDDEN}
+_HIDDEN_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in HIDDEN}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _OFF = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _QUOTE = re.compile(r"=\s*([\"'])")
@@ -162,8 +162,10 @@ def leaf_blocks(page: str, known: frozenset | None = None) -> list[tuple[str, _N
 
     def tag_end(k: int) -> int:
         """The place of the > that ends a tag; size if there is none. A quoted value may hold >; a quote that isn't closed before the next tag's quote is none."""
+        g = -1
         while True:
-            g = find(">", k)
+            if g < k:  # what was found stays the next one until it is passed
+                g = find(">", k)
             if g < 0:
                 return size
             q = _QUOTE.search(page, k, g)
@@ -213,13 +215,14 @@ def leaf_blocks(page: str, known: frozenset | None = None) -> list[tuple[str, _N
         if tag in HIDDEN:
             if tag == "head":
                 flush(lt)
-            stop = None
+            stop = -1
             if not attrs.endswith("/") and at < beyond.get(f"</{tag}", size + 1):
-                stop = _HIDDEN_END[tag].search(page, at)
-                if stop is None:
+                name = _HIDDEN_END[tag].search(page, at)
+                stop = find(">", name.end()) if name else -1
+                if stop < 0:
                     beyond[f"</{tag}"] = at
-            if stop is not None:
-                at = stop.end()
+            if stop >= 0:
+                at = stop + 1
             elif tag in ("script", "style") and not attrs.endswith("/"):
                 at = size  # other elements that are never closed hide nothing
             continue

@@ -33,6 +33,15 @@ def test_time_is_linear():
         assert time.perf_counter() - began < 4, unit
 
 
+def test_ends_and_attributes_without_number():
+    for page in ("<textarea>" + "</textarea " * 180_000, "<p>a</p><script>" + "</script/" * 100_000, "<p " + "a='b' " * 350_000 + ">text</p>", "<p " + "a='b>' " * 150_000 + ">text</p>", "<svg>" * 1000 + "</svg " * 150_000):
+        began = time.perf_counter()
+        found = blocks(page)
+        assert time.perf_counter() - began < 4, page[:30]
+        assert ("text" in found) == page.endswith("text</p>")
+    assert blocks("<p>a</p><textarea>x</textarea b</textarea>y</textarea><p>c</p>") == ["a", "y", "c"] and blocks("<p>a<textarea>b</textareas>c</textarea >d</p>") == ["ad"]
+
+
 def test_field_against_enumeration():
     rng = np.random.default_rng(5)
     t = rng.normal(size=(2, 2))
