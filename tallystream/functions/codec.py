@@ -1,20 +1,14 @@
-"""JSON in and out, with ECMAScript's coercion of a message to a string.
+"""JSON in and out, with ECMAScript's coercion of a message to a string, as column functions.
 
-Scalars are coerced by Spark's VARIANT functions. Arrays need recursion and use a pandas
-UDF, which is given NULL for any other message; nested_arrays=False leaves it out, and arrays
-give NULL. Numbers are spelled as ECMAScript spells doubles. Of repeated names in an object
-the last one counts, once allow_repeated_keys was called on the session.
+Messages are coerced by Spark's VARIANT functions, arrays of any depth too. Numbers are spelled as
+ECMAScript spells doubles. Of repeated names in an object the last one counts, once
+allow_repeated_keys was called on the session.
 """
 
 from __future__ import annotations
 
-import json
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import bound
 
@@ -79,40 +73,38 @@ def js_number(x: Column) -> Column:
     return F.when(x == 0, F.lit("0")).when(x < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
 
 
-def _js(value: object) -> str:
-    """An element of an array; a ValueError for an object that can't become a string."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, list):
-        return ",".join(map(_js, value))
-    if isinstance(value, dict):
-        if "toString" in value:
-            raise ValueError
-        return "[object Object]"
-    if isinstance(value, int | float):
-        value = float(value)
-        text = "0" if value == 0 else format(Decimal(repr(value)), "f") if 1e-6 <= abs(value) < 1e21 else repr(value)
-        if "e" in text:
-            digits, power = text.split("e")
-            return f"{digits.removesuffix('.0')}e{int(power):+d}"
-        return text.rstrip("0").rstrip(".") if "." in text else text
-    return str(value)
-
-
-@F.pandas_udf(T.StringType())
-def _join_arrays(s: pd.Series) -> pd.Series:
-    def one(x: object) -> str | None:
-        try:
-            return _js(json.loads(x)) if isinstance(x, str) else None
-        except (ValueError, RecursionError, OverflowError):
-            return None
-
-    return s.map(one)
-
-
-def decode_message(body: Column, nested_arrays: bool = True) -> Column:
+#: Spark's JSON parser refuses deeper nesting.
+DEEPEST = 1000
+
+
+def _scalar(v: Column) -> Column:
+    """A value other than an array as a string: NULL if it can't become one. Falsy values aren't special here."""
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    odd = F.schema_of_variant(F.try_variant_get(v, "$.toString", "variant")).isNotNull()
+    return (
+        F.when(v.isNull() | (kind == "VOID"), F.lit(""))
+        .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), bound(F.try_variant_get(v, "$", "double"), js_number))
+        .when(kind.startswith("OBJECT"), F.when(odd, F.lit(None).cast("string")).otherwise(F.lit("[object Object]")))
+        .otherwise(text)
+    )
+
+
+def _joined(array: Column) -> Column:
+    """An array as a string. Arrays in it are joined by the same commas, so it is its leaves in order; an empty array is an empty leaf.
+
+    One level of nesting is opened after another, as many as the text has brackets.
+    """
+    brackets = F.regexp_count(F.to_json(array), F.lit(r"\["))
+
+    def opened(x: Column) -> Column:
+        inner = F.try_variant_get(x, "$", "array<variant>")
+        return F.when(~F.coalesce(F.schema_of_variant(x).startswith("ARRAY"), F.lit(False)), F.array(x)).when(F.size(inner) > 0, inner).otherwise(F.array(F.parse_json(F.lit('""'))))
+
+    leaves = F.aggregate(F.sequence(F.lit(1), F.least(brackets, F.lit(DEEPEST))), F.array(array), lambda all_, _: F.flatten(F.transform(all_, opened)))
+    return bound(F.transform(leaves, _scalar), lambda t: F.when(~F.exists(t, lambda x: x.isNull()), F.array_join(t, ",")))
+
+
+def decode_message(body: Column) -> Column:
     """Falsy values give '', others their string form; NULL if the body is malformed or the message can't become a string."""
     v = F.try_parse_json(body)
     m = F.try_variant_get(v, "$.message", "variant")
@@ -120,14 +112,13 @@ def decode_message(body: Column, nested_arrays: bool = True) -> Column:
     text = F.try_variant_get(v, "$.message", "string")
     number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     value = F.try_variant_get(v, "$.message", "double")
-    array = _join_arrays(F.when(kind.startswith("ARRAY"), F.to_json(m))) if nested_arrays else F.lit(None).cast("string")
     return (
         F.when(v.isNull(), F.lit(None).cast("string"))
         .when(m.isNull() | (kind == "VOID"), F.lit(""))
         .when(number & (value == 0), F.lit(""))
         .when(number, bound(value, js_number))
         .when((kind == "BOOLEAN") & (text == "false"), F.lit(""))
-        .when(kind.startswith("ARRAY"), array)
+        .when(kind.startswith("ARRAY"), bound(m, _joined))
         .when(kind.startswith("OBJECT"), F.lit("[object Object]"))
         .otherwise(text)
     )

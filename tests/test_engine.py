@@ -66,7 +66,7 @@ def test_replies(spark):
 
 def test_decode(spark):
     df = spark.createDataFrame([('{"message":[1,"a",null,[2,3]]}',), ('{"message":{"toString":1}}',), ("{bad",), ('{"message":1.0}',)], "b string")
-    rows = df.select(codec.decode_message(F.col("b"), nested_arrays=True), codec.uncoercible(F.col("b"))).collect()
+    rows = df.select(codec.decode_message(F.col("b")), codec.uncoercible(F.col("b"))).collect()
     assert [tuple(r) for r in rows] == [("1,a,,2,3", False), ("[object Object]", True), (None, False), ("1", False)]
 
 
