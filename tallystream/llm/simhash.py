@@ -6,9 +6,12 @@ within RADIUS bits agree on at least m - RADIUS parts, so each set of that many
 family of shards (the fingerprints that share those parts' bits, distance zero in that
 projection), each fingerprint lies in one shard of every family, and every link lies inside
 at least one shard. m grows with the number of fingerprints, so that an even shard stays
-small. Inside a shard a vantage-point tree splits fingerprints at the median distance from a
+small; while the fingerprints are few, only some bits of the parts are shared, so that a shard has
+about BUCKET_ROWS fingerprints, and one with over MOST_ROWS is dealt by all of them. Inside a
+shard a vantage-point tree splits fingerprints at the median distance from a
 vantage point; queries go to the inner side, the outer side, or both if they are within
-RADIUS of the boundary, and end at leaves that are compared in full. A shard gives a spanning
+RADIUS of the boundary, and end at leaves that are compared in full, or at balls so small that all
+in them are linked. A shard gives a spanning
 star of each of its local components instead of all pairs. Stars of all shards are joined to
 components by alternating large-star and small-star steps, each written to the shared folder.
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fresh, kept, plain
 
-WORDS, SEED, RADIUS, LEAF, SHARD_ROWS, BUCKET_ROWS = 4, 42, 4, 48, 4096, 64
+WORDS, SEED, RADIUS, LEAF, SHARD_ROWS, BUCKET_ROWS, MOST_ROWS = 4, 42, 4, 48, 4096, 512, 2048
 _CHUNK = 255 * 256
 #: A key with more rows than this, and more than a MOST_HOT-th of all, is dealt over SALTS places.
 HOT, MOST_HOT, SALTS = 256, 100_000, 32
@@ -104,7 +107,7 @@ class VantageTree:
     """A tree over distinct fingerprints."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
+        self.points, self.leaf, self.splits = points, leaf, 0
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, ids: np.ndarray) -> tuple:
@@ -119,6 +122,7 @@ class VantageTree:
             inner = d <= mid
         if not inner.any() or inner.all():
             return ("leaf", ids)
+        self.splits += 1
         return ("split", vantage, mid, self._build(ids[inner]), self._build(ids[~inner]))
 
     def within(self, point: np.uint64, radius: int) -> np.ndarray:
@@ -149,6 +153,11 @@ class VantageTree:
                 stack += [(node[3], asks[d <= node[2] + radius]), (node[4], asks[d > node[2] - radius])]
                 continue
             ids = node[1]
+            wide = distance(self.points[ids], self.points[ids[0]])
+            if len(ids) > 2 and 2 * int(wide.max()) <= radius:  # all of the leaf are linked: only those from outside ask
+                out_a.append(ids[1:])
+                out_b.append(np.full(len(ids) - 1, ids[0]))
+                asks = np.setdiff1d(asks, ids)
             for k in range(0, len(asks), 1 << 14):
                 part = asks[k : k + (1 << 14)]
                 for j in range(0, len(ids), 64):
@@ -169,8 +178,8 @@ class VantageTree:
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def parts_for(n: int, radius: int = RADIUS, rows: int = BUCKET_ROWS) -> int:
-    """Parts of a fingerprint so that an even shard of n fingerprints has about so many."""
+def parts_for(n: int, radius: int = RADIUS, rows: int = MOST_ROWS) -> int:
+    """Parts of a fingerprint so that an even shard of n fingerprints has so many at most."""
     m = radius + 1
     while m < radius + 5 and n / 2 ** (64 * (m - radius) / m) > rows:
         m += 1
@@ -188,12 +197,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def stars(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+def fewer_bits(mask: int, bits: int) -> int:
+    """The lowest bits of a mask: what agrees in the mask agrees in these."""
+    out = 0
+    while mask and bits:
+        out, mask, bits = out | mask & -mask, mask & (mask - 1), bits - 1
+    return out
+
+
+def stars(nodes: DataFrame, n: int, radius: int = RADIUS, rows: int = BUCKET_ROWS, most: int = MOST_ROWS) -> DataFrame:
     """(a, b): edges that connect what is linked, from distinct fingerprints in the column fp."""
-    masks = part_masks(parts_for(n, radius), radius)
-    shards = max(1, n * len(masks) // SHARD_ROWS)
-    family = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)]))
+    masks = part_masks(parts_for(n, radius, most), radius)
+    few = [fewer_bits(m, max(0, (n // rows).bit_length() - 1)) for m in masks]
+    pairs = list(dict.fromkeys(zip(few, masks))) if few[0] else [(0, masks[0])]  # without any bits all families would be the same
+    shards = max(1, n * len(pairs) // SHARD_ROWS)
+    family = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, (m, _) in enumerate(pairs)]))
     dealt = nodes.select("fp", family.alias("s")).select("fp", F.col("s.i").alias("i"), F.col("s.v").alias("v"))
+    if few[0]:
+        # A value with too many fingerprints is dealt by all bits of its parts. Its family's number tells both kinds apart.
+        crowded = dealt.groupBy(F.col("i").alias("_i"), F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+        whole = F.element_at(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for _, m in pairs]), F.col("i") + 1)
+        dealt = dealt.join(crowded, (F.col("i") == F.col("_i")) & (F.col("v") == F.col("_v")), "left")
+        dealt = dealt.select("fp", F.when(F.col("_n").isNull(), F.col("i")).otherwise(F.col("i") + len(pairs)).alias("i"), F.when(F.col("_n").isNull(), F.col("v")).otherwise(whole).alias("v"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("i", "v"), F.lit(shards)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:

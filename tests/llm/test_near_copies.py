@@ -95,3 +95,24 @@ def test_hubs(spark, monkeypatch):
     edges = [(1, k) for k in range(2, 60)] + [(59, 70), (70, 71), (100, 101), (101, 102), (103, 102)]
     got = {r.node: r.root for r in simhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in [*range(2, 60), 70, 71]}, **{k: 100 for k in (101, 102, 103)}}
+
+
+def test_trees_split_and_find_all_links(spark):
+    """Fingerprints of the table and planted neighbours: all links by brute force, whatever shards and trees are; trees do split."""
+    rng = np.random.default_rng(9)
+    fps = [r.fp for r in simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()]
+    base = np.array(fps, np.int64).view(np.uint64)
+    moved = base.copy()
+    for _ in range(4):
+        moved ^= np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)
+    ball = base[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    fp = np.unique(np.concatenate([base, moved, ball, ball ^ np.uint64(3 << 40)]))
+    near = np.array([simhash.distance(fp, x) <= 4 for x in fp])
+    want = simhash.local_components(len(fp), *np.nonzero(near))
+    nodes = spark.createDataFrame([(x,) for x in fp.view(np.int64).tolist()], "fp long")
+    for rows, most in ((simhash.BUCKET_ROWS, simhash.MOST_ROWS), (64, 100), (8, 16), (10**6, 10**6)):
+        edges = simhash.stars(nodes, len(fp), rows=rows, most=most).collect()
+        place = {x: i for i, x in enumerate(fp.view(np.int64).tolist())}
+        a, b = np.array([place[e.a] for e in edges]), np.array([place[e.b] for e in edges])
+        assert (simhash.local_components(len(fp), a, b) == want).all()
+    assert simhash.VantageTree(fp).splits > 10
