@@ -7,7 +7,7 @@ never stand beside grams.
 A keyword's grams are looked up in the postings' frequencies; if one is in no slice, no text holds the
 keyword. Else the postings of its two rarest grams are intersected (a shorter keyword is itself a gram),
 which leaves the slices that may hold it. Each slice then meets the keywords that it may hold, its texts
-once, and reads the texts through automata of up to AUTOMATON_BYTES of these keywords, which verifies
+once, and reads the texts through automata of up to AUTOMATON_BYTES of these keywords, a stretch at a time, which verifies
 them. So what is shuffled is the packed texts once, the postings, and a row for each slice and keyword
 that it may hold; a task holds one slice and one automaton, however many texts and keywords there are.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text
 from .automaton import Automaton, sliced
 
-GRAM, SLICE, AUTOMATON_BYTES, CHOSEN = 4, 4 << 20, 1 << 18, 2
-RULE = "code string, word string, n string, times long"
+GRAM, SLICE, AUTOMATON_BYTES, CHOSEN = 4, 16 << 20, 1 << 18, 2
+RULE = "struct<code: string, word: string, times: bigint>"
 
 
 def grams_of(data: np.ndarray, edges: np.ndarray, size: int) -> np.ndarray:
@@ -92,8 +92,8 @@ def build(df: DataFrame, key: str, text: str, path: str, slice_bytes: int = SLIC
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, data in zip(b.column(0).to_pylist(), b.column(1)):
-                raw, edges = _bytes_of(_column(_unpacked(data), "_n"))
-                found = np.concatenate([np.zeros(1, np.int64), *(np.unique(grams_of(raw, edges, k)) for k in range(1, GRAM + 1))])
+                parts = [_bytes_of(t) for _, t in _stretches(_column(_unpacked(data), "_n"))]
+                found = np.unique(np.concatenate([np.zeros(1, np.int64), *(np.unique(grams_of(raw, edges, k)) for raw, edges in parts for k in range(1, GRAM + 1))]))
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), number))], names=["gram", "slice"])
 
     rows = df.select(F.col(f"`{key}`").alias("_key"), normalize_text(F.col(f"`{text}`")).alias("_n"))
@@ -104,35 +104,42 @@ def build(df: DataFrame, key: str, text: str, path: str, slice_bytes: int = SLIC
     postings.groupBy("gram").agg(F.count(F.lit(1)).alias("slices")).write.parquet(f"{path}/frequencies")
 
 
-def _rules(rules: DataFrame) -> DataFrame:
-    return rules.filter("word IS NOT NULL").groupBy("code", "word", normalize_text(F.col("word")).alias("n")).agg(F.count(F.lit(1)).alias("times"))
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """A slice's texts in stretches that one reading takes, with the place of their first."""
+    at = 0
+    for b in sliced(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
+        yield at, b.column(0)
+        at += b.num_rows
 
 
-def candidates(spark: SparkSession, path: str, rules: DataFrame) -> DataFrame:
-    """(slice, code, word, n, times) of the slices that hold the rarest grams of a rule's word n."""
+def _words(spark: SparkSession, path: str, rules: DataFrame) -> DataFrame:
+    """(id, n, rules) of the distinct normalised words; written, so rules are made once and ids stay."""
+    name = f"{path}/words-{uuid.uuid4().hex}"
+    each = rules.filter("word IS NOT NULL").groupBy(normalize_text(F.col("word")).alias("n"), "code", "word").agg(F.count(F.lit(1)).alias("times"))
+    each.groupBy("n").agg(F.collect_list(F.struct("code", "word", "times")).alias("rules")).withColumn("id", F.monotonically_increasing_id()).write.parquet(name)
+    return spark.read.schema(f"id long, n string, rules array<{RULE}>").parquet(name)
+
+
+def candidates(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
+    """(slice, id) of the slices that hold the rarest grams of a word, from (id, n)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, grams = [], []
-            for i, w in enumerate(b.column(0).to_pylist()):
+            ids, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = np.frombuffer(w.encode(), np.uint8)
                 found = np.unique(grams_of(raw, np.array([0, len(raw)]), min(GRAM, len(raw)))) if len(raw) else np.zeros(1, np.int64)
-                words.append(np.full(len(found), i))
+                ids.append(np.full(len(found), i))
                 grams.append(found)
-            at = np.concatenate([np.zeros(0, np.int64), *words])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *grams]))], names=["n", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(grams))], names=["id", "gram"])
 
-    name = f"{path}/rules-{uuid.uuid4().hex}"  # rules are made once, whatever they come from
-    _rules(rules).write.parquet(name)
-    given = spark.read.schema(RULE).parquet(name)
-    split_up = given.select("n").distinct().mapInArrow(split, "n string, gram long")
     frequencies = spark.read.schema("gram long, slices long").parquet(f"{path}/frequencies").withColumnRenamed("gram", "_gram")
-    known = split_up.join(frequencies, F.col("gram") == F.col("_gram"), "left")
-    rarest = known.groupBy("n").agg(F.min(F.coalesce("slices", F.lit(0))).alias("least"), F.slice(F.array_sort(F.collect_list(F.struct("slices", "gram"))), 1, CHOSEN).alias("rare")).filter("least > 0")
-    wanted = rarest.select(F.col("n").alias("_w"), F.size("rare").alias("_need"), F.explode("rare.gram").alias("_gram"))
+    known = words.select("id", "n").mapInArrow(split, "id long, gram long").join(frequencies, F.col("gram") == F.col("_gram"), "left")
+    rarest = known.groupBy("id").agg(F.min(F.coalesce("slices", F.lit(0))).alias("least"), F.slice(F.array_sort(F.collect_list(F.struct("slices", "gram"))), 1, CHOSEN).alias("rare")).filter("least > 0")
+    wanted = rarest.select("id", F.size("rare").alias("_need"), F.explode("rare.gram").alias("_gram"))
     postings = spark.read.schema("gram long, slice long").parquet(f"{path}/postings")
-    met = wanted.join(postings, F.col("_gram") == F.col("gram")).groupBy("slice", "_w", "_need").agg(F.count(F.lit(1)).alias("_got")).filter("_got = _need")
-    return met.join(given, F.col("_w") == F.col("n")).select("slice", "code", "word", "n", "times")
+    met = wanted.join(postings, F.col("_gram") == F.col("gram")).groupBy("slice", "id", "_need").agg(F.count(F.lit(1)).alias("_got"))
+    return met.filter("_got = _need").select("slice", "id")
 
 
 def _chunks(n: list[str]) -> Iterator[slice]:
@@ -145,35 +152,45 @@ def _chunks(n: list[str]) -> Iterator[slice]:
         i = j
 
 
-def _verified(spark: SparkSession, path: str, rules: DataFrame, found: Callable[[pa.Array, pa.Table, Iterator], Iterator[pa.Table]], schema: str) -> DataFrame:
+def _verified(spark: SparkSession, path: str, rules: DataFrame, found: Callable[[pa.Array, list, Iterator], pa.Table], schema: str) -> DataFrame:
+    """found(keys, rules of each word, hits) makes a slice's rows; hits are (texts, words) by their places."""
+
     def verify(_: tuple, slices: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(slices):
             return pa.table({k: pa.array([], t) for k, t in zip(names, types)})
         rows = _unpacked(slices["data"][0])
-        texts, words = _column(rows, "_n"), wanted["n"].to_pylist()
+        words = wanted["n"].to_pylist()
 
         def hits() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for part in _chunks(words):
-                text, word = Automaton([w.encode() for w in words[part]]).find(texts)
-                yield text, word + part.start
+                automaton = Automaton([w.encode() for w in words[part]])
+                for at, texts in _stretches(_column(rows, "_n")):
+                    text, word = automaton.find(texts)
+                    yield text + at, word + part.start
 
-        return found(_column(rows, "_key"), wanted, hits())
+        return found(_column(rows, "_key"), wanted["rules"].to_pylist(), hits())
 
     like = spark.createDataFrame([], schema)
     names = like.columns
     types = [f.type for f in like.toArrow().schema]
     slices = spark.read.schema("slice long, data binary").parquet(f"{path}/slices")
-    return slices.groupBy("slice").cogroup(candidates(spark, path, rules).groupBy("slice")).applyInArrow(verify, schema)
+    words = _words(spark, path, rules)
+    wanted = candidates(spark, path, words).join(words, "id").select("slice", "n", "rules")
+    return slices.groupBy("slice").cogroup(wanted.groupBy("slice")).applyInArrow(verify, schema)
 
 
 def matches(spark: SparkSession, path: str, rules: DataFrame, key: str, kind: str) -> DataFrame:
     """(key, code, word) for each rule's keyword in each indexed text. kind: the key's type."""
 
-    def found(keys: pa.Array, wanted: pa.Table, hits: Iterator) -> pa.Table:
+    def found(keys: pa.Array, rules_: list, hits: Iterator) -> pa.Table:
         text, word = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *hits))
-        times = np.array(wanted["times"].to_pylist(), np.int64)[word]
-        text, word = pa.array(np.repeat(text, times)), pa.array(np.repeat(word, times))
-        return pa.table({"_key": keys.take(text), "code": wanted["code"].take(word), "word": wanted["word"].take(word)})
+        # A word's rules one after another, each as often as it was given.
+        given = [[(r["code"], r["word"]) for r in rs for _ in range(r["times"])] for rs in rules_]
+        size = np.fromiter(map(len, given), np.int64, len(given))
+        flat, begin, n = [g for gs in given for g in gs], np.cumsum(size) - size, size[word]
+        at = pa.array(np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+        codes, words = pa.array([c for c, _ in flat], pa.string()), pa.array([w for _, w in flat], pa.string())
+        return pa.table({"_key": keys.take(pa.array(np.repeat(text, n))), "code": codes.take(at), "word": words.take(at)})
 
     return _verified(spark, path, rules, found, f"_key {kind}, code string, word string").withColumnRenamed("_key", key)
 
@@ -181,12 +198,15 @@ def matches(spark: SparkSession, path: str, rules: DataFrame, key: str, kind: st
 def counts(spark: SparkSession, path: str, rules: DataFrame, kind: str, codes: list[str]) -> DataFrame:
     """(_key, _s): for each indexed text the number of rules of each code whose keyword it holds."""
 
-    def found(keys: pa.Array, wanted: pa.Table, hits: Iterator) -> pa.Table:
-        place = {c: i for i, c in enumerate(codes)}
-        code = np.array([place.get(c, len(codes)) for c in wanted["code"].to_pylist()], np.int64)
-        times, total = np.array(wanted["times"].to_pylist(), np.int64), np.zeros((len(keys), len(codes) + 1), np.int64)
+    def found(keys: pa.Array, rules_: list, hits: Iterator) -> pa.Table:
+        place, total = {c: i for i, c in enumerate(codes)}, np.zeros((len(keys), len(codes) + 1), np.int64)
+        each = np.zeros((len(rules_), len(codes) + 1), np.int64)  # a word's rules by code; those of other codes are last
+        for i, rs in enumerate(rules_):
+            for r in rs:
+                each[i, place.get(r["code"], len(codes))] += r["times"]
         for text, word in hits:
-            np.add.at(total, (text, code[word]), times[word])
+            for j in range(len(codes)):
+                total[:, j] += np.bincount(text, weights=each[word, j], minlength=len(keys)).astype(np.int64)
         edges = np.arange(0, len(keys) * len(codes) + 1, max(1, len(codes)), dtype=np.int32)
         return pa.table({"_key": keys, "_s": pa.ListArray.from_arrays(edges, pa.array(total[:, :-1].ravel().astype(np.int32)))})
 
