@@ -1,8 +1,11 @@
 """Operators on tables whose columns are called like the operators' own, with NULLs, repeats and no rows."""
 
+from pathlib import Path
+
+import public_tokenizers
 import pytest
 
-from tallystream.llm import audio_media, decontaminate, html_extract, mixing, secret_scan, simhash, toxicity
+from tallystream.llm import audio_media, decontaminate, html_extract, lm_scoring, mixing, resample, secret_scan, simhash, spelling, suffix_dedup, token_ids, toxicity
 
 NAMES = ["_k", "_t", "_raw", "_open", "_score", "_text", "_h", "base_spans", "secret_spans", "media", "_block", "fp", "_fp", "node", "root", "low", "_key", "quota", "_words", "taken", "size", "_from", "_s", "_size"]
 TEXTS = [(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, None), (3, ""), (None, "password=abcd1234efgh no id"), (None, "password=abcd1234efgh no id")]
@@ -33,3 +36,18 @@ def test_names_are_carried(spark, wide):
     assert html_extract.extract(pages).count() == len(TEXTS)
     mixed = mixing.mix(wide, carry=["text", *NAMES])
     assert mixed.count() == len(TEXTS)
+
+
+def test_names_beside_the_operators_own(wide):
+    """Operators that give their own columns only: one row for each row, whatever else the table holds."""
+    n = len(TEXTS)
+    assert lm_scoring.score(wide).count() == n and lm_scoring.score(wide.limit(0)).count() == 0
+    assert suffix_dedup.digest(suffix_dedup.dedup(wide)).count() == n and suffix_dedup.dedup(wide.limit(0)).count() == 0
+    found = simhash.components(wide)
+    assert found.count() == n and simhash.components(wide.limit(0)).count() == 0
+    assert {r.doc_id: r.component_id for r in found.filter("doc_id IN (2, 3)").collect()} == {2: 2, 3: 2}
+    assert {r.text for r in mixing.corpus(wide).collect()} <= {t for _, t in TEXTS if t} and mixing.corpus(wide.limit(0)).count() == 0
+    tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    assert token_ids.stored(wide, tokenizer).count() == n
+    assert resample.draw(wide, wide).count() == n and resample.drawn(wide, wide, least=1, percent=100).columns == wide.columns
+    assert {r.word for r in spelling.variants(spelling.words(wide, least_count=1)).collect()} >= {"alpha", "delta"}
