@@ -83,16 +83,22 @@ class Automaton:
             state[:m] = now
             hit = np.flatnonzero(self.ends[now])
             seen.append(text[hit] * n_states + now[hit])
-        pairs = np.unique(np.concatenate(seen))
+        pairs = distinct(np.concatenate(seen))
         text, now = pairs // n_states, pairs % n_states
         count = self.begin[now + 1] - self.begin[now]
         both = np.repeat(text, count) * max(1, self.n_words) + self.output[_ranges(self.begin[now], count)]
         if len(self.everywhere):
             both = np.concatenate([both, (np.arange(len(texts))[:, None] * self.n_words + self.everywhere).ravel()])
-        both = np.unique(both)
+        both = distinct(both)
         return both // max(1, self.n_words), both % max(1, self.n_words)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting integers takes a fraction of the time of np.unique's table."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers begin, begin + 1, ... of each range, joined."""
     ahead = np.cumsum(count) - count

@@ -7,7 +7,7 @@ never stand beside grams.
 A keyword's grams are looked up in the postings' frequencies; if one is in no slice, no text holds the
 keyword. Else the postings of its two rarest grams are intersected (a shorter keyword is itself a gram),
 which leaves the slices that may hold it. Each slice then meets the keywords that it may hold, its texts
-once, and reads the texts through automata of up to AUTOMATON_BYTES of these keywords, a stretch at a time, which verifies
+once, and reads the texts through automata of up to ARCS arcs of these keywords, a stretch at a time, which verifies
 them. So what is shuffled is the packed texts once, the postings, and a row for each slice and keyword
 that it may hold; a task holds one slice and one automaton, however many texts and keywords there are.
 
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from .automaton import Automaton, sliced
+from .automaton import Automaton, distinct, sliced
 
-GRAM, SLICE, AUTOMATON_BYTES, CHOSEN = 4, 16 << 20, 1 << 18, 2
+GRAM, SLICE, CHOSEN = 4, 16 << 20, 2
+#: Most arcs of an automaton (4 bytes each), if no two words share a prefix.
+ARCS = 1 << 25
 RULE = "struct<code: string, word: string, times: bigint>"
 
 
@@ -93,7 +95,7 @@ def build(df: DataFrame, key: str, text: str, path: str, slice_bytes: int = SLIC
         for b in batches:
             for number, data in zip(b.column(0).to_pylist(), b.column(1)):
                 parts = [_bytes_of(t) for _, t in _stretches(_column(_unpacked(data), "_n"))]
-                found = np.unique(np.concatenate([np.zeros(1, np.int64), *(np.unique(grams_of(raw, edges, k)) for raw, edges in parts for k in range(1, GRAM + 1))]))
+                found = distinct(np.concatenate([np.zeros(1, np.int64), *(distinct(grams_of(raw, edges, k)) for raw, edges in parts for k in range(1, GRAM + 1))]))
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), number))], names=["gram", "slice"])
 
     rows = df.select(F.col(f"`{key}`").alias("_key"), normalize_text(F.col(f"`{text}`")).alias("_n"))
@@ -142,12 +144,13 @@ def candidates(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
     return met.filter("_got = _need").select("slice", "id")
 
 
-def _chunks(n: list[str]) -> Iterator[slice]:
-    """Stretches of words with up to AUTOMATON_BYTES bytes."""
-    size = np.cumsum([0, *(len(w.encode()) for w in n)])
+def _chunks(words: list[bytes]) -> Iterator[slice]:
+    """Stretches of words whose automaton has up to ARCS arcs. Neighbours share prefixes, so words should be sorted."""
+    width = len(set(b"".join(words))) + 1
+    size = np.cumsum([0, *(len(w) for w in words)])
     i = 0
-    while i < len(n):
-        j = max(i + 1, int(np.searchsorted(size, size[i] + AUTOMATON_BYTES, side="right")) - 1)
+    while i < len(words):
+        j = max(i + 1, int(np.searchsorted(size, size[i] + ARCS // width, side="right")) - 1)
         yield slice(i, j)
         i = j
 
@@ -158,12 +161,12 @@ def _verified(spark: SparkSession, path: str, rules: DataFrame, found: Callable[
     def verify(_: tuple, slices: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(slices):
             return pa.table({k: pa.array([], t) for k, t in zip(names, types)})
-        rows = _unpacked(slices["data"][0])
-        words = wanted["n"].to_pylist()
+        rows, wanted = _unpacked(slices["data"][0]), wanted.sort_by("n")
+        words = [w.encode() for w in wanted["n"].to_pylist()]
 
         def hits() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for part in _chunks(words):
-                automaton = Automaton([w.encode() for w in words[part]])
+                automaton = Automaton(words[part])
                 for at, texts in _stretches(_column(rows, "_n")):
                     text, word = automaton.find(texts)
                     yield text + at, word + part.start
