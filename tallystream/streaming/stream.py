@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.jurisdiction import with_detection
 from ..functions.responder import rule_reply
 from ..operators.transcript import bubble
+from ..sources.shared import is_folder
 
 
 def detect_stream(df: DataFrame, query: str, requested: str | None = None) -> DataFrame:
@@ -36,5 +37,10 @@ def each_batch(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: s
     return df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def file_stream(spark: SparkSession, path: str, like: DataFrame, glob: str) -> DataFrame:
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", glob).parquet(path)
+def file_stream(spark: SparkSession, path: str, like: DataFrame, name: str) -> DataFrame:
+    """A table as a stream: the folder of this name in path with all its part files, or the one file of this name.
+
+    A filter by name holds for files only, so it would find none of a folder's parts; a stream's path has to be a folder.
+    """
+    reader = spark.readStream.schema(like.schema)
+    return reader.parquet(f"{path}/{name}") if is_folder(spark, f"{path}/{name}") else reader.option("pathGlobFilter", name).parquet(path)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tallystream.functions import responder, sql
 from tallystream.operators import chat
+from tallystream.plans import queries as plans
 from tallystream.sources import tables
 from tallystream.streaming import metrics
-from test_engine import VECTORS
+from test_engine import D, VECTORS
 
 
 def test_sql_functions(spark):
@@ -80,3 +81,14 @@ def test_observed_counts(spark, tmp_path):
     assert [r["requests"] for r in log.rows] == [6, 6]
     total = log.table(spark).groupBy().sum().first().asDict()
     assert {n: total[f"sum({n})"] for n in want} == want
+
+
+@pytest.mark.parametrize("name", ["stream_bubbles"])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_of_tables_in_parts(spark, tmp_path, name, parts):
+    """A table may be one file or a folder of part files."""
+    for t in ("conversations", "documents"):
+        spark.read.parquet(f"{D}/{t}.parquet").repartition(parts).write.parquet(str(tmp_path / f"{t}.parquet"))
+    rows = lambda d: sorted(map(str, plans.queries()[name](spark, d).collect()))
+    got = rows(str(tmp_path))
+    assert got and got == rows(D)
