@@ -83,7 +83,7 @@ def test_observed_counts(spark, tmp_path):
     assert {n: total[f"sum({n})"] for n in want} == want
 
 
-@pytest.mark.parametrize("name", ["stream_bubbles"])
+@pytest.mark.parametrize("name", ["stream_bubbles", "stream_detect"])
 @pytest.mark.parametrize("parts", [1, 3])
 def test_streams_of_tables_in_parts(spark, tmp_path, name, parts):
     """A table may be one file or a folder of part files."""
