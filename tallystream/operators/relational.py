@@ -4,7 +4,7 @@ It gives the same results as functions.jurisdiction and takes keywords as data.
 and bytes are checked first. Up to LITERALS keywords are literals of a projection, so scores and
 ranks are made row by row, without a join, an exchange or Python. Up to AUTOMATON_BYTES bytes of
 keywords are one automaton, which is broadcast and reads each text once, without an exchange
-either. More keywords meet the texts through an index of grams, and no text is copied. The three
+either. More keywords meet the texts through slices of them and the pieces of their runs (operators.gram_index), and no text is copied. The three
 ways give the same rows; rows with a NULL or repeated key keep their own. Keywords are normalised
 like texts.
 """
@@ -47,10 +47,10 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("_key"), normalize_text(F.col(f"`{text}`")).alias("_n"))
 
 
-def _indexed(df: DataFrame, key: str, text: str) -> str:
-    """A new index of the texts in the shared folder."""
+def _packed(df: DataFrame, key: str, text: str) -> str:
+    """New slices of the texts in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/grams-{uuid.uuid4().hex}"
-    gram_index.build(df, key, text, path)
+    gram_index.pack(df, key, text, path, gram_index.RUN_SLICE)
     return path
 
 
@@ -59,7 +59,7 @@ def keyword_matches(df: DataFrame, rules: DataFrame, key: str, text: str) -> Dat
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     given, automaton = _collected(rules)
     if given is None:
-        return gram_index.matches(spark, _indexed(df, key, text), rules, key, kind)
+        return gram_index.matches(spark, _packed(df, key, text), rules, key, kind, by_runs=True)
     left = _keyed(df, key, text)
     if automaton is None:  # at most LITERALS rows are broadcast
         right = F.broadcast(rules.filter("word IS NOT NULL").select("code", "word", normalize_text(F.col("word")).alias("_w")))
@@ -87,7 +87,7 @@ def _scored(df: DataFrame, rules: DataFrame, key: str, text: str, codes: Sequenc
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     given, automaton = _collected(rules)
     if given is None:
-        return gram_index.counts(spark, _indexed(df, key, text), rules, kind, list(codes))
+        return gram_index.counts(spark, _packed(df, key, text), rules, kind, list(codes), by_runs=True)
     left = _keyed(df, key, text)
     if automaton is None:
         hit = lambda w: F.contains(F.col("_n"), F.lit(w)).cast("int")

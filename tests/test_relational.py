@@ -253,3 +253,28 @@ def test_arrays_of_any_depth_without_python(spark):
         assert r.m == want, arrays[r.i]
     plan = plans.chat_path(spark, D)._jdf.queryExecution().executedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_slices_get_only_the_keywords_they_hold(spark, tmp_path, monkeypatch):
+    """Keywords of common grams, which the rarest grams don't keep from a slice: what is shuffled follows the texts, not the keywords."""
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abcdé") for _ in range(4)) for _ in range(12)]
+    word = lambda: "".join(rng.choice(parts) for _ in range(3))
+    rows = [(i, " ".join(word() for _ in range(6)) + "-x.y " + "ab" * rng.randint(0, 3)) for i in range(120)]
+    words = sorted({word() for _ in range(900)} | {"ab", "é", "no such", "-x.y", "b", *parts})
+    rules = spark.createDataFrame([("IR" if i % 2 else "DE", w) for i, w in enumerate(words)], "code string, word string")
+    df, path = spark.createDataFrame(rows, "id long, t string").repartition(4), str(tmp_path / "index")
+    gram_index.pack(df, "id", "t", path, 1_000)
+    given = spark.createDataFrame([(i, w, [1]) for i, w in enumerate(words) if w.isalnum()], "id long, n string, rules array<bigint>")
+    got = gram_index.held(spark, path, given).groupBy("slice").count().collect()
+    held = sum(any(w in t for _, t in rows) for w in words if w.isalnum())
+    assert len(got) > 8 and max(r["count"] for r in got) <= held < len(words) - 50
+    want = brute(rows, [tuple(r) for r in rules.collect()])
+    found = gram_index.matches(spark, path, rules, "id", "long", by_runs=True).collect()
+    assert sorted(str(tuple(r)) for r in found) == want
+    monkeypatch.setattr(relational, "LITERALS", 0)
+    monkeypatch.setattr(relational, "AUTOMATON_BYTES", 0)
+    posted = []
+    monkeypatch.setattr(gram_index, "post", lambda *_: posted.append(1))
+    scores = relational.keyword_scores(df, rules.filter("word RLIKE '^[a-dé]+$'"), "id", "t", ["IR", "DE"]).collect()
+    assert not posted and sum(r.score for r in scores) == len([x for x in want if "-x.y" not in x and "no such" not in x])
