@@ -276,6 +276,13 @@ def chat_metrics(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in seen.get.items()], "name string, n long")
 
 
+def jurisdiction_dim(spark: SparkSession, d: str) -> DataFrame:
+    """The dimension with numbers of documents, counted side by side: the filter of a join by code would be pushed below the detection, with the normalisation once for each keyword."""
+    counted = with_detection(phrased(spark, d), "m").agg(*[F.count_if(F.col("code") == c).alias(c) for c in CODES])
+    n = counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n_documents")) for c in CODES])))
+    return jurisdictions(spark).join(n, "code")
+
+
 def completion_call(spark: SparkSession, d: str) -> DataFrame:
     """The completer adapter with a deterministic completer that echoes the length and fails on every seventh."""
 
@@ -301,7 +308,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "detect_struct": lambda s, d: with_detection_struct(phrased(s, d).withColumn("r", pick(REQUESTED, col("doc_id"))), "m", "r").select(
             "doc_id", *[col(f"detection.jurisdiction.{n}").alias(n) for n in ("code", "name_fa", "name_en", "language", "status")], "detection.confidence", "detection.source"
         ),
-        "jurisdiction_dim": lambda s, d: jurisdictions(s).join(with_detection(phrased(s, d), "m").groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code", "left").select(*[j for j in ("code", "name_fa", "name_en", "language", "status")], F.coalesce("n", F.lit(0)).cast("long").alias("n_documents")),
+        "jurisdiction_dim": jurisdiction_dim,
         "keyword_dim": lambda s, d: keywords(s).select("code", "word").join(relational.keyword_matches(phrased(s, d), keywords(s), "doc_id", "m").groupBy("code", "word").agg(F.count(F.lit(1)).alias("n")), ["code", "word"], "left").select("code", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents")),
         "legal_system_prompt": lambda s, d: with_detection(phrased(s, d), "m").select("doc_id", "code", legal_system_prompt(jurisdiction_struct(col("code"))).alias("prompt")),
         "create_legal_request": lambda s, d: create_legal_request(phrased(s, d), "m", keep=("doc_id",)).select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tallystream.functions import responder, sql
+from tallystream.functions import jurisdiction, responder, sql
 from tallystream.operators import chat
 from tallystream.plans import queries as plans
 from tallystream.sources import tables
@@ -92,3 +92,8 @@ def test_streams_of_tables_in_parts(spark, tmp_path, name, parts):
     rows = lambda d: sorted(map(str, plans.queries()[name](spark, d).collect()))
     got = rows(str(tmp_path))
     assert got and got == rows(D)
+
+
+def test_jurisdiction_dim_normalises_a_text_once(spark):
+    plan = plans.queries()["jurisdiction_dim"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("Contains(") == sum(map(len, jurisdiction.KEYWORDS.values()))
