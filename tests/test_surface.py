@@ -97,3 +97,12 @@ def test_streams_of_tables_in_parts(spark, tmp_path, name, parts):
 def test_jurisdiction_dim_normalises_a_text_once(spark):
     plan = plans.queries()["jurisdiction_dim"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1 and plan.count("Contains(") == sum(map(len, jurisdiction.KEYWORDS.values()))
+
+
+def test_keyword_hits_without_join(spark):
+    plan = plans.queries()["sql_keyword_hits"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("translate(") == 1
+    rows = [(1, None), (1, ""), (1, "Germany"), (None, "ايران"), (1, "Germany")]
+    hits = spark.sql("SELECT i, k.word FROM {p}, LATERAL keyword_hits(t) k", p=spark.createDataFrame(rows, "i int, t string")).collect()
+    assert sorted(map(str, map(tuple, hits))) == sorted(map(str, [(1, "germany"), (1, "german")] * 2 + [(None, "ایران")]))
+    assert [r.code for r in spark.sql("SELECT code FROM keyword_hits('Germany')").collect()] == ["DE", "DE"]
