@@ -198,19 +198,21 @@ def transcript_of(style: str) -> Callable[[SparkSession, str], DataFrame]:
 def stream_bubbles(spark: SparkSession, d: str) -> DataFrame:
     """Bubbles of the conversations as a file stream, into the shared folder."""
     name = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
-    source = stream.file_stream(spark, d, table(spark, d, "conversations"), "conversations.parquet")
+    source = stream.table_stream(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), f"{name}/in")
     stream.run_available(stream.bubble_stream(source, "bare").select("conv_id", "turn", "bubble"), f"{name}/out", f"{name}/state").awaitTermination()
     delete(spark, f"{name}/state")
+    delete(spark, f"{name}/in")
     return spark.read.schema("conv_id long, turn long, bubble string").parquet(f"{name}/out")
 
 
 def stream_detect(spark: SparkSession, d: str) -> DataFrame:
     """Runs to completion over the table as a file stream, into the shared folder."""
     name = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"  # noqa: SLF001
-    source = stream.file_stream(spark, d, table(spark, d, "documents"), "documents.parquet")
+    source = stream.table_stream(table(spark, d, "documents").select("doc_id", "text"), f"{name}/in")
     p = source.select("doc_id", F.concat(pick(PHRASES, F.col("doc_id")), F.lit(" "), F.col("text")).alias("m"))
     stream.run_available(stream.detect_stream(p, "m").drop("m"), f"{name}/out", f"{name}/state").awaitTermination()
     delete(spark, f"{name}/state")
+    delete(spark, f"{name}/in")
     return spark.read.schema("doc_id long, code string, confidence double, source string").parquet(f"{name}/out")
 
 

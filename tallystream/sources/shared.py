@@ -21,11 +21,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().get()
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()  # noqa: SLF001
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of a shared store with all that is in it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.jurisdiction import with_detection
 from ..functions.responder import rule_reply
 from ..operators.transcript import bubble
-from ..sources.shared import is_folder
 
 
 def detect_stream(df: DataFrame, query: str, requested: str | None = None) -> DataFrame:
@@ -37,10 +36,11 @@ def each_batch(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: s
     return df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def file_stream(spark: SparkSession, path: str, like: DataFrame, name: str) -> DataFrame:
-    """A table as a stream: the folder of this name in path with all its part files, or the one file of this name.
+def table_stream(rows: DataFrame, path: str) -> DataFrame:
+    """A table's rows as a stream, by way of a copy of them in path, a new folder whose name holds no characters of patterns.
 
-    A filter by name holds for files only, so it would find none of a folder's parts; a stream's path has to be a folder.
+    Over the table's own files a stream may get other rows than a read: Spark's stream source takes a file or folder name that
+    holds one of *?[]{} for a pattern and then reads files of the folder repeatedly, and leaves out files dated long before 1970.
     """
-    reader = spark.readStream.schema(like.schema)
-    return reader.parquet(f"{path}/{name}") if is_folder(spark, f"{path}/{name}") else reader.option("pathGlobFilter", name).parquet(path)
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)

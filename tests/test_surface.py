@@ -1,6 +1,7 @@
 """SQL functions against the column functions, sources and sinks of records, observed counts."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import Observation
@@ -94,6 +95,19 @@ def test_streams_of_tables_in_parts(spark, tmp_path, name, parts):
     assert got and got == rows(D)
 
 
+@pytest.mark.parametrize("name", ["stream_bubbles", "stream_detect"])
+@pytest.mark.parametrize("how", ["pattern", "old"])
+def test_streams_of_tables_with_odd_files(spark, tmp_path, name, how):
+    """Files named like patterns are read once, and ones dated long before 1970 too."""
+    for t in ("conversations", "documents"):
+        spark.read.parquet(f"{D}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+        part = min((tmp_path / f"{t}.parquet").glob("part-*"))
+        os.utime(part, (-1e6, -1e6)) if how == "old" else part.rename(part.with_name("part[0].parquet"))
+    rows = lambda d: sorted(map(str, plans.queries()[name](spark, d).collect()))
+    got = rows(str(tmp_path))
+    assert got and got == rows(D)
+
+
 def test_jurisdiction_dim_normalises_a_text_once(spark):
     plan = plans.queries()["jurisdiction_dim"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1 and plan.count("Contains(") == sum(map(len, jurisdiction.KEYWORDS.values()))
