@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import fresh, plain
 
 WINDOW, LITERAL, ENOUGH, CONSISTENT = 8, 3, 5, 0.8
-BITMAP_BITS, SLICE_BYTES, FEW = 1 << 24, 4 << 20, 100_000
+BITMAP_BITS, SLICE_BYTES, FEW = 1 << 24, 1 << 20, 100_000
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km mi ft in yd mg g kg t lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar dollars cent cents euro euros percent degree degrees kwh kw w v hz khz mhz ghz kb mb gb tb mph kph".split())
 _EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>«»“”‘’„…*_`~|/\\"
@@ -145,8 +145,8 @@ def bitmap_of(item_windows: DataFrame) -> np.ndarray:
     low = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
     words = item_windows.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (low % 64).cast("int"))).alias("b"))
     bits = np.zeros(BITMAP_BITS // 64, np.int64)
-    for w, b in words.toLocalIterator():
-        bits[w] = b
+    found = words.toArrow()  # in one job, not in one for each partition
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
     return bits.astype("<i8").view(np.uint8)
 
 

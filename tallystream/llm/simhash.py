@@ -31,10 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, kept, plain
+from .common import WORD, fresh, kept, plain, slices
 
 WORDS, SEED, RADIUS, LEAF, SHARD_ROWS, BUCKET_ROWS, MOST_ROWS = 4, 42, 4, 48, 4096, 512, 2048
 _CHUNK = 255 * 256
+#: Bytes of texts whose shingles a task holds at once.
+SLICE_BYTES = 1 << 20
 #: A key with more rows than this, and more than a MOST_HOT-th of all, is dealt over SALTS places.
 HOT, MOST_HOT, SALTS = 256, 100_000, 32
 #: Near copies: words of a shingle, least similarity, bits between fingerprints of candidates, bands of min-hashes, least and most rows of a chunk.
@@ -375,7 +377,7 @@ def similar_edges(texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """(a, b): edges that connect distinct texts of similar shingles. texts has u (a text's digest) and _text, one row a text."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, SLICE_BYTES, 1):
             sets = shingle_hashes(b.column("_text").to_pylist())
             lists = [band_keys(h).view(np.int64) for h in sets]
             fp = np.array([set_fingerprint(h) for h in sets], np.uint64).view(np.int64)

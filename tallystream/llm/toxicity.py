@@ -42,6 +42,7 @@ import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import fresh, plain
 
@@ -51,7 +52,8 @@ SAMPLE, SAMPLE_BYTES = 12_000, 6 << 20
 #: Bytes of the dictionaries (first toxic, later toxic, ordinary) and the segment lengths they are made of.
 FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, TOXIC_SEGMENT = 16_384, 2048, 65_536, 16, 16
 PASSES, WIDTHS, MARGINS, RATE_WORDS, RARE, PARTS, ENOUGH = 3, (1, 4), range(9), 50, 0.99, 3, 0.7
-SLICE, CACHE, ROWS = 1 << 20, 100_000, 256
+#: Characters of a piece; words of pieces that are compressed together; single words whose margins are held; rows that are scored together.
+SLICE, HELD, CACHE, ROWS = 1 << 20, 1 << 15, 100_000, 256
 #: A run of distinct bytes: one match for the compressor.
 ANCHOR = b"|0123456789~abcdef#ZYXW|"
 _EDGE = b".,;:!?()[]{}\"'*$%#&|"
@@ -117,14 +119,14 @@ class Pair:
         """For each text and width, how many windows reach each of MARGINS, and how many there are. Small texts share calls."""
         out = np.zeros((len(texts), len(WIDTHS), len(MARGINS) + 1), np.int64)
         held: list[tuple[int, list[bytes]]] = []
-        room = SLICE
+        room = HELD
         for i, t in enumerate(texts):
             for part in pieces(t):
                 held.append((i, part))
-                room -= 8 * len(part)
+                room -= len(part)
                 if room <= 0:
                     self._count(held, out)
-                    held, room = [], SLICE
+                    held, room = [], HELD
         self._count(held, out)
         return out
 
@@ -308,7 +310,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not chosen:
         return fit([])
     kind = docs.schema[key].dataType.simpleString()
-    rows = of(docs.sparkSession.createDataFrame(chosen, f"_k {kind}, _y int")).collect()
+    # From an Arrow table: a list would be turned into rows by Python workers of the executors, which stay beside those that score.
+    picked = docs.sparkSession.createDataFrame(pa.table({"_k": [k for k, _ in chosen], "_y": [y for _, y in chosen]}))
+    rows = of(picked.select(F.col("_k").cast(kind).alias("_k"), F.col("_y").cast("int").alias("_y"))).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["_k"]).encode()), r["_k"]))
     return fit([(r["_t"], r["_y"]) for r in rows], (true.get(0, 0), true.get(1, 0)))
 
@@ -316,17 +320,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """The columns of docs and the score (a column of that name is replaced)."""
     names = [c for c in docs.columns if c.lower() != name.lower()]
-    raw = fresh(docs, "_t")
+    mine = next((c for c in names if c.lower() == text.lower() and docs.schema[c].dataType == StringType()), None)  # carried already, so it is sent once
+    raw = mine or fresh(docs, "_t")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [x for i in range(0, b.num_rows, ROWS) for x in m.scores(b.column(raw).slice(i, ROWS).to_pylist())]
+            got = [x for i in range(0, b.num_rows, ROWS) for x in m.scores([t or "" for t in b.column(raw).slice(i, ROWS).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(got, pa.float64())], names=[*names, name])
 
-    kept_ = docs.select(*[F.col(f"`{n}`") for n in names], plain(F.col(f"`{text}`")).alias(raw))
-    return kept_.mapInArrow(run, kept_.drop(raw).schema.add(name, "double"))
+    kept_ = docs.select(*[F.col(f"`{n}`") for n in names], *([] if mine else [plain(f"`{text}`").alias(raw)]))
+    return kept_.mapInArrow(run, kept_.select(*[F.col(f"`{n}`") for n in names]).schema.add(name, "double"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", enough: float = ENOUGH) -> DataFrame:
